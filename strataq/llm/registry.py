@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, quality_classifier
+from strataq.llm import exact_dedup, quality_classifier, quality_rules
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
