@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, mixing, quality_classifier, quality_rules, url_filters
+from strataq.llm import exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_url_filters": url_filters.OP6_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_url_filters": url_filters.OP6_SQL}
