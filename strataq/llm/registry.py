@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from strataq.llm import exact_dedup, mixing, pii, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii": pii.op3_pii,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_mixing": mixing.op8_mixing,
