@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, mixing, pii, quality_classifier, quality_rules, url_filters, warc
+from strataq.llm import exact_dedup, mixing, pieces, pii, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
     "op5_warc": warc.op5_warc,
