@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, mixing, pieces, pii, quality_classifier, quality_rules, url_filters, warc
+from strataq.llm import exact_dedup, language_id, mixing, pieces, pii, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
