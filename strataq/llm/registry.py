@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strataq.llm import exact_dedup, language_id, mixing, pieces, pii, quality_classifier, quality_rules, url_filters, warc
+from strataq.llm import exact_dedup, language_id, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_language_id": language_id.op7_language_id,
