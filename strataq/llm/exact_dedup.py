@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm.textstats import whole
+from strataq.llm.textstats import packed, unpacked, whole
 from strataq.storage import materialize, new_path, read_table
 
 
@@ -89,12 +89,12 @@ def keep_distinct(docs: DataFrame, index: DigestIndex | None = None) -> DataFram
     if index is None:
         own.close()
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone"))
-    tagged = docs.withColumn("_digest", digest_of(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone"))
+    tagged = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), digest_of(F.col("text")).alias("_digest"))
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone"))
     left = tagged.join(gone, same, "left_anti")
     if found.where((F.col("copies") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
         left = left.dropDuplicates(["_digest"])
-    return left.drop("_digest")
+    return unpacked(left)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.quality_classifier import in_fold
+from strataq.llm.textstats import unpacked
 from strataq.storage import read_table
 
 WINDOW = 64
@@ -192,10 +193,10 @@ def identify(docs: DataFrame, keep: list[Column], net: Network | None) -> DataFr
     """``keep``, lang_pred, score for every row of ``docs`` (text).
 
     Every byte of every text is labelled; equal texts get equal results. ``und`` with score 0 if the
-    text is null, has no letter or nothing could be learned. Empty tables give no rows.
+    text is null, has no letter or nothing could be learned. A kept column named like a result gives
+    way to it. Empty tables give no rows.
     """
-    text = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    kept = [c for c in text.columns if c != "_text"]
+    text = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +212,10 @@ def identify(docs: DataFrame, keep: list[Column], net: Network | None) -> DataFr
                     best = p.argmax(1)
                     lang = [net.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), speaks)]
                     score = np.clip(np.where(speaks, p[np.arange(len(p)), best], 0.0), 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(lang), pa.array(score, pa.float64())], names=["_row", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema if f.name in kept)
-    return text.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    row = text.schema["_row"].dataType.simpleString()
+    return unpacked(text.mapInArrow(run, f"_row {row}, lang_pred string, score double"), "lang_pred", "score", names=("lang_pred", "score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from strataq.llm.textstats import packed, unpacked
 from strataq.storage import materialize, read_table
 
 MAX_SOURCES = 2000
@@ -117,5 +118,5 @@ def mixed_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame
     """
     order = mix(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("slot", "block_offset")).alias("_place")).withColumnRenamed("doc_id", "_mixed")
     order = materialize(order, "mix-order")
-    out = docs.join(order, F.col("doc_id").cast("long") == F.col("_mixed"), "left")
-    return out.orderBy(F.col("_place").asc_nulls_last(), "doc_id").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
+    return unpacked(rows.join(order, F.col("_id") == F.col("_mixed"), "left").orderBy(F.col("_place").asc_nulls_last(), "_id"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import shingles as S
+from strataq.llm.textstats import packed, unpacked
 from strataq.operators.components import connected_components
 from strataq.storage import discard, materialize, read_table
 
@@ -186,7 +187,8 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
 def keep_one(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest doc_id of their component, or none."""
     gone = ngram_components(docs, width, threshold).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(materialize(gone, "ngram-gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
+    return unpacked(rows.join(materialize(gone, "ngram-gone"), F.col("_id") == F.col("_gone"), "left_anti"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

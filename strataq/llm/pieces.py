@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.llm.textstats import unpacked
 from strataq.storage import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -329,12 +330,12 @@ def encode_documents(
 
     Segmentations depend on seed, doc_id and text: rows that repeat get equal ids. A null text is
     empty and has no ids; a null doc_id is salted like 0. The model is read by the driver and sent
-    with the tasks (about half a megabyte). Empty tables give no rows.
+    with the tasks (about half a megabyte). A kept column named like a result gives way to it. Empty
+    tables give no rows.
     """
     with open(model, "rb") as f:
         proto = f.read()
-    text = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_salt"), F.coalesce("text", F.lit("")).alias("_text"))
-    kept = [c for c in text.columns if c not in ("_salt", "_text")]
+    text = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_salt"), F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, cache = load(proto), Segments()
@@ -346,14 +347,15 @@ def encode_documents(
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(c) for c in kept), lists, pa.array(np.diff(starts)),
+                        part.column("_row"), lists, pa.array(np.diff(starts)),
                         pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([b == t.encode() for b, t in zip(back, texts)]),
                     ],
-                    names=[*kept, "ids", "n_tokens", "decoded_sha256", "lossless"],
+                    names=["_row", "ids", "n_tokens", "decoded_sha256", "lossless"],
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema if f.name in kept)
-    return text.mapInArrow(run, f"{fields}, ids array<int>, n_tokens bigint, decoded_sha256 string, lossless boolean")
+    row = text.schema["_row"].dataType.simpleString()
+    names = ("ids", "n_tokens", "decoded_sha256", "lossless")
+    return unpacked(text.mapInArrow(run, f"_row {row}, ids array<int>, n_tokens bigint, decoded_sha256 string, lossless boolean"), *names, names=names)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.llm.textstats import unpacked
 from strataq.storage import materialize, read_table
 
 BASE = ("email", "ip", "card", "phone")
@@ -206,9 +207,8 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 joined = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in good)
                 for c, v in zip(cols, (good, loose, hashlib.sha256(joined.encode()).hexdigest())):
                     c.append(v)
-            kept = [n for n in part.schema.names if n != "_text"]
-            arrays = [part.column(n) for n in kept] + [pa.array(cols[0], pa.list_(_SPAN)), pa.array(cols[1], pa.list_(_SPAN)), pa.array(cols[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "_base", "_loose", "base_sha256"])
+            arrays = [part.column("_row"), pa.array(cols[0], pa.list_(_SPAN)), pa.array(cols[1], pa.list_(_SPAN)), pa.array(cols[2], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_base", "_loose", "base_sha256"])
 
 
 def estimate(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
@@ -272,12 +272,12 @@ def find_pii(docs: DataFrame, keep: list[Column], threshold: float = 0.5) -> Dat
 
     Counts and digest cover the base spans, ``spans`` those and accepted candidates, both as
     kind:start:end in code points by start, then kind, comma-joined. A null or empty text has zero
-    counts and an empty list; equal texts are judged alike; empty tables give no rows.
+    counts and an empty list; equal texts are judged alike; a kept column named like a result gives
+    way to it; empty tables give no rows.
     """
-    text = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    kept = [c for c in text.columns if c != "_text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema if f.name != "_text")
-    found = materialize(text.mapInArrow(_scan_batches, f"{fields}, _base {SPANS}, _loose {SPANS}, base_sha256 string"), "pii-candidates")
+    text = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    row = text.schema["_row"].dataType.simpleString()
+    found = materialize(text.mapInArrow(_scan_batches, f"_row {row}, _base {SPANS}, _loose {SPANS}, base_sha256 string"), "pii-candidates")
     # At most len(KINDS) * 3**VOTERS * SIZES cells.
     cells = found.select(F.explode(F.concat("_base", "_loose")).alias("s")).groupBy("s.cell").count()
     odds = train({r[0]: r[1] for r in cells.collect()})
@@ -286,7 +286,7 @@ def find_pii(docs: DataFrame, keep: list[Column], threshold: float = 0.5) -> Dat
     all_ = F.array_sort(F.concat(F.col("_base"), extra))
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = F.array_join(F.transform(all_, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select(*kept, *map(count, BASE), "base_sha256", joined.alias("spans"))
+    return unpacked(found, *map(count, BASE), "base_sha256", joined.alias("spans"), names=(*(f"n_{k}" for k in BASE), "base_sha256", "spans"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ FEATURES = ("words", "word_length", "distinct", "symbols", "punctuation", "digit
 
 
 def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """The columns of ``keep`` and one double per name in FEATURES, never null; null counts as empty."""
+    """The columns of ``keep`` as struct ``_row`` and one double per name in FEATURES, never null; null counts as empty."""
     t = S.whole(F.col("text"))
-    base = docs.select(*keep, t.alias("_t"), S.words_of(F.col("text")).alias("_w"), S.lines_of(F.col("text")).alias("_l"))
+    base = docs.select(F.struct(*keep).alias("_row"), t.alias("_t"), S.words_of(F.col("text")).alias("_w"), S.lines_of(F.col("text")).alias("_l"))
     t, w, lines = F.col("_t"), F.col("_w"), F.col("_l")
     counts = {
         "n": F.size(w), "chars": F.length(t), "word_chars": F.length(F.array_join(w, "")), "distinct": F.size(F.array_distinct(w)),
@@ -33,8 +33,7 @@ def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
         "lines": F.size(lines), "dup": F.size(lines) - F.size(F.array_distinct(lines)), "bytes": F.octet_length(t),
     }
     names = [f"_{k}" for k in counts]
-    kept = [c for c in base.columns if c not in ("_t", "_w", "_l")]
-    n = base.select(*kept, *(c.cast("double").alias(k) for k, c in zip(names, counts.values())))
+    n = base.select("_row", *(c.cast("double").alias(k) for k, c in zip(names, counts.values())))
     c = {k: F.col(f"_{k}") for k in counts}
     odds = lambda part, all_: F.log((part + 0.5) / (all_ - part + 0.5))
     values = {
@@ -42,7 +41,7 @@ def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
         "symbols": odds(c["symbols"], c["chars"]), "punctuation": odds(c["punct"], c["chars"]), "digits": odds(c["digits"], c["chars"]), "upper": odds(c["upper"], c["chars"]),
         "repeated_lines": odds(c["dup"], c["lines"]), "line_words": F.log((c["n"] + 1) / (c["lines"] + 1)), "other_bytes": odds(c["bytes"] - c["chars"], c["bytes"]),
     }
-    return n.select(*kept, *(v.alias(k) for k, v in values.items()))
+    return n.select("_row", *(v.alias(k) for k, v in values.items()))
 
 
 @dataclass(frozen=True)
@@ -100,7 +99,7 @@ def fit(stats: DataFrame, labels: DataFrame, to_pooled: float = 0.2, to_identity
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
     sums = [F.sum(F.col(f)) for f in FEATURES] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs]
     rows = {}
-    for r in stats.join(known, "doc_id").groupBy("_q").agg(F.count("*"), *sums).collect():
+    for r in stats.join(known, stats["_row.doc_id"] == known["doc_id"]).groupBy("_q").agg(F.count("*"), *sums).collect():
         outer = np.zeros((len(FEATURES), len(FEATURES)))
         for (i, j), v in zip(pairs, r[2 + len(FEATURES) :]):
             outer[i, j] = outer[j, i] = v
@@ -118,13 +117,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[Column], thresh
 
     Labels count only outside the held-out fold (crc32 of doc_id, mod 4 = 2). The score depends on
     the text alone; equal texts have equal scores. Without labels of class 0 every score is 1, with
-    none but class 0 it is 0. ``keep`` has to hold doc_id; empty tables give no rows.
+    none but class 0 it is 0. ``keep`` has to hold doc_id; a kept column named like a result gives
+    way to it. Empty tables give no rows.
     """
     stats = materialize(statistics(docs, keep), "quality-statistics")
     model = fit(stats, labels.where(~in_fold(F.col("doc_id"), 4, 2)))
-    kept = [c for c in stats.columns if c not in FEATURES]
-    scored = stats.select(*kept, in_fold(F.col("doc_id"), 4, 2).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    held_out, score = in_fold(F.col("_row.doc_id"), 4, 2).alias("held_out"), model.score()
+    return S.unpacked(stats, held_out, score.alias("score"), (score >= threshold).cast("int").alias("predicted"), names=("held_out", "score", "predicted"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +137,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Statistics are computed once to fit and once beside the rows, which is cheaper than to move texts.
     """
     model = fit(materialize(statistics(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "quality-statistics"), labels.where(~in_fold(F.col("doc_id"), 4, 2)))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return statistics(rows, [F.col("_row")]).where(model.score() >= 0.7).select("_row.*")
+    return S.unpacked(statistics(docs, [F.col(f"`{c}`") for c in docs.columns]).where(model.score() >= 0.7))

@@ -57,12 +57,11 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep`` and per document the base counts and both histograms; null text counts as empty."""
-    base = docs.select(*keep, S.whole(F.col("text")).alias("_t"), S.words_of(F.col("text")).alias("_w"), S.lines_of(F.col("text")).alias("_l"))
+    """``keep`` as struct ``_row``, and per document the base counts and both histograms; null text counts as empty."""
+    base = docs.select(F.struct(*keep).alias("_row"), F.col("lang").alias("_lang"), S.whole(F.col("text")).alias("_t"), S.words_of(F.col("text")).alias("_w"), S.lines_of(F.col("text")).alias("_l"))
     t, w, lines = F.col("_t"), F.col("_w"), F.col("_l")
-    kept = [c for c in base.columns if c not in ("_t", "_w", "_l")]
     counted = base.select(
-        *kept,
+        "_row", "_lang",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         S.count_of(t, S.SYMBOLS).alias("n_symbols"),
@@ -81,7 +80,7 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
     rest = F.greatest(c("_bytes") - sum(classes[1:], classes[0]), F.lit(0))
     per_word = _bind(c("_common"), lambda found: F.transform(F.array(*map(F.lit, WORDS)), lambda v: F.size(F.filter(found, lambda x: x == v)).cast("long")))
     return counted.select(
-        *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "_row", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*classes, rest).alias("_classes"),
         F.concat(per_word, F.array(c("n_words") - F.size("_common"))).alias("_words"),
         ((c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))).alias("base_failed"),
@@ -120,17 +119,18 @@ def apply_rules(docs: DataFrame, keep: list[Column], max_class_distance: float =
     """``keep``, the base counts, base_failed, class_distance, word_distance and kept, a row per row of ``docs``.
 
     Distances are to the nearest language reference; null where no reference exists. They can only
-    reject documents of at least ``min_words`` words. A null or unlisted lang, a null text and an
+    reject documents of at least ``min_words`` words. A kept column named like a result gives way to
+    it. A null or unlisted lang, a null text and an
     empty text are measured like any other; empty tables give no rows.
     """
-    own = [F.col("lang").alias("_lang")]
-    measured = materialize(measure(docs, [*keep, *own]), "quality-measures")
+    measured = materialize(measure(docs, keep), "quality-measures")
     known = references(measured, "_lang")
     nearest = {h: F.least(*(_distance(F.col(h), known[h][k]) for k in sorted(known[h]) * (1 + (len(known[h]) == 1)))) if known[h] else F.lit(None).cast("double") for h in known}
-    kept = [c for c in measured.columns if c not in ("_lang", "_classes", "_words", "base_failed")]
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))
-    out = measured.select(*kept, "base_failed", nearest["_classes"].alias("class_distance"), nearest["_words"].alias("word_distance"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    out = measured.select("_row", *counts, nearest["_classes"].alias("class_distance"), nearest["_words"].alias("word_distance"))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return S.unpacked(out, *out.columns[1:], names=tuple(out.columns[1:]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

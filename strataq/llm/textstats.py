@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = "[ \\t-\\r]+"
@@ -29,3 +29,15 @@ def count_of(text: Column, chars: str) -> Column:
 def lines_of(text: Column) -> Column:
     r"""The \n-split lines that hold a word."""
     return F.filter(F.split(whole(text), "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as the struct ``_row``, in which no name can clash with those of a plan."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
+def unpacked(df: DataFrame, *added: Column | str, names: tuple[str, ...] = ()) -> DataFrame:
+    """The fields of ``_row``, but for those that ``names``, the names of ``added``, replace, and ``added``."""
+    taken = {n.lower() for n in names}
+    fields = [f.name for f in df.schema["_row"].dataType if f.name.lower() not in taken]
+    return df.select(*(F.col("_row")[n].alias(n) for n in fields), *added)
