@@ -7,8 +7,10 @@ join are exchanged and adaptive execution can split a hot key.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strataq_path = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+#: Tables materialized in the scratch blocks that are open, innermost last.
+_made: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes at its end the tables that were materialized in the block, but for those taken off the list.
+
+    Shuffle files go when the JVM collects the plans that wrote them, so it is asked to.
+    """
+    own: list[DataFrame] = []
+    _made.append(own)
+    try:
+        yield own
+    finally:
+        _made.pop()
+        for df in own:
+            discard(df)
+        if own:
+            own[0].sparkSession._jvm.System.gc()
+
+
+def kept(made: list[DataFrame], df: DataFrame) -> DataFrame:
+    """Take a table off a scratch block's list, and put it on the list of the block around it."""
+    made[:] = [x for x in made if x is not df]
+    if len(_made) > 1 and _made[-1] is made:
+        _made[-2].append(df)
+    return df
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote; for tables that no later plan reads."""
     path = getattr(df, "_strataq_path", None)
