@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from strataq.llm import shingles as S
 from strataq.llm.textstats import packed, unpacked
 from strataq.operators.components import connected_components
-from strataq.storage import discard, materialize, read_table
+from strataq.storage import kept, materialize, read_table, scratch
 
 #: The sketch has 2**BITS counters in 2**BLOCK_BITS blocks: 4 MB when broadcast, whatever the input.
 BITS, BLOCK_BITS = 22, 4
+#: Texts that no candidate pair needs are left out by a bitmap of 2**FILTER_BITS bits, 8 MB when broadcast, before the rest is shuffled.
+FILTER_BITS = 26
 _SHIFT = np.uint64(64 - BITS)
 _PER_BLOCK = 1 << (BITS - BLOCK_BITS)
 ROWS = 1000
@@ -72,35 +74,33 @@ def token_sketch(text: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def prefixes(sets: list[np.ndarray], sketch: np.ndarray, threshold: tuple[int, int], orders: int) -> list[list[np.ndarray]]:
-    """Per set its first n - ceil(t * n) + 1 tokens under every order."""
+def prefixes(sets: list[np.ndarray], sketch: np.ndarray, threshold: tuple[int, int], orders: range) -> list[list[np.ndarray]]:
+    """Per set its first n - ceil(t * n) + 1 tokens under each of ``orders``."""
     out = []
     for s in sets:
         n = len(s)
         p = n + threshold[0] * n // -threshold[1] + 1 if n else 0
         common = sketch[(s >> _SHIFT).astype(np.int64)]
-        out.append([s[np.lexsort((S.mix(s ^ np.uint64(k + 1)), common))[:p]] for k in range(orders)])
+        out.append([s[np.lexsort((S.mix(s ^ np.uint64(k + 1)), common))[:p]] for k in orders])
     return out
 
 
-def _index(text: DataFrame, width: int, threshold: tuple[int, int], orders: int) -> DataFrame:
-    """doc_id, n, set digest, the first order's prefix and the other orders' prefixes as 32-bit hashes, whose collisions only let more pass."""
-    sketch = text.sparkSession.sparkContext.broadcast(token_sketch(text, width).tobytes())
+def _index(text: DataFrame, width: int, threshold: tuple[int, int], sketch) -> DataFrame:
+    """doc_id, n, set digest and the first order's prefix."""
 
     def run(batches):
         counts = np.frombuffer(sketch.value, np.uint8)
         for part, sets in _sets(batches, width):
-            pre = prefixes(sets, counts, threshold, orders)
+            pre = prefixes(sets, counts, threshold, range(1))
             arrays = [
                 part.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([p[0].view(np.int64) for p in pre], pa.list_(pa.int64())),
-                pa.array([[x.astype(np.uint32).view(np.int32) for x in p[1:]] for p in pre], pa.list_(pa.list_(pa.int32()))),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "tokens", "others"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "tokens"])
 
-    return text.mapInArrow(run, "doc_id bigint, n bigint, digest binary, tokens array<bigint>, others array<array<int>>")
+    return text.mapInArrow(run, "doc_id bigint, n bigint, digest binary, tokens array<bigint>")
 
 
 def _required(n: str, m: str, threshold: tuple[int, int]) -> Column:
@@ -115,32 +115,50 @@ def _meets(x: str, y: str, threshold: tuple[int, int]) -> Column:
     return (F.col(f"{x}_at") <= F.col(f"{x}_n") - need) & (F.col(f"{y}_at") <= F.col(f"{y}_n") - need) & (need <= F.least(f"{x}_n", f"{y}_n"))
 
 
-def _under_all_orders(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int], orders: int) -> DataFrame:
-    """The pairs (x, y) that also meet under every other order."""
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"{k}_n"), F.col("others").alias(f"{k}_others"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("need", _required("x_n", "y_n", threshold))
-    for k in range(orders - 1):
-        head = lambda s: F.slice(F.col(f"{s}_others")[k], F.lit(1), (F.greatest(F.col(f"{s}_n") - F.col("need") + 1, F.lit(0))).cast("int"))  # noqa: B023, E731
-        both = both.where(F.arrays_overlap(head("x"), head("y")))
-    return materialize(both.select("x", "y").distinct(), "ngram-candidates")
+def _thinned(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``text`` whose doc_id may be in ``wanted``, by a bitmap of hashed ids."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    slots = wanted.select(place(F.col("doc_id")).alias("slot"))
+    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = F.bitmap_bit_position(place(F.col("doc_id")))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = text.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col("doc_id"))) == F.col("_bucket"))
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0).select(*text.columns)
 
 
-def _verified(pairs: DataFrame, text: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+def _similar(x: list[np.ndarray], y: list[np.ndarray], sketch: np.ndarray, threshold: tuple[int, int], orders: int) -> list[bool]:
+    """For each pair of sets whether they meet under every order but the first, and then whether they are similar."""
+    a, b = threshold
+    out = []
+    for s, t, ps, pt in zip(x, y, prefixes(x, sketch, threshold, range(1, orders)), prefixes(y, sketch, threshold, range(1, orders))):
+        n, m = len(s), len(t)
+        need = -(a * (n + m) // -(a + b))
+        meets = all(len(np.intersect1d(p[: max(n - need + 1, 0)], q[: max(m - need + 1, 0)], assume_unique=True)) for p, q in zip(ps, pt))
+        common = len(np.intersect1d(s, t, assume_unique=True)) if meets else 0
+        out.append(meets and b * common >= a * (n + m - common))
+    return out
+
+
+def _verified(pairs: DataFrame, text: DataFrame, width: int, threshold: tuple[int, int], sketch, orders: int) -> DataFrame:
+    """The pairs (x, y) that meet under every other order too, and whose whole sets are similar.
+
+    Texts travel to their pairs, which takes less than half of what their sets would.
+    """
+    pairs = materialize(pairs.distinct(), "ngram-candidates")
+    near = _thinned(text, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")))
+    side = lambda k: near.select(F.col("doc_id").alias(k), F.col("_text").alias(f"{k}_text"))
 
     def run(batches):
-        for part, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+        counts = np.frombuffer(sketch.value, np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [S.shingle_sets(*S.texts_of(part.column(f"{k}_text")), width) for k in "xy"]
+                found = pa.array(_similar(*sets, counts, threshold, orders))
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(found) for k in "xy"], names=["x", "y"])
 
-    sets = materialize(text.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, tokens array<bigint>"), "ngram-sets")
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"{k}_tokens"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("common", F.size(F.array_intersect("x_tokens", "y_tokens")).cast("long"))
-    a, b = threshold
-    similar = F.expr(f"{b} * common >= {a} * (size(x_tokens) + size(y_tokens) - common)")
-    links = materialize(both.where(similar).select("x", "y").distinct(), "ngram-links")
-    discard(sets)
-    return links
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_text", "y_text")
+    return materialize(both.mapInArrow(run, "x bigint, y bigint"), "ngram-links")
 
 
 def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5), orders: int = 2) -> DataFrame:
@@ -154,30 +172,34 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     null component. Other columns are ignored; an empty table gives no rows.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    index = materialize(_index(text, width, threshold, orders), "ngram-index")
-    of_class = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
-    classes = materialize(of_class.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "others"))), "ngram-classes")
-
-    tokens = classes.select("rep", "n", F.posexplode("tokens").alias("at", "token"))
-    first = F.min(F.struct("rep", "n", "at")).alias("p")
-    pivots = materialize(tokens.groupBy("token").agg(F.count("*").alias("size"), first).where("size > 1").select("token", "p"), "ngram-pivots")
-    shared = tokens.join(pivots, "token").select("token", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("p.rep").alias("y"), F.col("p.n").alias("y_n"), F.col("p.at").alias("y_at"))
-    shared = materialize(shared, "ngram-shared")
-    near = shared.where("x <> y").where(_meets("x", "y", threshold)).select("x", "y").distinct()
-    star = _verified(_under_all_orders(near, classes, threshold, orders), text, width, threshold)
-
-    joined = connected_components(star, "x", "y").select(F.col("node").alias("x"), "component")
-    rows = materialize(shared.select("token", "x", "x_n", "x_at").join(joined, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component"), "ngram-rows")
-    largest = rows.groupBy("token", "c").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c"))["c"].alias("top"))
-    rows = materialize(rows.join(largest.where("parts > 1").select("token", "top"), "token"), "ngram-open")
-    other = rows.select("token", F.col("x").alias("y"), F.col("x_n").alias("y_n"), F.col("x_at").alias("y_at"), F.col("c").alias("y_c"))
-    apart = (F.col("c") != F.col("y_c")) & ((F.col("y_c") == F.col("top")) | (F.col("c") < F.col("y_c")))
-    cross = rows.where("c <> top").join(other, "token").where(apart & _meets("x", "y", threshold))
-    cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = _verified(_under_all_orders(cross, classes, threshold, orders), text, width, threshold)
-
-    found = connected_components(star.union(rest), "x", "y").select(F.col("node").alias("rep"), "component")
-    ids = materialize(classes.select("digest", "rep").join(found, "rep", "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("c")), "ngram-ids")
+    with scratch() as made:
+        # The sketch has a fixed size: the bound for this broadcast.
+        sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(text, width).tobytes())
+        index = kept(made, materialize(_index(text, width, threshold, sketch), "ngram-index"))
+        of_class = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
+        classes = materialize(of_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "ngram-classes")
+
+        tokens = classes.select("rep", "n", F.posexplode("tokens").alias("at", "token"))
+        first = F.min(F.struct("rep", "n", "at")).alias("p")
+        pivots = materialize(tokens.groupBy("token").agg(F.count("*").alias("size"), first).where("size > 1").select("token", "p"), "ngram-pivots")
+        shared = tokens.join(pivots, "token").select("token", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("p.rep").alias("y"), F.col("p.n").alias("y_n"), F.col("p.at").alias("y_at"))
+        shared = materialize(shared, "ngram-shared")
+        near = shared.where("x <> y").where(_meets("x", "y", threshold)).select("x", "y")
+        star = _verified(near, text, width, threshold, sketch, orders)
+
+        joined = connected_components(star, "x", "y").select(F.col("node").alias("x"), "component")
+        rows = materialize(shared.select("token", "x", "x_n", "x_at").join(joined, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component"), "ngram-rows")
+        largest = rows.groupBy("token", "c").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c"))["c"].alias("top"))
+        rows = materialize(rows.join(largest.where("parts > 1").select("token", "top"), "token"), "ngram-open")
+        other = rows.select("token", F.col("x").alias("y"), F.col("x_n").alias("y_n"), F.col("x_at").alias("y_at"), F.col("c").alias("y_c"))
+        apart = (F.col("c") != F.col("y_c")) & ((F.col("y_c") == F.col("top")) | (F.col("c") < F.col("y_c")))
+        cross = rows.where("c <> top").join(other, "token").where(apart & _meets("x", "y", threshold))
+        cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        rest = _verified(cross, text, width, threshold, sketch, orders)
+
+        found = connected_components(star.union(rest), "x", "y").select(F.col("node").alias("rep"), "component")
+        ids = classes.select("digest", "rep").join(found, "rep", "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("c"))
+        ids = kept(made, materialize(ids, "ngram-ids"))
     known = F.col("doc_id").isNotNull()
     return index.join(ids, (F.col("digest") == F.col("_digest")) & known & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("c", "doc_id")).alias("component_id")
@@ -186,9 +208,11 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest doc_id of their component, or none."""
-    gone = ngram_components(docs, width, threshold).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    with scratch() as made:
+        gone = ngram_components(docs, width, threshold).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+        gone = kept(made, materialize(gone, "ngram-gone"))
     rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
-    return unpacked(rows.join(materialize(gone, "ngram-gone"), F.col("_id") == F.col("_gone"), "left_anti"))
+    return unpacked(rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
