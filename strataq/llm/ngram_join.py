@@ -180,7 +180,8 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         classes = materialize(of_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "ngram-classes")
 
         tokens = classes.select("rep", "n", F.posexplode("tokens").alias("at", "token"))
-        first = F.min(F.struct("rep", "n", "at")).alias("p")
+        # The pivot has the token earliest: it has the fewest rare tokens of its own, as the text that others were made from.
+        first = F.min(F.struct("at", "rep", "n")).alias("p")
         pivots = materialize(tokens.groupBy("token").agg(F.count("*").alias("size"), first).where("size > 1").select("token", "p"), "ngram-pivots")
         shared = tokens.join(pivots, "token").select("token", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("p.rep").alias("y"), F.col("p.n").alias("y_n"), F.col("p.at").alias("y_at"))
         shared = materialize(shared, "ngram-shared")
