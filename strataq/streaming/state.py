@@ -104,3 +104,24 @@ def stream_counts(events: DataFrame, ts: str, key: str, window: str, late: str)
 def stream_once(rows: DataFrame, key: str, ts: str, horizon: str) -> DataFrame:
     """Each id once within a horizon, so that a resent row is not delivered twice."""
     return rows.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
+
+
+def reflect(spark, source: str, schema: str, sink: str, checkpoint: str, files: int = 3, most: int = 3):
+    """A stream of log lines (source, line, seq), ``files`` new files a tick: each tick appends its counts of
+    (severity, signature), without signatures that were seen ``most`` times before."""
+    from pyspark.sql.utils import AnalysisException
+
+    from strataq.functions.text import canonical_signature, line_severity
+
+    def tick(batch: DataFrame, number: int) -> None:
+        seen = batch.select(line_severity(F.col("line")).alias("severity"), canonical_signature(F.col("line")).alias("signature")).where("severity IS NOT NULL")
+        counts = seen.groupBy("severity", "signature").agg(F.count("*").alias("n"))
+        try:
+            old = spark.read.parquet(sink).where(F.col("tick") != number).groupBy("signature").agg(F.sum("n").alias("_n")).where(F.col("_n") >= most)
+            counts = counts.join(old, "signature", "left_anti")
+        except AnalysisException:
+            pass  # the first tick has no sink to read
+        counts.withColumn("tick", F.lit(number)).write.mode("append").parquet(sink)
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(source)
+    return rows.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

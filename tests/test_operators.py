@@ -188,3 +188,26 @@ def test_logs_round_trip(spark, tmp_path):
     found = spark.createDataFrame([("i", 1, "a", "t", "gap", "low")], "investigation_id string, seq long, id string, text string, record_type string, confidence string")
     good, bad = logs.import_bundle(logs.export_bundle(manifest, found).select("bundle"), F.lit("j"))
     assert [(r["investigation_id"], r["id"]) for r in good.collect()] == [("j", "a")] and bad.count() == 0
+
+
+def test_callables_validate_what_models_return(spark):
+    from strataq.functions import callables
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id int, t string")
+    vec = callables.embedder(lambda ts: [[float(len(t)), 1.0] if t else [] for t in ts], 2)
+    assert [r[0] for r in rows.select(vec("t")).collect()] == [[2.0, 1.0], None, [3.0, 1.0]]
+    assert [r["generated"] for r in callables.generate(rows, "t", lambda ps: [p.upper() for p in ps]).orderBy("id").collect()] == ["AB", "", "ABC"]
+    assert one(spark, callables.classified(F.lit(" It is Spam. "), ("ham", "spam"), "ham")) == "spam"
+    assert one(spark, callables.compressed(F.lit(""), F.lit("long text"), 4)) == "long"
+    assert one(spark, callables.sequence_ratio()(F.lit("abcd"), F.lit("bcde"))) == 0.75
+    hits = spark.createDataFrame([(1, 1, 1, 0.1), (1, 2, 2, 0.9), (2, 1, 1, 0.1), (2, 2, 2, None)], "query int, id int, place int, s double")
+    got = {(r["query"], r["id"]): r["place"] for r in callables.rerank_all_or_none(hits, F.col("s"), 2).collect()}
+    assert got == {(1, 2): 1, (1, 1): 2, (2, 1): 1, (2, 2): 2}
+
+
+def test_reflection_stream_suppresses_what_it_knows(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text("".join(f'{{"line": "job {i} failed", "seq": {i}}}\n' for i in range(2)))
+    state.reflect(spark, str(tmp_path / "in"), "line string, seq long", str(tmp_path / "out"), str(tmp_path / "cp"), files=1).awaitTermination()
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 2]
