@@ -118,8 +118,8 @@ def _distance(counts: Column, reference: list[float]) -> Column:
 def apply_rules(docs: DataFrame, keep: list[Column], max_class_distance: float = 0.28, max_word_distance: float = 0.3, min_words: int = 50) -> DataFrame:
     """``keep``, the base counts, base_failed, class_distance, word_distance and kept, a row per row of ``docs``.
 
-    Distances are to the nearest language reference; null where no reference exists. They can only
-    reject documents of at least ``min_words`` words. A kept column named like a result gives way to
+    Distances are to the nearest language reference, to six places; null where no reference exists.
+    They can only reject documents of at least ``min_words`` words. A kept column named like a result gives way to
     it. A null or unlisted lang, a null text and an
     empty text are measured like any other; empty tables give no rows.
     """
@@ -128,10 +128,42 @@ def apply_rules(docs: DataFrame, keep: list[Column], max_class_distance: float =
     nearest = {h: F.least(*(_distance(F.col(h), known[h][k]) for k in sorted(known[h]) * (1 + (len(known[h]) == 1)))) if known[h] else F.lit(None).cast("double") for h in known}
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))
-    out = measured.select("_row", *counts, nearest["_classes"].alias("class_distance"), nearest["_words"].alias("word_distance"))
+    out = measured.select("_row", *counts, F.round(nearest["_classes"], 6).alias("class_distance"), F.round(nearest["_words"], 6).alias("word_distance"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return S.unpacked(out, *out.columns[1:], names=tuple(out.columns[1:]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"), [F.col("doc_id").cast("long").alias("doc_id")])
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, for the default limits."""
+    lists = {"c": 7, "h": len(WORDS) + 1}
+    known = ", ".join(f"'{k}'" for k in COMMON)
+    common = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in WORDS)
+    among = ", ".join(f"'{v}'" for v in WORDS)
+    less = lambda chars: f"length(t) - length(translate(t, '{chars.replace(chr(39), chr(39) * 2)}', ''))"
+    sums = ", ".join(f"[{', '.join(f'sum({k}[{i}])' for i in range(1, n + 1))}] AS {k}" for k, n in lists.items())
+    term = lambda k, v: f"CASE WHEN {v} > 0 THEN {v} * log2({v} / ((m.{k}[i] / greatest(list_sum(m.{k}), 1) + r.{k}[i] / list_sum(r.{k})) / 2)) ELSE 0 END"
+    part = lambda k: f"{term(k, f'(m.{k}[i] / greatest(list_sum(m.{k}), 1))')} + {term(k, f'(r.{k}[i] / list_sum(r.{k}))')}"
+    distance = lambda k, n: f"min(sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: {part(k)})) / 2, 0)))"
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM t),
+win AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS x, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM t WHERE len(w) >= {WINDOW}),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win), range({WINDOW}) r(k) WHERE c > 1 GROUP BY 1),
+b AS (SELECT t.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {less(S.SYMBOLS)} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+  {less(S.DIGITS)} AS digits, {less(S.UPPER)} AS upper_, {less(S.PUNCTUATION)} AS punct, strlen(t) - length(t) AS wide FROM t JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  [length(t) - word_chars, digits, upper_, punct, n_symbols, wide, greatest(strlen(t) - (length(t) - word_chars + digits + upper_ + punct + n_symbols + wide), 0)] AS c,
+  [{common}, n_words - len(list_filter(w, lambda x: x IN ({among})))] AS h FROM b),
+r AS (SELECT lang, {sums} FROM m WHERE NOT base_failed AND lang IN ({known}) GROUP BY 1),
+d AS (SELECT m.doc_id, {distance("c", lists["c"])} AS dc, {distance("h", lists["h"])} AS dh FROM m, r GROUP BY 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  round(dc, 6) AS class_distance, round(dh, 6) AS word_distance, NOT base_failed AND NOT coalesce(n_words >= 50 AND (dc > 0.28 OR dh > 0.3), FALSE) AS kept
+FROM m LEFT JOIN d USING (doc_id)
+"""
+
+
+OP10_SQL = _sql()

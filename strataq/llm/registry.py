@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_url_filters": url_filters.OP6_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op4_ngram_join": ngram_join.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_url_filters": url_filters.OP6_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
