@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataq.llm.textstats import packed, unpacked
-from strataq.storage import materialize, read_table
+from strataq.storage import kept, materialize, read_table, scratch
 
 MAX_SOURCES = 2000
 MAX_PERIOD = 100_000
@@ -116,7 +116,8 @@ def mixed_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame
 
     Rows with equal ids share the first of their places, and rows with a null id come last.
     """
-    order = mix(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("slot", "block_offset")).alias("_place")).withColumnRenamed("doc_id", "_mixed")
-    order = materialize(order, "mix-order")
+    with scratch() as made:
+        order = mix(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("slot", "block_offset")).alias("_place"))
+        order = kept(made, materialize(order.withColumnRenamed("doc_id", "_mixed"), "mix-order"))
     rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
     return unpacked(rows.join(order, F.col("_id") == F.col("_mixed"), "left").orderBy(F.col("_place").asc_nulls_last(), "_id"))
