@@ -29,9 +29,9 @@ SPACE, LITERAL = "▁", "\udc81"  # the second, no character of any text, stands
 NEVER = np.int32(2**31 - 1)
 UNKNOWN = 1 << 17
 LONG_UNIT = 48
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
 ROWS = 50_000
-CACHED = 1_500_000
+CACHED = 1_000_000
 
 _U = np.uint64
 
@@ -257,12 +257,13 @@ class Segments:
         return at, self.key[at] == key
 
     def add(self, key: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Take in segmentations under keys that are sorted and new."""
         if len(self.key) and len(self.key) + len(key) > CACHED:
             self.__init__()
-        start = len(self.flat) + np.cumsum(counts) - counts
-        keys = np.concatenate([self.key, key])
-        order = np.argsort(keys, kind="stable")
-        self.key, self.start, self.count = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, counts])[order]
+        at = np.searchsorted(self.key, key)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, at, counts)
+        self.key = np.insert(self.key, at, key)
         self.flat = np.concatenate([self.flat, flat])
 
 
