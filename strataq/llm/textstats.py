@@ -22,13 +22,14 @@ def words_of(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are among ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of ``text`` are among ``chars``: what is left when runs of others are cut."""
+    kept = "".join(f"\\{c}" if not c.isalnum() else c for c in chars)
+    return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
 
 def lines_of(text: Column) -> Column:
     r"""The \n-split lines that hold a word."""
-    return F.filter(F.split(whole(text), "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    return F.filter(F.split(whole(text), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
 
 
 def packed(docs: DataFrame) -> Column:
