@@ -26,12 +26,12 @@ from strataq.storage import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"  # the second, no character of any text, stands for a literal U+2581
-NEVER = np.int32(2**31 - 1)
-UNKNOWN = 1 << 17
+#: In the arrays of a merge: no merge, and no part.
+NEVER = NONE = 65535
 LONG_UNIT = 48
 BATCH_CHARS = 2 << 20
 ROWS = 50_000
-CACHED = 1_000_000
+CACHED = 2_000_000
 
 _U = np.uint64
 
@@ -63,8 +63,10 @@ class Pieces:
         chars = sorted({c for t in self.ids for c in t} - set(self.ids))
         self.char_id = {c: i for c, i in self.ids.items() if len(c) == 1} | {c: n + k for k, c in enumerate(chars)}
         self.size = n + len(chars)
+        if self.size >= NONE:
+            raise ValueError("the model has too many pieces")
         by_score = sorted(self.ids.values(), key=lambda i: (-sp.get_score(i), i))
-        rank = np.full(n, NEVER, np.int32)
+        rank = np.full(n, NEVER, np.uint16)
         rank[by_score] = np.arange(len(by_score))
         pairs = {}
         known = self.ids | self.char_id
@@ -72,22 +74,22 @@ class Pieces:
             for k in range(1, len(t)):
                 a, b = known.get(t[:k]), known.get(t[k:])
                 if a is not None and b is not None:
-                    pairs[a * UNKNOWN + b] = i
+                    pairs[(a << 16) + b] = i
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_rank = rank[[pairs[k] for k in self.pair_keys.tolist()]]
         self.pairs = pairs
         self.rank = rank
-        self.by_rank = np.array(by_score, np.int32)
+        self.by_rank = np.array(by_score, np.uint16)
         raw = [bytes([int(t[1:-1], 16)]) if sp.is_byte(i) else t.replace(SPACE, " ").encode() if plain[i] else b"" for i, t in enumerate(self.text)]
         self.raw_start = np.cumsum([0, *map(len, raw)])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of parts ``a`` and ``b``; NEVER where there is none."""
-        key = a.astype(np.int64) * UNKNOWN + b
+        key = (a.astype(np.int64) << 16) + b
         at = np.searchsorted(self.pair_keys, key)
         at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == key, self.pair_rank[at], NEVER)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], np.uint16(NEVER))
 
 
 @lru_cache(2)
@@ -120,23 +122,22 @@ def merge_many(p: Pieces, chars: np.ndarray, key: np.ndarray, dropout: float) ->
     """Merge a matrix of code points, -1 beyond each row's end: part ids (-1 beyond the end) and places."""
     m, width = chars.shape
     points, inverse = np.unique(chars, return_inverse=True)
-    part = np.array([-1 if c < 0 else p.char_id.get(chr(c), p.size) for c in points.tolist()], np.int32)
-    # Characters without a piece, numbered p.size, never merge; their place tells which they are.
-    sym = np.concatenate([part[inverse.reshape(m, width)], np.full((m, 1), -1, np.int32)], axis=1)
-    place = np.tile(np.arange(width + 1, dtype=np.int32), (m, 1))
-    none = (sym[:, :-1] < 0) | (sym[:, 1:] < 0) | (sym[:, :-1] >= p.size) | (sym[:, 1:] >= p.size)
-    rank = p.lookup(np.maximum(sym[:, :-1], 0), np.maximum(sym[:, 1:], 0))
-    rank = np.where(none, NEVER, rank)
-    rows = np.arange(m)
-    done_sym, done_place = np.full((m, width), -1, np.int32), np.zeros((m, width), np.int32)
-    cols = np.arange(width)
+    part = np.array([NONE if c < 0 else p.char_id.get(chr(c), p.size) for c in points.tolist()], np.uint16)
+    # Characters without a piece, numbered p.size, are in no pair; their place tells which they are.
+    sym = np.concatenate([part[inverse.reshape(m, width)], np.full((m, 1), NONE, np.uint16)], axis=1)
+    place = np.tile(np.arange(width + 1, dtype=np.uint8), (m, 1))
+    rank = p.lookup(sym[:, :-1], sym[:, 1:])
+    rows, cols = np.arange(m), np.arange(width, dtype=np.int16)
+    done_sym, done_place = np.full((m, width), -1, np.int32), np.zeros((m, width), np.uint8)
     while len(rows):
         best = rank.argmin(1)
         at = np.arange(len(rows))
         live = rank[at, best] != NEVER
         if not live.all():
             gone = ~live
-            done_sym[rows[gone], : sym.shape[1] - 1], done_place[rows[gone], : sym.shape[1] - 1] = sym[gone, :-1], place[gone, :-1]
+            ended = sym[gone, :-1].astype(np.int32)
+            ended[ended == NONE] = -1
+            done_sym[rows[gone]], done_place[rows[gone]] = ended, place[gone, :-1]
             rows, sym, place, rank, key, best = rows[live], sym[live], place[live], rank[live], key[live], best[live]
             at = np.arange(len(rows))
             if not len(rows):
@@ -144,24 +145,25 @@ def merge_many(p: Pieces, chars: np.ndarray, key: np.ndarray, dropout: float) ->
         a, b = sym[at, best], sym[at, best + 1]
         drop = _skips(key, place[at, best], a, b, dropout) if dropout > 0 else np.zeros(len(rows), bool)
         rank[at[drop], best[drop]] = NEVER
-        go = ~drop
-        if go.any():
-            r, j = at[go], best[go]
+        r = at[~drop]
+        if len(r):
+            j = best[r]
             merged = p.by_rank[rank[r, j]]
             # Close the gap to the right of each merge.
-            from_ = cols[None, :] + (cols[None, :] > j[:, None])
-            sym[r[:, None], cols[None, :]] = sym[r[:, None], from_]
-            place[r[:, None], cols[None, :]] = place[r[:, None], from_]
-            padded = np.concatenate([rank[r], np.full((len(r), 1), NEVER, np.int32)], axis=1)
-            moved = np.take_along_axis(padded, from_, axis=1)
-            sym[r, j] = merged
+            beyond = cols[None, :] > j[:, None]
+            old, old_place, old_rank = sym[r], place[r], rank[r]
+            new = np.where(beyond, old[:, 1:], old[:, :-1])
+            new[np.arange(len(r)), j] = merged
+            np.copyto(old_rank[:, :-1], old_rank[:, 1:].copy(), where=beyond[:, :-1])
+            old_rank[:, -1] = NEVER
+            right = np.concatenate([new, old[:, -1:]], axis=1)
             for side in (j - 1, j):
-                ok = side >= 0
-                rr, s = r[ok], side[ok]
-                x, y = sym[rr, s], sym[rr, np.minimum(s + 1, width)]
-                fresh = p.lookup(np.maximum(x, 0), np.maximum(y, 0))
-                moved[np.flatnonzero(ok), s] = np.where((x < 0) | (y < 0) | (x >= p.size) | (y >= p.size), NEVER, fresh)
-            rank[r] = moved
+                ok = np.flatnonzero(side >= 0)
+                s = side[ok]
+                old_rank[ok, s] = p.lookup(new[ok, s], right[ok, s + 1])
+            sym[r, :-1] = new
+            place[r, :-1] = np.where(beyond, old_place[:, 1:], old_place[:, :-1])
+            rank[r] = old_rank
     return done_sym, done_place
 
 
@@ -174,8 +176,8 @@ def merge_one(p: Pieces, unit: str, key: np.ndarray, dropout: float) -> list[tup
 
     def offer(i: int, j: int) -> None:
         if 0 <= i and j < n and part[i] < p.size and part[j] < p.size:
-            merged = p.pairs.get(part[i] * UNKNOWN + part[j])
-            if merged is not None and p.rank[merged] != NEVER:
+            merged = p.pairs.get((part[i] << 16) + part[j])
+            if merged is not None:
                 heapq.heappush(agenda, (int(p.rank[merged]), i, j, part[i], part[j]))
 
     for i in range(n - 1):
@@ -186,7 +188,7 @@ def merge_one(p: Pieces, unit: str, key: np.ndarray, dropout: float) -> list[tup
             continue
         if dropout > 0 and _skips(key, np.array([i]), np.array([a]), np.array([b]), dropout)[0]:
             continue
-        part[i], part[j] = p.pairs[a * UNKNOWN + b], -1
+        part[i], part[j] = p.pairs[(a << 16) + b], -1
         nxt[i] = nxt[j]
         if nxt[j] < n:
             prev[nxt[j]] = i
