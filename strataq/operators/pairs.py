@@ -20,22 +20,35 @@ from strataq.storage import materialize
 PIVOTS = 64
 
 
-def containment_join(left: DataFrame, right: DataFrame, t: float, self_join: bool = False) -> DataFrame:
+def containment_join(left: DataFrame, right: DataFrame, t: float, self_join: bool = False, flag: str | None = None, jaccard: bool = False) -> DataFrame:
     """Pairs (l, r, common, l_size, r_size) of sets with |l and r| >= t * |l|.
 
     Both sides are (id, tokens) with distinct tokens; empty sets join with nothing. With
     ``self_join`` (both sides the same) l is the smaller set, ties by id, and pairs come once.
+    With ``flag``, a boolean column of both sides, only sets of opposite flags meet. With ``jaccard`` only
+    pairs that may have a Jaccard similarity of t are wanted: r too meets by its rarest tokens, and is
+    at most 1 / t times as large.
     """
-    tok = lambda df, k: df.where(F.size("tokens") > 0).select(F.col("id").alias(k), F.size("tokens").alias(f"{k}_size"), F.explode("tokens").alias("token"))
+    more = [flag] if flag else []
+    tok = lambda df, k: df.where(F.size("tokens") > 0).select(F.col("id").alias(k), F.size("tokens").alias(f"{k}_size"), *(F.col(f).alias(f"{k}_flag") for f in more), F.explode("tokens").alias("token"))
     l, r = tok(left, "l"), tok(right, "r")
     frequency = r.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = l.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("df", "token"))
-    need = F.ceil(F.col("l_size") * t - 1e-9)
-    prefix = ranked.withColumn("place", place).where((F.col("place") <= F.col("l_size") - F.greatest(need, F.lit(1)) + 1) & (F.col("df") > 0))
-    met = prefix.select("token", "l", "l_size").join(r, "token")
+
+    def prefix(df: DataFrame, k: str) -> DataFrame:
+        ranked = df.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(k).orderBy("df", "token"))
+        need = F.greatest(F.ceil(F.col(f"{k}_size") * t - 1e-9), F.lit(1))
+        return ranked.withColumn("place", place).where((F.col("place") <= F.col(f"{k}_size") - need + 1) & (F.col("df") > 0)).drop("place", "df")
+
+    r = prefix(r, "r") if jaccard else r
+    if flag:
+        met = prefix(l, "l").withColumn("r_flag", ~F.col("l_flag")).join(r, ["token", "r_flag"])
+    else:
+        met = prefix(l, "l").join(r, "token")
     if self_join:
         met = met.where((F.col("l_size") < F.col("r_size")) | ((F.col("l_size") == F.col("r_size")) & (F.col("l") < F.col("r"))))
+    if jaccard:
+        met = met.where(F.col("r_size") * t <= F.col("l_size") + 1e-9)
     pairs = met.select("l", "r").distinct()
     sets = lambda df, k: df.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens"))
     both = pairs.join(sets(left, "l"), "l").join(sets(right, "r"), "r")
@@ -45,7 +58,7 @@ def containment_join(left: DataFrame, right: DataFrame, t: float, self_join: boo
 
 def jaccard_join(sets: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b, jaccard) with a < b and Jaccard similarity of at least ``t``."""
-    pairs = containment_join(sets, sets, t, self_join=True)
+    pairs = containment_join(sets, sets, t, self_join=True, jaccard=True)
     j = F.col("common") / (F.col("l_size") + F.col("r_size") - F.col("common"))
     return pairs.withColumn("jaccard", j).where(F.col("jaccard") >= t - 1e-12).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "jaccard")
 
@@ -56,7 +69,7 @@ def contradictions(found: DataFrame, tokens: Column, negated: Column, t: float =
     Once per pair; provisional, with confidence .40 instead of .55, if one of them is established.
     """
     f = materialize(found.select("id", tokens.alias("tokens"), negated.alias("negated"), S.protection(F.col("confidence"), F.col("record_type")).alias("weight")), "contradiction-sets")
-    pairs = containment_join(f.select("id", "tokens"), f.select("id", "tokens"), t, self_join=True)
+    pairs = containment_join(f.select("id", "tokens", "negated"), f.select("id", "tokens", "negated"), t, self_join=True, flag="negated")
     side = lambda k: f.select(F.col("id").alias(k), F.col("negated").alias(f"{k}_n"), F.col("weight").alias(f"{k}_w"))
     out = pairs.join(side("l"), "l").join(side("r"), "r").where(F.col("l_n") != F.col("r_n")).withColumn("provisional", F.greatest("l_w", "r_w") >= established)
     return out.select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"), "provisional", F.when(F.col("provisional"), 0.40).otherwise(0.55).alias("confidence"))

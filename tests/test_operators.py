@@ -111,6 +111,11 @@ def test_containment_join_equals_all_pairs(spark):
     df = spark.createDataFrame(list(sets.items()), "id int, tokens array<string>")
     got = {(r["l"], r["r"]) for r in pairs.containment_join(df, df, 0.5).collect()}
     assert got == {(a, b) for a in sets for b in sets if len(set(sets[a]) & set(sets[b])) >= 0.5 * len(sets[a])}
+    near = {(r["a"], r["b"]) for r in pairs.jaccard_join(df, 0.6).collect()}
+    assert near == {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b]))}
+    flags = df.withColumn("f", F.col("id") % 3 == 0)
+    other = {tuple(sorted((r["l"], r["r"]))) for r in pairs.containment_join(flags, flags, 0.5, self_join=True, flag="f").collect()}
+    assert other == {(a, b) for a in sets for b in sets if a < b and (a % 3 == 0) != (b % 3 == 0) and len(set(sets[a]) & set(sets[b])) >= 0.5 * min(len(sets[a]), len(sets[b]))}
 
 
 def test_similar_vectors_and_greedy_clusters(spark):
