@@ -1,7 +1,8 @@
 """A training corpus from ``documents`` in five stages, each written as Parquet and read again.
 
 Low quality goes, then exact copies, then near copies; the rest is put in the order of a mix with
-target weights and encoded. All stages but the last return the columns of ``documents``.
+target weights and encoded. All stages but the last return the columns of ``documents``; the last
+adds the place in the mix, since the order of files is lost when they are read in splits.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``documents`` with piece ids and what they decode to."""
+    """The columns of ``documents`` in the order of the mix, with their slot and block_offset, piece ids and what they decode to."""
+    docs = mixing.mixed_order(docs, placed=True)
     return pieces.encode_documents(docs, [F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -111,13 +111,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), WEIGHTS)
 
 
-def mixed_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS, placed: bool = False) -> DataFrame:
     """All rows of ``docs`` with their columns, range-partitioned and sorted in the order of the mix.
 
-    Rows with equal ids share the first of their places, and rows with a null id come last.
+    Rows with equal ids share the first of their places, and rows with a null id come last. With
+    ``placed``, slot and block_offset are added, null for a null id; a column named like them gives
+    way. Places depend on the set of rows alone, so rows in any order get the same ones.
     """
     with scratch() as made:
         order = mix(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("slot", "block_offset")).alias("_place"))
         order = kept(made, materialize(order.withColumnRenamed("doc_id", "_mixed"), "mix-order"))
     rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
-    return unpacked(rows.join(order, F.col("_id") == F.col("_mixed"), "left").orderBy(F.col("_place").asc_nulls_last(), "_id"))
+    rows = rows.join(order, F.col("_id") == F.col("_mixed"), "left").orderBy(F.col("_place").asc_nulls_last(), "_id")
+    names = ("slot", "block_offset") if placed else ()
+    return unpacked(rows, *(F.col("_place")[n].alias(n) for n in names), names=names)
