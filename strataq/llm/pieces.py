@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Byte-pair merges run over an agenda ordered by piece score. A candidate merge that comes up is
-skipped for good if a keyed hash of (seed, stream, unit, place, both parts) falls below the dropout
-rate, so a seed gives the same segmentation anywhere, and other seeds give others. Units are runs of
-spaces with the text that follows: no piece crosses their bounds, which is checked when a model is
-loaded. Equal units of a batch that draw the same stream are merged once, many at a time in numpy.
+skipped for good if a keyed hash of (seed, document, unit and its place, place in the unit, both
+parts) falls below the dropout rate, so a seed gives the same segmentation anywhere, and other seeds
+give others. Units are runs of spaces with the text that follows: no piece crosses their bounds,
+which is checked when a model is loaded. Every occurrence of a unit draws for itself; those that
+skip the same steps are merged once, many at a time in numpy.
 Characters without a piece, and a literal U+2581, become byte pieces: decoding is lossless.
 """
 
@@ -65,6 +66,10 @@ class Pieces:
         self.size = n + len(chars)
         if self.size >= NONE:
             raise ValueError("the model has too many pieces")
+        # By code point; the last is for -1.
+        self.char_part = np.full(0x110001, self.size, np.uint16)
+        self.char_part[[ord(c) for c in self.char_id]] = list(self.char_id.values())
+        self.char_part[-1] = NONE
         by_score = sorted(self.ids.values(), key=lambda i: (-sp.get_score(i), i))
         rank = np.full(n, NEVER, np.uint16)
         rank[by_score] = np.arange(len(by_score))
@@ -75,8 +80,18 @@ class Pieces:
                 a, b = known.get(t[:k]), known.get(t[k:])
                 if a is not None and b is not None:
                     pairs[(a << 16) + b] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_rank = rank[[pairs[k] for k in self.pair_keys.tolist()]]
+        # Pairs by hash; those whose slot is taken go on to another table.
+        keys, ranks = np.array(sorted(pairs), np.int64), rank[[pairs[k] for k in sorted(pairs)]]
+        self.tables = []
+        while len(keys):
+            bits = max(8, int(len(keys)).bit_length() + 2)
+            table, found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.uint16)
+            slot = self._slot(keys, len(self.tables), bits)
+            table[slot], found[slot] = keys, ranks
+            lost = table[slot] != keys
+            found[slot[~lost]] = ranks[~lost]
+            self.tables.append((bits, table, found))
+            keys, ranks = keys[lost], ranks[lost]
         self.pairs = pairs
         self.rank = rank
         self.by_rank = np.array(by_score, np.uint16)
@@ -87,9 +102,15 @@ class Pieces:
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of parts ``a`` and ``b``; NEVER where there is none."""
         key = (a.astype(np.int64) << 16) + b
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == key, self.pair_rank[at], np.uint16(NEVER))
+        out = np.full(key.shape, NEVER, np.uint16)
+        for k, (bits, table, found) in enumerate(self.tables):
+            slot = self._slot(key, k, bits)
+            out = np.where(table[slot] == key, found[slot], out)
+        return out
+
+    @staticmethod
+    def _slot(key: np.ndarray, k: int, bits: int) -> np.ndarray:
+        return ((key.view(_U) * _U((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[k % 2] + 2 * k)) >> _U(64 - bits)).view(np.int64)
 
 
 @lru_cache(2)
@@ -113,23 +134,42 @@ def _keys(units: np.ndarray, seed: int, stream: np.ndarray) -> np.ndarray:
     return _mix(units ^ _mix(_U(seed & (2**64 - 1)) + (stream.astype(_U) + _U(1)) * _U(0xD1B54A32D192ED03)))
 
 
+def _occurrence_keys(units: np.ndarray, salts: list[int], per_text: np.ndarray, seed: int) -> np.ndarray:
+    """A key for every occurrence of a unit, from its text's salt and its place among the text's units."""
+    salt = np.repeat(_mix(np.array([s & (2**64 - 1) for s in salts], _U) + _U(seed & (2**64 - 1))), per_text)
+    place = _ragged(np.zeros(len(per_text), np.int64), per_text).astype(_U)
+    return _keys(units, seed, _mix(salt + place * _U(0x9E3779B97F4A7C15)))
+
+
+def _steps(place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return place.astype(_U) * _U(0xA0761D6478BD642F) + a.astype(_U) * _U(0xE7037ED1A0B428DB) + b.astype(_U) * _U(0x8EBC6AF09C88C6E3)
+
+
+def _falls(x: np.ndarray, dropout: float) -> np.ndarray:
+    return (_mix(x) >> _U(11)).astype(np.float64) * 2.0**-53 < dropout
+
+
 def _skips(key: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, dropout: float) -> np.ndarray:
-    x = _mix(key + place.astype(_U) * _U(0xA0761D6478BD642F) + a.astype(_U) * _U(0xE7037ED1A0B428DB) + b.astype(_U) * _U(0x8EBC6AF09C88C6E3))
-    return (x >> _U(11)).astype(np.float64) * 2.0**-53 < dropout
+    return _falls(key + _steps(place, a, b), dropout)
+
 
+def merge_many(
+    p: Pieces, chars: np.ndarray, key: np.ndarray, dropout: float, skips: np.ndarray | None = None, trail: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Merge a matrix of code points, -1 beyond each row's end: part ids (-1 beyond the end) and places.
 
-def merge_many(p: Pieces, chars: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge a matrix of code points, -1 beyond each row's end: part ids (-1 beyond the end) and places."""
+    Given ``skips``, each row skips the steps of those numbers and draws nothing. ``trail`` takes rows, number and hashes of every step.
+    """
     m, width = chars.shape
-    points, inverse = np.unique(chars, return_inverse=True)
-    part = np.array([NONE if c < 0 else p.char_id.get(chr(c), p.size) for c in points.tolist()], np.uint16)
     # Characters without a piece, numbered p.size, are in no pair; their place tells which they are.
-    sym = np.concatenate([part[inverse.reshape(m, width)], np.full((m, 1), NONE, np.uint16)], axis=1)
+    sym = np.concatenate([p.char_part[chars], np.full((m, 1), NONE, np.uint16)], axis=1)
     place = np.tile(np.arange(width + 1, dtype=np.uint8), (m, 1))
     rank = p.lookup(sym[:, :-1], sym[:, 1:])
     rows, cols = np.arange(m), np.arange(width, dtype=np.int16)
     done_sym, done_place = np.full((m, width), -1, np.int32), np.zeros((m, width), np.uint8)
+    step = -1
     while len(rows):
+        step += 1
         best = rank.argmin(1)
         at = np.arange(len(rows))
         live = rank[at, best] != NEVER
@@ -143,7 +183,12 @@ def merge_many(p: Pieces, chars: np.ndarray, key: np.ndarray, dropout: float) ->
             if not len(rows):
                 break
         a, b = sym[at, best], sym[at, best + 1]
-        drop = _skips(key, place[at, best], a, b, dropout) if dropout > 0 else np.zeros(len(rows), bool)
+        if skips is not None:
+            drop = (skips[rows] == step).any(1)
+        else:
+            drop = _skips(key, place[at, best], a, b, dropout) if dropout > 0 else np.zeros(len(rows), bool)
+        if trail is not None:
+            trail.append((rows, step, _steps(place[at, best], a, b)))
         rank[at[drop], best[drop]] = NEVER
         r = at[~drop]
         if len(r):
@@ -209,11 +254,16 @@ def _expand(p: Pieces, unit: str, parts: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def segment(p: Pieces, points: np.ndarray, first: np.ndarray, sizes: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of units (a first code point and a size each), merged under ``key``, as a flat array with counts."""
+def segment(
+    p: Pieces, points: np.ndarray, first: np.ndarray, sizes: np.ndarray, key: np.ndarray, dropout: float, skips: np.ndarray | None = None, trail: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of units (a first code point and a size each), merged under ``key``, as a flat array with counts.
+
+    ``skips`` and ``trail`` are those of ``merge_many``, and only hold for units up to LONG_UNIT.
+    """
     counts = np.zeros(len(first), np.int64)
     single: dict[int, np.ndarray] = {}
-    order = np.argsort(sizes, kind="stable")
+    order = np.argsort(np.minimum(sizes, NONE).astype(np.uint16), kind="stable")
     short = order[: np.searchsorted(sizes[order], LONG_UNIT, side="right")]
     flats, owners = [], []
     text_of = lambda i: points[first[i] : first[i] + sizes[i]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
@@ -222,7 +272,10 @@ def segment(p: Pieces, points: np.ndarray, first: np.ndarray, sizes: np.ndarray,
         cols = np.arange(int(sizes[own].max()))
         inside = cols[None, :] < sizes[own][:, None]
         chars = np.where(inside, points[np.where(inside, first[own][:, None] + cols[None, :], 0)], -1)
-        sym, place = merge_many(p, chars, key[own], dropout)
+        met: list = []
+        sym, place = merge_many(p, chars, key[own], dropout, None if skips is None else skips[own], None if trail is None else met)
+        if trail is not None:
+            trail += [(own[rows], step, steps) for rows, step, steps in met]
         used = sym >= 0
         odd = np.flatnonzero((sym >= len(p.text)).any(1))
         for k in odd.tolist():
@@ -245,10 +298,14 @@ def segment(p: Pieces, points: np.ndarray, first: np.ndarray, sizes: np.ndarray,
 
 
 class Segments:
-    """Segmentations by key that later batches of a task can use again; dropped as a whole beyond CACHED of them."""
+    """Segmentations by unit and skipped steps that later batches of a task can use again; dropped as a whole beyond CACHED of them.
+
+    Each comes with the hashes of the steps that led to it, in their order.
+    """
 
     def __init__(self):
         self.key, self.start, self.count, self.flat = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.step_start, self.step_count, self.steps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key is, and whether it is there."""
@@ -258,15 +315,49 @@ class Segments:
         at[at == len(self.key)] = 0
         return at, self.key[at] == key
 
-    def add(self, key: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, key: np.ndarray, flat: np.ndarray, counts: np.ndarray, steps: np.ndarray, step_counts: np.ndarray) -> None:
         """Take in segmentations under keys that are sorted and new."""
-        if len(self.key) and len(self.key) + len(key) > CACHED:
-            self.__init__()
         at = np.searchsorted(self.key, key)
         self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(counts) - counts)
         self.count = np.insert(self.count, at, counts)
+        self.step_start = np.insert(self.step_start, at, len(self.steps) + np.cumsum(step_counts) - step_counts)
+        self.step_count = np.insert(self.step_count, at, step_counts)
         self.key = np.insert(self.key, at, key)
         self.flat = np.concatenate([self.flat, flat])
+        self.steps = np.concatenate([self.steps, steps])
+
+    def need(self, p: Pieces, points: np.ndarray, first: np.ndarray, sizes: np.ndarray, key: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """Where each of the sorted keys is, after units that are not there were merged with their steps ``skips`` skipped."""
+        new = np.flatnonzero(~self.find(key)[1])
+        # What is needed together has to be there together.
+        if len(new) and len(self.key) + len(new) > CACHED:
+            self.__init__()
+            new = np.arange(len(key))
+        if len(new):
+            trail: list = []
+            flat, counts = segment(p, points, first[new], sizes[new], key[new], 0.0, skips[new], trail)
+            step_counts = np.zeros(len(new), np.int64)
+            for rows, step, _ in trail:
+                step_counts[rows] = step + 1
+            step_starts = np.cumsum(step_counts) - step_counts
+            steps = np.empty(int(step_counts.sum()), _U)
+            for rows, step, hashes in trail:
+                steps[step_starts[rows] + step] = hashes
+            self.add(key[new], flat, counts, steps, step_counts)
+        return self.find(key)[0]
+
+    def first_skip(self, at: np.ndarray, key: np.ndarray, since: np.ndarray, dropout: float) -> np.ndarray:
+        """Of segmentations ``at`` the first step from ``since`` on that draws under ``key`` skip, or -1."""
+        out = np.full(len(at), -1, np.int16)
+        for k in range(0, len(at), ROWS):
+            some = slice(k, k + ROWS)
+            start, n = self.step_start[at[some]], self.step_count[at[some]] - since[some]
+            step = _ragged(start + since[some], n)
+            owner = np.repeat(np.arange(len(n)), n)
+            # From the last to the first, so that the first one stays.
+            hit = np.flatnonzero(_falls(key[some][owner] + self.steps[step], dropout))[::-1]
+            out[some][owner[hit]] = step[hit] - start[owner[hit]]
+        return out
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -293,26 +384,47 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_batch(
-    p: Pieces, texts: list[str], salts: list[int], seed: int, dropout: float, streams: int = 8, cache: Segments | None = None
+    p: Pieces, texts: list[str], salts: list[int], seed: int, dropout: float, cache: Segments | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of every text as a flat array with starts; a salt per text picks its units' streams."""
+    """Piece ids of every text as a flat array with starts; a salt per text goes into its units' draws.
+
+    The ids are those of merging every occurrence under its own key. An occurrence that skips no step
+    of its unit's merges without dropout shares their result; one that skips a step goes on from
+    there, with all that skipped the same steps, until it skips no more.
+    """
     cache = Segments() if cache is None else cache
     points, first, per_text = _units(texts)
     sizes = np.diff(np.append(first, len(points)))
-    salt = np.repeat(_mix(np.array([s & (2**64 - 1) for s in salts], _U) + _U(seed & (2**64 - 1))), per_text)
-    place = _ragged(np.zeros(len(texts), np.int64), per_text).astype(_U)
-    stream = (_mix(salt + place * _U(0x9E3779B97F4A7C15)) % _U(streams)) if dropout > 0 else np.zeros(len(first), _U)
-    key, some, inverse = np.unique(_keys(_unit_hashes(points, first, sizes), seed, stream), return_index=True, return_inverse=True)
-    _, there = cache.find(key)
-    new = some[~there]
-    # A batch may clear the cache, so what it needs is merged in full then.
-    if len(cache.key) + len(new) > CACHED:
-        cache.__init__()
-        new, there = some, np.zeros(len(key), bool)
-    cache.add(key[~there], *segment(p, points, first[new], sizes[new], key[~there], dropout))
-    at, _ = cache.find(key)
-    counts = cache.count[at][inverse]
-    ids = cache.flat[_ragged(cache.start[at][inverse], counts)]
+    units = _unit_hashes(points, first, sizes)
+    own = _occurrence_keys(units, salts, per_text, seed) if dropout > 0 else units
+    alone = (sizes > LONG_UNIT) & (dropout > 0)
+    counts = np.zeros(len(first), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if alone.any():
+        who = np.flatnonzero(alone)
+        flat, counts[who] = segment(p, points, first[who], sizes[who], own[who], dropout)
+        found.append((who, flat))
+    who = np.flatnonzero(~alone)
+    node, skips = units[who], np.zeros((len(who), 0), np.int16)
+    while len(who):
+        key, inverse = np.unique(node, return_inverse=True)
+        some = np.empty(len(key), np.int64)
+        some[inverse] = np.arange(len(node))
+        at = cache.need(p, points, first[who[some]], sizes[who[some]], key, skips[some])[inverse]
+        if dropout > 0:
+            skip = cache.first_skip(at, own[who], skips[:, -1].astype(np.int64) + 1 if skips.shape[1] else np.zeros(len(who), np.int64), dropout)
+        else:
+            skip = np.full(len(who), -1, np.int16)
+        ended, more = skip < 0, skip >= 0
+        counts[who[ended]] = cache.count[at[ended]]
+        found.append((who[ended], cache.flat[_ragged(cache.start[at[ended]], cache.count[at[ended]])]))
+        node = _mix(node[more] ^ _mix(skip[more].astype(_U) + _U(0x8BB84B93962EACC9)))
+        skips = np.concatenate([skips[more], skip[more, None]], axis=1)
+        who = who[more]
+    starts = np.cumsum(counts) - counts
+    ids = np.empty(int(counts.sum()), np.int32)
+    for who, flat in found:
+        ids[_ragged(starts[who], counts[who])] = flat
     ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_text)])]
     return ids, ends
 
@@ -327,7 +439,7 @@ def decode_batch(p: Pieces, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def encode_documents(
-    docs: DataFrame, keep: list[Column], model: str = MODEL, seed: int = 17, dropout: float = 0.1, streams: int = 8
+    docs: DataFrame, keep: list[Column], model: str = MODEL, seed: int = 17, dropout: float = 0.1
 ) -> DataFrame:
     """``keep``, ids, n_tokens, decoded_sha256, lossless for every row of ``docs`` (doc_id, text).
 
@@ -345,7 +457,7 @@ def encode_documents(
         for batch in batches:
             for part in _parts(batch):
                 texts = part.column("_text").to_pylist()
-                ids, starts = encode_batch(p, texts, part.column("_salt").to_pylist(), seed, dropout, streams, cache)
+                ids, starts = encode_batch(p, texts, part.column("_salt").to_pylist(), seed, dropout, cache)
                 back = decode_batch(p, ids, starts)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
