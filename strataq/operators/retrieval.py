@@ -55,18 +55,25 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, aver
     return postings.join(df, "token").join(q, "token").groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, least: float | None = None, same: Column | None = None) -> DataFrame:
-    """(query, id, score, place): exact cosine nearest neighbours of (query, vec) among (id, vec), itself left out.
+def vector_scores(queries: DataFrame, base: DataFrame, least: float | None = None, same: Column | None = None) -> DataFrame:
+    """(query, id, score) and other columns: cosines of (query, vec) with all of (id, vec), itself left out, from ``least`` on.
 
-    Vectors are brought to length 1 once; a stated query set meets all rows, and Spark keeps ``k`` per
-    query in every partition before the shuffle. ``same`` restricts pairs before they are ranked.
+    Vectors are brought to length 1 once; a stated query set meets all rows. ``same`` restricts pairs.
     """
     q = queries.withColumn("q_vec", S.unit(F.col("vec"))).drop("vec")
     d = base.withColumn("d_vec", S.unit(F.col("vec"))).drop("vec")
     pairs = d.crossJoin(q).where(F.col("query") != F.col("id"))
     pairs = pairs.where(same) if same is not None else pairs
     scored = pairs.withColumn("score", S.dot(F.col("q_vec"), F.col("d_vec"))).drop("q_vec", "d_vec")
-    return top_k(scored.where(F.col("score") >= least) if least is not None else scored, k)
+    return scored.where(F.col("score") >= least) if least is not None else scored
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, least: float | None = None, same: Column | None = None) -> DataFrame:
+    """(query, id, score, place): exact cosine nearest neighbours of (query, vec) among (id, vec), itself left out.
+
+    Spark keeps ``k`` per query in every partition before the shuffle.
+    """
+    return top_k(vector_scores(queries, base, least, same), k)
 
 
 def rrf(lists: list[DataFrame], k: int = RRF) -> DataFrame:

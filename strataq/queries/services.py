@@ -43,7 +43,7 @@ def memory_route(spark, sf):
 @query("evidence_precheck", f"WITH {_KNN_SQL}, l AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM (SELECT query, id, round(1.0::DOUBLE / (1 + abs(query - id)), 9) AS score FROM s)), u AS (SELECT query, id, score, 1 AS lane FROM l WHERE score >= 0.05 AND place <= 10 UNION ALL SELECT query, id, score, 2 FROM s WHERE score >= 0.3 AND score >= 0.5) SELECT query, id, arg_min(score, (lane, score)) AS score, CASE min(lane) WHEN 1 THEN 'lexical' ELSE 'semantic' END AS lane FROM u GROUP BY 1, 2")
 def evidence_precheck(spark, sf):
     q, base = _vector_queries(spark, sf), _base(spark, sf)
-    sem = _rounded(R.knn(q, base, 1000, 0.4)).drop("place")
+    sem = _rounded(R.vector_scores(q, base, 0.4))
     lex = base.select("id").crossJoin(q.select("query")).where("query <> id").select("query", "id", F.round(1.0 / (1 + F.abs(F.col("query") - F.col("id"))), 9).alias("score"))
     return V.precheck(lex, sem, 0.05)
 
