@@ -6,6 +6,8 @@ round adds nothing. Bounded walks are unrolled joins.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,11 +15,11 @@ from pyspark.sql.window import Window
 from strataq.storage import discard, materialize
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """(node, hop): all nodes that edges (src, dst) reach from ``seeds`` (node), with their least distance."""
+def closure(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, hop): all nodes that edges (src, dst) reach from ``seeds`` (node), within ``max_hops`` if given, with their least distance."""
     reached = materialize(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "closure")
     frontier = reached
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         fresh = materialize(step.join(reached.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "closure-hop")
         if not fresh.limit(1).count():
@@ -28,14 +30,14 @@ def closure(seeds: DataFrame, edges: DataFrame, max_hops: int = 1000) -> DataFra
     return reached
 
 
-def widest_closure(seeds: DataFrame, edges: DataFrame, max_hops: int = 1000) -> DataFrame:
+def widest_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): reached nodes with the best, over all paths, of the least level along a path.
 
     Edges are (src, dst, level); levels are few (UNPROVEN 0, PROBABLE 1, PROVEN 2), so a node improves seldom.
     """
     best = materialize(seeds.select("node", "level"), "widest")
     frontier = best
-    for _ in range(max_hops):
+    while True:
         step = frontier.withColumnRenamed("level", "_l").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.least("_l", "level").alias("level"))
         step = step.groupBy("node").agg(F.max("level").alias("level"))
         known = best.withColumnRenamed("level", "_old")

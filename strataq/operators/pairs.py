@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataq.functions import scoring as S
-from strataq.storage import materialize
+from strataq.storage import discard, materialize
 
 PIVOTS = 64
 
@@ -107,23 +107,30 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = PIVOTS)
     return pairs.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def greedy_representatives(items: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_representatives(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(vec_id, rep): greedy clustering in order of ids. An item represents itself unless an earlier
     representative is its neighbour; then the earliest such one does.
 
     Rounds settle items whose earlier neighbours are settled, as a lexicographically first maximal
-    independent set; each round is written to the shared folder.
+    independent set, until none is left; each round is written to the shared folder. Pairs have to lead
+    from an earlier item ``a`` to a later ``b``, else a round may settle none, which raises.
     """
     edges = materialize(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")), "greedy-edges")
     state = materialize(items.select("vec_id", F.lit(None).cast("boolean").alias("is_rep")), "greedy-state")
-    for _ in range(max_rounds):
+    left = None
+    while True:
         seen = edges.join(state.select(F.col("vec_id").alias("early"), F.col("is_rep").alias("r")), "early")
         verdict = seen.groupBy("late").agg(F.max(F.coalesce("r", F.lit(False))).alias("covered"), F.max(F.col("r").isNull()).alias("waiting"))
         new = state.join(verdict, state["vec_id"] == verdict["late"], "left")
         rule = F.when(F.col("late").isNull(), True).when(F.col("covered"), False).when(F.col("waiting"), None).otherwise(True)
-        state = materialize(new.select("vec_id", F.coalesce("is_rep", rule).alias("is_rep")), "greedy-state")
-        if not state.where("is_rep IS NULL").limit(1).count():
+        before, state = state, materialize(new.select("vec_id", F.coalesce("is_rep", rule).alias("is_rep")), "greedy-state")
+        discard(before)
+        waiting = state.where("is_rep IS NULL").count()
+        if not waiting:
             break
+        if waiting == left:
+            raise RuntimeError(f"{waiting} items wait for each other: pairs do not lead from earlier to later ones")
+        left = waiting
     reps = state.where("is_rep").select(F.col("vec_id").alias("early"))
     owner = edges.join(reps, "early").groupBy("late").agg(F.min("early").alias("owner"))
     return state.join(owner, state["vec_id"] == owner["late"], "left").select("vec_id", F.when(F.col("is_rep"), F.col("vec_id")).otherwise(F.col("owner")).alias("rep"))
