@@ -1,6 +1,7 @@
 """URL verdicts by rules, and by redirect equivalence where no rule fits; DataFrame operations alone.
 
-Redirects and canonical links are edges between URLs. A URL without a rule takes the decision of
+Redirects and all canonical links and refreshes of a page are edges between URLs; relative links are
+resolved against the page's URL (RFC 3986, 5.2). A URL without a rule takes the decision of
 its connected component: block if a member is blocked and none is allowed by a rule, else allow.
 """
 
@@ -36,19 +37,38 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(u, "://") > 0, F.concat(F.substring_index(u, "://", 1), F.lit("://"), host_of(u), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from ``/`` on without dot segments: ``.`` goes, and ``..`` goes with the segment before it."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+        lambda a: F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(a) > 0), F.concat(a, F.array(F.lit("")))).otherwise(a),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """A link as found in a page: absolute, from ``//`` or from ``/``; others have no node."""
+    """A link as found in a page as an absolute URL; null for schemes without ``://`` and for fragments of the page."""
     scheme = F.substring_index(base, "://", 1)
-    return (
-        F.when(F.instr(link, "://") > 0, link)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.regexp_extract(path_of(base), "(?s)^.*/", 0)
+    url = (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | link.startswith("#"), None)
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path_of(base), link))
+        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
+    path = path_of(url)
+    flat = F.concat(F.regexp_extract(url, "(?s)^.*?://[^/?#]*", 0), _without_dots(path), F.regexp_extract(url, "(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(F.contains(path, F.lit("/.")), flat).otherwise(url)
 
 
 def links_of(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of canonical links and of meta refreshes in ``pages`` (url, html)."""
-    found = pages.select("url", F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("link"))
+    found = pages.select("url", F.explode(F.concat(*(F.regexp_extract_all("html", F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH)))).alias("link"))
     found = found.where("link <> ''").select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("url"), F.col("link"))).alias("dst"))
     return found.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
