@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows. A document also fails
 if its histogram of character classes or of common words lies too far, by Jensen-Shannon distance,
 from the reference of every language. References are sums over all documents of a language that
-pass the base rules; at most one row per language of COMMON reaches the driver.
+pass the base rules: of character classes for every value of lang, of common words for the languages
+of COMMON. A row per language, at most MAX_LANGS, reaches the driver and the plan.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ COMMON = {
 }
 WORDS = tuple(sorted({w for ws in COMMON.values() for w in ws}))
 WINDOW = 8
+MAX_LANGS = 2000
 
 
 def _bind(value: Column, use) -> Column:
@@ -88,20 +90,23 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def references(measured: DataFrame, lang: str) -> dict[str, dict[str, list[float]]]:
-    """By histogram and language of COMMON, the shares over all documents that pass the base rules."""
+    """By histogram and language, the shares over all documents that pass the base rules; of words only for COMMON."""
     sizes = {"_classes": 7, "_words": len(WORDS) + 1}
     sums = [F.sum(F.col(h)[i]) for h, n in sizes.items() for i in range(n)]
     out: dict[str, dict[str, list[float]]] = {h: {} for h in sizes}
-    for r in measured.where(~F.col("base_failed") & F.col(lang).isin(*COMMON)).groupBy(lang).agg(*sums).collect():
+    rows = measured.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(*sums).limit(MAX_LANGS + 1).collect()
+    if len(rows) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: group them first")
+    for r in rows:
         values = list(r)[1:]
         for h, n in sizes.items():
             part, values = values[:n], values[n:]
-            if sum(part) > 0:
+            if sum(part) > 0 and (h == "_classes" or r[0] in COMMON):
                 out[h][r[0]] = [x / sum(part) for x in part]
     return out
 
 
-def _distance(counts: Column, reference: list[float]) -> Column:
+def _distance(counts: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) between a histogram of counts and fixed shares."""
     total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)).cast("double")
 
@@ -111,26 +116,36 @@ def _distance(counts: Column, reference: list[float]) -> Column:
         log = lambda v: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
         return log(p) + log(q)
 
-    terms = F.zip_with(counts, F.array(*(F.lit(float(q)) for q in reference)), lambda x, q: part(x, q, total))
+    shares = reference if isinstance(reference, Column) else F.array(*(F.lit(float(q)) for q in reference))
+    terms = F.zip_with(counts, shares, lambda x, q: part(x, q, total))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def _nearest(counts: Column, known: dict[str, list[float]]) -> Column:
+    """The least distance to a reference, null without any."""
+    if not known:
+        return F.lit(None).cast("double")
+    shares = F.array(*(F.array(*(F.lit(float(q)) for q in known[k])) for k in sorted(known)))
+    return F.array_min(F.transform(shares, lambda r: _distance(counts, r)))
+
+
 def apply_rules(docs: DataFrame, keep: list[Column], max_class_distance: float = 0.28, max_word_distance: float = 0.3, min_words: int = 50) -> DataFrame:
     """``keep``, the base counts, base_failed, class_distance, word_distance and kept, a row per row of ``docs``.
 
     Distances are to the nearest language reference, to six places; null where no reference exists.
-    They can only reject documents of at least ``min_words`` words. A kept column named like a result gives way to
-    it. A null or unlisted lang, a null text and an
-    empty text are measured like any other; empty tables give no rows.
+    They can only reject documents of at least ``min_words`` words, and the words only those of a language of
+    COMMON or of none: no common words are known of others. A kept column named like a result gives way to
+    it. A null lang, a null text and an empty text are measured like any other; empty tables give no rows.
     """
     measured = materialize(measure(docs, keep), "quality-measures")
     known = references(measured, "_lang")
-    nearest = {h: F.least(*(_distance(F.col(h), known[h][k]) for k in sorted(known[h]) * (1 + (len(known[h]) == 1)))) if known[h] else F.lit(None).cast("double") for h in known}
+    nearest = {h: _nearest(F.col(h), known[h]) for h in known}
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))
-    out = measured.select("_row", *counts, F.round(nearest["_classes"], 6).alias("class_distance"), F.round(nearest["_words"], 6).alias("word_distance"))
+    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("_worded") & (F.col("word_distance") > max_word_distance)))
+    worded = F.col("_lang").isNull() | F.col("_lang").isin(*COMMON)
+    out = measured.select("_row", worded.alias("_worded"), *counts, F.round(nearest["_classes"], 6).alias("class_distance"), F.round(nearest["_words"], 6).alias("word_distance"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return S.unpacked(out, *out.columns[1:], names=tuple(out.columns[1:]))
+    return S.unpacked(out, *out.columns[2:], names=tuple(out.columns[2:]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
