@@ -25,7 +25,8 @@ from strataq.storage import read_table
 WINDOW = 64
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
-MAX_LANGS = 64
+#: Beyond MAX_LANGS languages raise; beyond FEW the sample is dealt out among them, and training takes more steps.
+MAX_LANGS, FEW = 1000, 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,6 +127,7 @@ class Network:
         """Mean probabilities [documents, langs] over all bytes of the documents that ``bounds`` cuts ``data`` into; 0 for empty ones."""
         sizes = np.diff(bounds)
         windows = -(-sizes // WINDOW)
+        chunk = max(1, chunk * FEW // max(FEW, len(self.langs)))
         owner = np.repeat(np.arange(len(sizes)), windows)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = bounds[:-1][owner] + place * WINDOW
@@ -155,21 +157,22 @@ class Network:
 
 def draw(docs: DataFrame, per_lang: int, windows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows of bytes and their labels: at most about ``per_lang`` documents a language
-    (MAX_LANGS of them, the most frequent), chosen by hash, and ``windows`` places of each, over its whole length."""
+    (FEW times that in all), chosen by hash, and ``windows`` places of each, over its whole length."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
-    counts = [(r[0], r[1]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    counts = [(r[0], r[1]) for r in known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()]
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: group them first")
     langs = sorted(k for k, _ in counts)
     if not langs:
         return [], np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
-    share = F.lit(0)
-    for k, n in counts:
-        share = F.when(F.col("lang") == k, min(1_000_000, -(-1_000_000 * per_lang // n))).otherwise(share)
+    per_lang = min(per_lang, max(1, per_lang * FEW // len(langs)))
+    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts for v in (k, min(1_000_000, -(-1_000_000 * per_lang // n))))), F.col("lang"))
     chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
     some = known.where(chance < share).select("doc_id", "lang", F.col("text").cast("binary").alias("b"))
     last = F.greatest(F.octet_length("b") - WINDOW, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), last) + 1 for k in range(windows)]
     drawn = some.where(F.octet_length("b") > 0).select("doc_id", "lang", F.array(*(F.substr("b", p.cast("int"), F.lit(WINDOW)) for p in places)).alias("w"))
-    rows = drawn.orderBy("doc_id").limit(2 * per_lang * MAX_LANGS).collect()
+    rows = drawn.orderBy("doc_id").limit(2 * per_lang * max(FEW, len(langs))).collect()
     x = np.full((len(rows) * windows, WINDOW), 256, np.int64)
     y = np.zeros(len(x), np.int64)
     for i, r in enumerate(rows):
@@ -185,7 +188,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, windows: int = 6, hidden: int = 8
     if not len(x):
         return None
     net = Network.start(langs, hidden, seed)
-    net.train(x, y, steps, batch, 0.02, seed)
+    net.train(x, y, steps * max(FEW, len(langs)) // FEW, batch, 0.02, seed)
     return net
 
 
