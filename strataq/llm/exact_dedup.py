@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by the SHA-256 of a text; it stores one row
 (digest, doc_id) per distinct text ever taken in. A batch is first reduced to one row per digest
 (map-side), exchanged once into the index's buckets, sort-merge anti-joined with the index, whose
-side needs no exchange, and what is new is appended. Texts never move: only 32-byte digests do.
+side needs no exchange, and what is new is appended. Texts never move: only 32-byte digests do, so
+a text of any length costs one pass of the hash over it.
 """
 
 from __future__ import annotations
@@ -17,22 +18,53 @@ from strataq.llm.textstats import packed, unpacked, whole
 from strataq.storage import materialize, new_path, read_table
 
 
+#: Begins the name of the file that holds an index's number of buckets; readers pass over names with an underscore.
+MARK = "_buckets-"
+
+
 def digest_of(text: Column) -> Column:
     """SHA-256 of the unchanged text in UTF-8, as 32 bytes; null counts as empty."""
     return F.unhex(F.sha2(whole(text).cast("binary"), 256))
 
 
+#: A digest with more than 1 / HOT of a batch's rows is hot; there are fewer than HOT of them.
+HOT = 1000
+
+
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count that the index at ``path`` was made with, from the name of a file beside its data; None if there is no index."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    marks = [int(n.removeprefix(MARK)) for n in names if n.startswith(MARK)]
+    if len(marks) > 1 or (not marks and any(n.endswith(".parquet") for n in names)):
+        raise ValueError(f"{path} does not say in one way how many buckets it has")
+    return marks[0] if marks else None
+
+
+def _store_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARK}{buckets}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
 class DigestIndex:
     """A bucketed, sorted table of digests at ``path``.
 
-    ``buckets`` is fixed when the index is made; by default the session's number of shuffle
-    partitions. Opening an existing path with the same number of buckets goes on with it.
+    ``buckets`` is fixed when the index is made, by default as the session's number of shuffle
+    partitions, and stored beside the data. An existing index is opened with its own number, whatever
+    the session's; to ask for another one raises.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = _stored_buckets(spark, self.path)
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not stored:
+            _store_buckets(spark, self.path, self.buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
@@ -46,14 +78,20 @@ class DigestIndex:
         """Forget the catalogue entry; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def compacted(self, path: str | None = None) -> DigestIndex:
+        """A copy of the index at a new path with one sorted file a bucket, after many batches have left many; moves no rows between buckets."""
+        out = DigestIndex(self.spark, path, self.buckets)
+        self.table().repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(out.name)
+        return out
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Take a batch in and return (doc_id, digest, copies, keep_id, group_size), a row per document.
 
         Of equal texts the row with the largest id stays, unless an earlier batch holds the text:
         then the index's id is keep_id and no row of this batch stays. Rows that repeat both id and
         text are one document with ``copies`` of them, each counted in group_size, which covers the
-        batch. A null id loses against any other; a text that has only null ids has keep_id null.
-        An empty batch gives no rows. Other columns are ignored.
+        batch. A null id loses against any other; rows of a text that has only null ids are one row of
+        the result with keep_id null. An empty batch gives no rows. Other columns are ignored.
         """
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
         rows = materialize(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
@@ -62,9 +100,11 @@ class DigestIndex:
         fresh = groups.select("digest", F.col("last_id").alias("doc_id")).repartition(self.buckets, "digest")
         fresh.join(known, "digest", "left_anti").sortWithinPartitions("digest").write.insertInto(self.name)
         owners = self.table().hint("merge").withColumnRenamed("doc_id", "keep_id")
-        # Reread from files, so that both sides of the next join are exchanged and a hot text can be split.
         resolved = materialize(groups.select("digest", "group_size").join(owners, "digest"), "digest-owners")
-        return rows.join(resolved, "digest")
+        # Rows of a hot digest would meet in one task: its owner is broadcast to them, which HOT bounds.
+        total = rows.agg(F.sum("copies")).first()[0] or 0
+        hot = F.broadcast(resolved.where(F.col("group_size") * HOT > total))
+        return rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(resolved, "digest"))
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
