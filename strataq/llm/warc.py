@@ -1,15 +1,18 @@
 """WARC files as a PySpark Python data source, with pushdown and skipped payloads.
 
-Files are ``.warc.gz`` with one gzip member per record. Members carry the skip-length field ``sl``
-that the WARC standard describes, so a reader inflates a record's head, tests the pushed-down
+Written files are ``.warc.gz`` with one gzip member per record. Members carry the skip-length field
+``sl`` that the WARC standard describes, so a reader inflates a record's head, tests the pushed-down
 predicates and seeks over the payload it does not want. Members without the field, as other writers
-make them, are inflated to find their end. Writers roll files at ``max_file_bytes``, and
-``_committed-*`` lists name the files of finished jobs, so what lost tasks left behind is not read.
+make them, are inflated to find their end; in plain ``.warc`` files the reader seeks by Content-Length.
+Writers roll files at ``max_file_bytes``. ``_committed-*`` lists name the files of finished jobs, so
+what lost tasks left behind is not read; files with names of other writers are always read. A payload
+of any length is one value and has to fit a task's memory; payloads that are not wanted are never held.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -29,9 +32,12 @@ HEADERS = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI",
     "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To",
 }
-LENGTH = "X-Payload-Length"
+LENGTH, ESCAPED = "X-Payload-Length", "X-Percent-Encoded"
+#: Begins the names of files that are read only if a ``_committed-*`` list names them.
+OWN = "strataq-"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 STEP = 1 << 16
+MAX_HEAD = 1 << 24
 
 
 def _fs(path: str):
@@ -40,20 +46,26 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
 
 
-def _clean(value: str) -> str:
-    """A header value holds no line ends; percent signs are escaped to keep values apart."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def _escaped(value: str) -> str:
+    """A value that a header line cannot hold as it is, percent-encoded where it has to be."""
+    return re.sub(r"[%\r\n \t]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def _raw(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _unescaped(value: str) -> str:
+    return re.sub(r"%(25|0D|0A|20|09)", lambda m: chr(int(m[1], 16)), value)
 
 
 def pack(fields: dict[str, str | None], payload: bytes) -> bytes:
-    """One record as a gzip member with its skip lengths."""
+    """One record as a gzip member with its skip lengths.
+
+    Values stand as they are, but for those with line ends or blanks at an end: these are
+    percent-encoded, and a header of our own names them.
+    """
     block = HTTP_HEAD + payload
     head = {"WARC-Date": "2020-01-01T00:00:00Z", "Content-Type": "application/http; msgtype=response"} | fields | {"Content-Length": str(len(block))}
-    lines = "".join(f"{k}: {_clean(v)}\r\n" for k, v in head.items() if v is not None)
+    odd = [k for k, v in head.items() if v is not None and ("\r" in v or "\n" in v or v != v.strip(" \t"))]
+    head = {k: _escaped(v) if k in odd else v for k, v in head.items()} | ({ESCAPED: " ".join(odd)} if odd else {})
+    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
     raw = b"WARC/1.0\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = z.compress(raw) + z.flush() + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
@@ -89,32 +101,111 @@ def _head(f) -> tuple[int, int] | None:
     return start, size
 
 
-def records(f, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and block of the records for which ``wanted(headers)`` is 2, headers alone where it is 1.
+def _fields(head: bytes) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with a blank goes on with the one before it."""
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    out: dict[str, str] = {}
+    name = ""
+    for line in text.split("\r\n" if "\r\n" in text else "\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip(" \t")
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip(" \t").lower()
+            out[name] = value.strip(" \t")
+    for name in out.get(ESCAPED.lower(), "").lower().split():
+        out[name] = _unescaped(out[name])
+    return out
+
+
+class Parser:
+    """Cuts a stream of bytes into records; holds a record's head, and its block only where it is wanted."""
+
+    def __init__(self, wanted):
+        self.wanted, self.buffer, self.left, self.level, self.fields, self.seen = wanted, bytearray(), None, 0, {}, 0
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """Headers and block, or None in its place, of the records that end in ``data`` and are wanted."""
+        self.buffer += data
+        while True:
+            if self.left is None:
+                start = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
+                del self.buffer[:start]
+                end = self.buffer.find(b"\r\n\r\n")
+                if end < 0:
+                    if len(self.buffer) > MAX_HEAD:
+                        raise ValueError(f"a record's head is longer than {MAX_HEAD} bytes")
+                    return
+                if not self.buffer.startswith(b"WARC/"):
+                    raise ValueError("a record does not begin with its version")
+                self.fields = _fields(bytes(self.buffer[:end]))
+                if "content-length" not in self.fields:
+                    raise ValueError("a record has no Content-Length")
+                self.left, self.level = int(self.fields["content-length"]), self.wanted(self.fields)
+                self.seen += 1
+                del self.buffer[: end + 4]
+            if self.level < 2:
+                gone = min(self.left, len(self.buffer))
+                del self.buffer[:gone]
+                self.left -= gone
+                if self.left:
+                    return
+                block = None
+            elif len(self.buffer) < self.left:
+                return
+            else:
+                block = bytes(self.buffer[: self.left])
+                del self.buffer[: self.left]
+            self.left = None
+            if self.level:
+                yield self.fields, block
 
-    At most the head of a record, and the block that is wanted, is held in memory.
-    """
+    def skips(self) -> bool:
+        """Whether the rest of the record at hand is of no use."""
+        return self.left is not None and self.level < 2
+
+    def check(self, where: int) -> None:
+        if self.left is not None or self.buffer.strip(b"\r\n"):
+            raise ValueError(f"the record at {where} is cut off")
+
+
+def records(f, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers, by lower-case name, and block of the records of a ``.warc.gz`` for which ``wanted(headers)`` is 2, headers alone where it is 1."""
     while (found := _head(f)) is not None:
         start, size = found
-        z, out, level, fields, body = zlib.decompressobj(-15), bytearray(), None, {}, 0
+        z, parser = zlib.decompressobj(-15), Parser(wanted)
         while not z.eof:
             chunk = z.unconsumed_tail or f.read(STEP)
             if not chunk:
                 raise ValueError(f"the record at {start} is cut off")
-            out += z.decompress(chunk, STEP)
-            if level is None and (end := out.find(b"\r\n\r\n")) >= 0:
-                fields = dict(x.split(": ", 1) for x in bytes(out[:end]).decode().split("\r\n")[1:] if ": " in x)
-                fields = {k: _raw(v) for k, v in fields.items()}
-                level, body = wanted(fields), end + 4
-                if level < 2 and size:
-                    break
-            if level is not None and level < 2:
-                out.clear()
-        if level is not None and level > 0:
-            yield fields, bytes(out[body : body + int(fields["Content-Length"])]) if level == 2 else None
+            yield from parser.feed(z.decompress(chunk, STEP))
+            # A member with a skip length holds one record.
+            if size and parser.seen == 1 and parser.skips():
+                if parser.level:
+                    yield parser.fields, None
+                break
+        else:
+            parser.check(start)
         f.seek(start + size if size else f.tell() - len(z.unused_data) + 8)
 
 
+def plain_records(f, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The same of a ``.warc`` file that is not compressed."""
+    parser, start = Parser(wanted), 0
+    while chunk := f.read(STEP):
+        yield from parser.feed(chunk)
+        if parser.skips():
+            f.seek(parser.left, 1)
+            if parser.level:
+                yield parser.fields, None
+            parser.left = None
+        start += len(chunk)
+    parser.check(start)
+
+
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
@@ -145,7 +236,9 @@ class WarcReader(DataSourceReader):
             if x.base_name.startswith("_committed-"):
                 with store.open_input_file(x.path) as f:
                     names = (names or set()) | set(json.loads(f.read()))
-        files = sorted((x.path, x.size) for x in infos if x.base_name.endswith(".warc.gz") and (names is None or x.base_name in names))
+        names = names or set()
+        ours = lambda n: n.startswith(OWN) and n not in names
+        files = sorted((x.path, x.size) for x in infos if x.base_name.endswith((".warc.gz", ".warc")) and not ours(x.base_name))
         out: list[Files] = []
         some: list[str] = []
         total = 0
@@ -161,23 +254,23 @@ class WarcReader(DataSourceReader):
         for name, values in self.tests:
             if _column(fields, name) not in values:
                 return 0
-        return 2 if self.payload and fields.get("WARC-Type") != "revisit" else 1
+        return 2 if self.payload and fields.get("warc-type") != "revisit" else 1
 
     def read(self, partition):
         store, _ = _fs(self.path)
         for path in partition.paths:
             with store.open_input_file(path) as f:
-                for fields, block in records(f, self._wanted):
-                    payload = None
-                    if block is not None:
-                        payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
-                    length = fields.get(LENGTH)
+                for fields, block in (records if path.endswith(".gz") else plain_records)(f, self._wanted):
+                    payload = block
+                    if block is not None and block.startswith(b"HTTP/") and (end := block.find(b"\r\n\r\n")) >= 0:
+                        payload = block[end + 4 :]
+                    length = fields.get(LENGTH.lower())
                     own = [_column(fields, k) for k in ("record_id", "record_type", "target_uri", "payload_digest")]
                     yield (*own, int(length) if length is not None else None, _column(fields, "refers_to"), payload)
 
 
 def _column(fields: dict[str, str], name: str) -> str | None:
-    value = fields.get(HEADERS[name])
+    value = fields.get(HEADERS[name].lower())
     return value.removeprefix("sha256:") if value is not None and name == "payload_digest" else value
 
 
@@ -198,7 +291,7 @@ class WarcWriter(DataSourceWriter):
         f = None
         for row in iterator:
             if f is None:
-                names.append(f"{uuid.uuid4().hex}.warc.gz")
+                names.append(f"{OWN}{uuid.uuid4().hex}.warc.gz")
                 f, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
             digest = row["payload_digest"]
             fields = {
