@@ -1,8 +1,10 @@
 """URL verdicts by rules, and by redirect equivalence where no rule fits; DataFrame operations alone.
 
 Redirects and all canonical links and refreshes of a page are edges between URLs; relative links are
-resolved against the page's URL (RFC 3986, 5.2). A URL without a rule takes the decision of
+resolved against the page's base (RFC 3986, 5.2). A URL without a rule takes the decision of
 its connected component: block if a member is blocked and none is allowed by a rule, else allow.
+Rules are a table of any size, joined on the suffixes of a host and the prefixes of a path that have
+a rule. Long URLs and pages are taken whole.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from strataq.storage import materialize, read_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-MAX_RULES = 5000
 
 CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -37,6 +39,17 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(u, "://") > 0, F.concat(F.substring_index(u, "://", 1), F.lit("://"), host_of(u), rest))
 
 
+#: References that URLs in attributes hold; that of the ampersand comes last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def decoded(link: Column) -> Column:
+    """An attribute's value with its character references of ENTITIES replaced."""
+    for name, char in ENTITIES:
+        link = F.replace(link, F.lit(name), F.lit(char))
+    return link
+
+
 def _without_dots(path: Column) -> Column:
     """A path from ``/`` on without dot segments: ``.`` goes, and ``..`` goes with the segment before it."""
     parts = F.split(path, "/")
@@ -66,44 +79,75 @@ def resolve(base: Column, link: Column) -> Column:
     return F.when(F.contains(path, F.lit("/.")), flat).otherwise(url)
 
 
+def _once(value: Column) -> Column:
+    """``value`` as a row of its own, which filters and projections above are not merged with."""
+    return F.explode(F.array(value))
+
+
 def links_of(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of canonical links and of meta refreshes in ``pages`` (url, html)."""
-    found = pages.select("url", F.explode(F.concat(*(F.regexp_extract_all("html", F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH)))).alias("link"))
-    found = found.where("link <> ''").select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("url"), F.col("link"))).alias("dst"))
+    tags = F.concat(*(F.regexp_extract_all("html", F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH)))
+    found = pages.select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(tags).alias("link")).where("link <> ''")
+    # A step at a time: each value is used many times in the next one's expression, and the planner would put it in at every place.
+    found = found.select("url", _once(F.struct(decoded(F.col("base")).alias("base"), decoded(F.col("link")).alias("link"))).alias("x")).select("url", "x.*")
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")))
+    found = found.select("url", "link", _once(base).alias("base")).select("url", _once(resolve(F.col("base"), F.col("link"))).alias("to"))
+    found = found.select(_once(F.struct(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst"))).alias("x")).select("x.*")
     return found.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
-def rule_for(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest fitting rule as struct (size, allow, rule), or null; of equal rules allow wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules can be compiled into a plan")
-    fits = [
-        F.when(
-            ((host == h) | host.endswith("." + h)) & path.startswith(p),
-            F.struct(F.lit(len(h + p)).alias("size"), F.lit(verdict == "allow").alias("allow"), F.lit(h + p).alias("rule")),
-        )
-        for verdict, h, p in rules
-    ]
-    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,allow:boolean,rule:string>")
+def rule_table(spark: SparkSession, rules) -> tuple[DataFrame, DataFrame]:
+    """Rules (verdict, host, path), listed or as a table, by host and path, and the lengths of the paths that a host has rules for.
+
+    Both are files, so Spark broadcasts them where its own size check allows, and else joins by host.
+    """
+    given = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    one = given.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), (F.col("verdict") == "allow").alias("allow"))
+    one = materialize(one.groupBy("r_host", "r_path").agg(F.max("allow").alias("allow")), "url-rules")
+    lengths = materialize(one.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")), "url-rule-lengths")
+    return one, lengths
+
+
+def rules_for(urls: DataFrame, rules: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """host, path and the longest fitting rule as struct (size, allow, rule), for the (host, path) of ``urls`` that have one; of equal rules allow wins."""
+    one, lengths = rules
+    parts = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    met = met.join(lengths.withColumnRenamed("r_host", "suffix"), "suffix").select("host", "path", "suffix", F.explode("lengths").alias("n"))
+    met = met.where("n <= length(path)").withColumn("prefix", F.expr("left(path, n)"))
+    met = met.join(one, (F.col("suffix") == F.col("r_host")) & (F.col("prefix") == F.col("r_path")))
+    rule = F.concat("r_host", "r_path")
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("size"), "allow", rule.alias("rule"))).alias("_rule"))
+    return materialize(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "_rule"), "url-best-rules")
+
+
+def _ruled(urls: DataFrame, rules: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``urls`` (host, path) with ``_rule``, null where none fits."""
+    best = rules_for(urls, rules)
+    return urls.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").drop("b_host", "b_path")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url, html).
 
-    ``redirects`` (src, dst) are further edges between URLs. A fitting rule decides alone. A null url
+    ``redirects`` (src, dst) are further edges between URLs; ``rules`` a list or a table of (verdict,
+    host, path), whose nulls count as empty. A fitting rule decides alone. A null url
     or one without ``://`` has empty host and path, no aliases and, unless a rule fits, is allowed.
     Repeated rows are judged alike; other columns are ignored; empty tables give no rows.
     """
-    found = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = found.select("page_id", "host", "path", node_of(F.col("url")).alias("_node"), rule_for(F.col("host"), F.col("path"), rules).alias("_rule"))
+    table = rule_table(pages.sparkSession, rules)
+    found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("_node"))
+    found = _ruled(found, table)
     edges = links_of(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
-    alias = connected_components(edges).withColumn("_fit", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules))
+    alias = materialize(connected_components(edges), "url-aliases")
+    own = _ruled(alias.select("component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), table)
     # max over (false, true) of the members' decisions, aggregated before the shuffle; then joined to the members from a file.
-    fate = alias.where("_fit IS NOT NULL").groupBy("component").agg(F.max(F.col("_fit.allow")).alias("allowed"))
+    fate = own.where("_rule IS NOT NULL").groupBy("component").agg(F.max(F.col("_rule.allow")).alias("allowed"))
     blocked = fate.where("NOT allowed").select("component")
-    blocked_nodes = materialize(materialize(alias.select("node", "component"), "url-aliases").join(materialize(blocked, "url-fates"), "component", "left_semi").select(F.col("node").alias("_blocked")), "url-blocked")
+    blocked_nodes = materialize(alias.join(materialize(blocked, "url-fates"), "component", "left_semi").select(F.col("node").alias("_blocked")), "url-blocked")
     out = found.join(blocked_nodes, (F.col("_node") == F.col("_blocked")) & F.col("_rule").isNull(), "left")
     verdict = F.when(F.col("_rule").isNotNull(), F.when(F.col("_rule.allow"), "allow").otherwise("block")).when(F.col("_blocked").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
