@@ -5,14 +5,17 @@ source with share w is released at slot floor(i / w) and due at slot ceil((i + 1
 takes the released block that is due first. Every prefix of the mix then holds each source to less
 than one block of its share. When a source runs out, the others go on in a new phase with their
 shares scaled up. The schedule of a phase repeats, so the driver plans it from the weights and one
-count per source; which document begins in which block is found by prefix sums over the tables.
+count per source; which document begins in which block is found by prefix sums over the tables. The
+plan is a table of the phases of each source and one of their slots, joined by Spark's own size check.
+Texts of any length count by their length alone and are not moved.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataq.llm.textstats import packed, unpacked
@@ -20,40 +23,52 @@ from strataq.storage import kept, materialize, read_table, scratch
 
 MAX_SOURCES = 2000
 MAX_PERIOD = 100_000
-PHASE = "struct<first:bigint,part:int,period:bigint,start:bigint,slots:array<int>>"
+#: Buckets of a source whose sizes are summed up together, before these sums are.
+GROUP = 4096
+
 
+def edf_period(parts: list[int], left: list[int] | None = None) -> list[int]:
+    """The source of each of sum(parts) slots: of released blocks the one due first, ties to the first source.
 
-def edf_period(parts: list[int]) -> list[int]:
-    """The source of each of sum(parts) slots: of released blocks the one due first, ties to the first source."""
+    Ends with the slot in which a source with no more than ``left`` blocks runs out.
+    """
     period = sum(parts)
     done, out = [0] * len(parts), []
+    waiting = [(0, s) for s, p in enumerate(parts) if p]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int]] = []
     for t in range(period):
-        best = None
-        for s, p in enumerate(parts):
-            if p and done[s] < p and (done[s] * period) // p <= t:
-                due = (-(-(done[s] + 1) * period // p), s)
-                best = due if best is None or due < best else best
-        done[best[1]] += 1
-        out.append(best[1])
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * period // parts[s]), s))
+        s = heapq.heappop(ready)[1]
+        out.append(s)
+        done[s] += 1
+        if left and done[s] == left[s]:
+            break
+        if done[s] < parts[s]:
+            heapq.heappush(waiting, (done[s] * period // parts[s], s))
     return out
 
 
 def plan_phases(parts: list[int], blocks: list[int]) -> list[list[dict]]:
-    """Per source its phases: first block, part of the period, period, first slot and slots within the period."""
+    """Per source the phases in which it has blocks: first block, part of the period, period, first slot and slots within the period."""
     left, taken, start = list(blocks), [0] * len(parts), 0
     out: list[list[dict]] = [[] for _ in parts]
     while any(left):
         live = [p if n else 0 for p, n in zip(parts, left)]
-        period, order = sum(live), edf_period(live)
+        period, order = sum(live), edf_period(live, left)
         slots: list[list[int]] = [[] for _ in parts]
         for t, s in enumerate(order):
             slots[s].append(t)
-        ends = [(n - 1) // p * period + slots[s][(n - 1) % p] for s, (n, p) in enumerate(zip(left, live)) if p]
-        end = min(ends)
+        if len(order) < period:
+            end = len(order) - 1
+        else:
+            end = min((n - 1) // p * period + slots[s][(n - 1) % p] for s, (n, p) in enumerate(zip(left, live)) if p)
         for s, p in enumerate(live):
-            if p:
+            used = end // period * p + sum(x <= end % period for x in slots[s])
+            if used:
                 out[s].append({"first": taken[s], "part": p, "period": period, "start": start, "slots": slots[s]})
-                used = end // period * p + sum(x <= end % period for x in slots[s])
                 left[s] -= used
                 taken[s] += used
         start += end + 1
@@ -81,28 +96,34 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
     if any(p < 1 for p in parts) or sum(parts) > MAX_PERIOD:
         raise ValueError(f"weights have to be 1 or more and {MAX_PERIOD} or less in all")
     phases = plan_phases(parts, [-(-totals[s][1] // block_chars) for s in names])
-    plan = [(s, -(-totals[s][0] // bucket_rows), [tuple(p.values()) for p in ph]) for s, ph in zip(names, phases)]
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("buckets", T.LongType()), T.StructField("phases", T._parse_datatype_string(f"array<{PHASE}>"))])
+    table = lambda rows, schema: materialize(spark.createDataFrame(rows, schema), "mix-plan")
     # A row per source, at most MAX_SOURCES: the bound for this broadcast.
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))
-    rows = rows.join(plan_df.select("source", "buckets"), "source").withColumn("bucket", F.pmod("key", "buckets")).drop("buckets")
-    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(per_bucket.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "mix-buckets")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source", "bucket"])
+    buckets = F.broadcast(spark.createDataFrame([(s, -(-totals[s][0] // bucket_rows)) for s in names], "source string, buckets bigint"))
+    rows = rows.join(buckets, "source").withColumn("bucket", F.pmod("key", "buckets")).drop("buckets")
+    per_bucket = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-bucket-sizes").withColumn("grp", F.expr(f"bucket div {GROUP}"))
+    ahead = lambda order, *keys: F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_groups = per_bucket.groupBy("source", "grp").agg(F.sum("size").alias("size")).select("source", "grp", ahead(["grp"], "source").alias("group_base"))
+    of_buckets = per_bucket.select("source", "grp", "bucket", ahead(["bucket"], "source", "grp").alias("base")).join(of_groups, ["source", "grp"])
+    starts = materialize(of_buckets.select("source", "bucket", (F.col("base") + F.col("group_base")).alias("base")), "mix-buckets")
+    placed = rows.withColumn("at", ahead(["key", "doc_id"], "source", "bucket")).join(starts, ["source", "bucket"])
     placed = placed.withColumn("at", F.col("at") + F.col("base"))
     placed = placed.select("doc_id", "source", F.expr(f"at div {block_chars}").alias("block"), F.expr(f"at % {block_chars}").alias("block_offset"))
-    placed = placed.join(plan_df.select("source", "phases"), "source")
-    placed = placed.withColumn("p", F.element_at(F.filter("phases", lambda x: x["first"] <= F.col("block")), -1)).withColumn("i", F.expr("block - p.first"))
-    return placed.select(
+    stages = table([(s, [(k, p["first"], p["part"], p["period"], p["start"]) for k, p in enumerate(ph)]) for s, ph in zip(names, phases)], f"source string, phases array<{PHASE}>")
+    slots = table([(s, k, i, x) for s, ph in zip(names, phases) for k, p in enumerate(ph) for i, x in enumerate(p["slots"])], "source string, k bigint, nth bigint, within bigint")
+    placed = placed.join(stages, "source").withColumn("p", F.element_at(F.filter("phases", lambda x: x["first"] <= F.col("block")), -1))
+    placed = placed.select("doc_id", "source", "block", "block_offset", "p", F.expr("block - p.first").alias("i"), F.col("p.k").alias("k"), F.expr("(block - p.first) % p.part").alias("nth"))
+    return placed.join(slots, ["source", "k", "nth"]).select(
         "doc_id", "source", "block", "block_offset",
-        F.expr("p.start + (i div p.part) * p.period + p.slots[cast(i % p.part AS int)]").alias("slot"),
+        F.expr("p.start + (i div p.part) * p.period + within").alias("slot"),
         F.expr("p.start + (i * p.period) div p.part").alias("release"),
         F.expr("p.start + ((i + 1) * p.period + p.part - 1) div p.part").alias("deadline"),
     )
 
 
+#: A phase of a source: its number, first block, blocks and slots of a period, and first slot.
+PHASE = "struct<k:bigint,first:bigint,part:bigint,period:bigint,start:bigint>"
+
+
 #: Production weights: src0 gives three times as much as any other source.
 WEIGHTS = {"src0": 3}
 
