@@ -1,17 +1,20 @@
 """Personal data by weak supervision.
 
-Whole texts are scanned for base spans by exact rules and for looser candidates. Four labelers
-(strict form, gazetteer, context, shape) vote +1, 0 or -1 on every candidate. The votes fall into a
-fixed number of cells (kind, votes, length class), which are counted over all documents.
+Whole texts, of any length, are scanned for base spans by exact rules and for looser candidates. Four
+labelers (strict form, gazetteer, context, shape) vote +1, 0 or -1 on every candidate. The votes fall
+into a fixed number of cells (kind, votes, length class), which are counted over all documents.
 Expectation-maximisation estimates each labeler's reliability and each cell's posterior from the
-counts, and a logistic regression over votes, kind and length, trained on the posteriors, decides
-which candidates are spans. Only cells reach the driver.
+counts. A logistic regression then learns these posteriors from what is seen at a candidate: its
+votes, its shape, and the words and characters beside it, hashed. It is trained on a bounded sample,
+and judges every loose candidate; by the words beside it, it can overrule the votes. Cell counts and
+the sample are all that reaches the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ LOOSE = ("loose_email", "loose_ip", "loose_card", "loose_phone", "national_id",
 KINDS = BASE + LOOSE
 VOTERS = 4
 SIZES = 4
+#: Features are hashed to 2**FEATURE_BITS numbers; at most about SAMPLE candidates of each kind train the classifier.
+FEATURE_BITS, SAMPLE = 13, 3000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,7 +131,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, int, int, in
     elif family == "iban":
         form = 1 if _iban_ok(value) else -1
     elif family == "secret":
-        form = 1 if ACCESS.fullmatch(value) or re.fullmatch(r"[0-9a-f]{16,}|[A-Za-z0-9+/_=-]{24,}", value) else 0
+        form = 1 if ACCESS.fullmatch(value) or re.fullmatch(r"[0-9a-f]{16,}|[A-Za-z0-9+/_=-]{24,}", value) else -1 if value.isalpha() else 0
     elif kind == "loose_phone":
         form = 0 if value[0] != "+" else -1
     else:
@@ -171,8 +176,25 @@ def uncell(code: int) -> tuple[int, tuple[int, ...], int]:
     return code, tuple(reversed(v)), size
 
 
-SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,cell:int>>"
-_SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("cell", pa.int32())])
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def _shape(value: str) -> str:
+    """Runs of letters, digits and other characters: a@a-9 for jane.doe7@mail-1 cut to its first twelve."""
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", value[:80]))))[:12]
+
+
+def features(kind: str, v: tuple[int, ...], text: str, start: int, end: int) -> list[int]:
+    """Numbers of what is seen at a candidate."""
+    before, after = WORD.findall(text[max(0, start - 40) : start].lower())[-3:], WORD.findall(text[end : end + 30].lower())[:2]
+    seen = [f"kind {kind}", f"shape {kind} {_shape(text[start:end])}", f"size {kind} {min(9, (end - start) // 4)}", f"left {text[start - 1 : start]!r}", f"right {text[end : end + 1]!r}"]
+    seen += [f"vote {j} {x}" for j, x in enumerate(v)] + [f"vote {kind} {j} {x}" for j, x in enumerate(v)]
+    seen += [f"before {w}" for w in before] + [f"after {w}" for w in after] + [f"last {kind} {w}" for w in before[-1:]]
+    return [zlib.crc32(x.encode()) >> (32 - FEATURE_BITS) for x in seen]
+
+
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,cell:int,seen:array<int>>>"
+_SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("cell", pa.int32()), ("seen", pa.list_(pa.int32()))])
 
 
 def scan(text: str) -> tuple[list[dict], list[dict]]:
@@ -187,7 +209,11 @@ def scan(text: str) -> tuple[list[dict], list[dict]]:
         if (at == 0 or taken[at - 1][1] <= s[1]) and (at == len(taken) or taken[at][0] >= s[2]):
             taken.insert(at, (s[1], s[2]))
             loose.append(s)
-    row = lambda k, a, b: {"start": a, "rank": KINDS.index(k), "end": b, "kind": k, "cell": cell(k, votes(k, text, a, b), b - a)}
+
+    def row(k: str, a: int, b: int) -> dict:
+        v = votes(k, text, a, b)
+        return {"start": a, "rank": KINDS.index(k), "end": b, "kind": k, "cell": cell(k, v, b - a), "seen": features(k, v, text, a, b)}
+
     return [row(*s) for s in good], [row(*s) for s in loose]
 
 
@@ -240,53 +266,91 @@ def estimate(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     return dict(zip(cells, post.tolist()))
 
 
-def _features(cells: list[int]) -> np.ndarray:
-    x = np.zeros((len(cells), 1 + len(KINDS) + 2 * VOTERS + SIZES))
-    for i, c in enumerate(cells):
-        kind, v, size = uncell(c)
-        x[i, 0] = x[i, 1 + kind] = 1
-        for j, vote in enumerate(v):
-            x[i, 1 + len(KINDS) + 2 * j] = vote > 0
-            x[i, 2 + len(KINDS) + 2 * j] = vote < 0
-        x[i, 1 + len(KINDS) + 2 * VOTERS + size] = 1
-    return x
-
-
-def train(counts: dict[int, int], l2: float = 1.0, rounds: int = 30) -> dict[int, float]:
-    """Probability of each cell from a logistic regression on the posteriors, weighted by the counts (Newton steps)."""
+class Spotter:
+    """A logistic regression over hashed features; without any weights nothing is accepted."""
+
+    def __init__(self, weights: np.ndarray | None, bias: float = 0.0):
+        self.weights, self.bias = weights, bias
+
+    def odds(self, seen: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log odds of candidates, whose features ``bounds`` cuts out of ``seen``."""
+        sums = np.concatenate([[0.0], np.cumsum(self.weights[seen])])
+        return sums[bounds[1:]] - sums[bounds[:-1]] + self.bias
+
+    @staticmethod
+    def train(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> Spotter:
+        """Adam over all rows at once, towards the soft labels ``y``."""
+        if not rows:
+            return Spotter(None)
+        seen = np.array([x for r in rows for x in r], np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        weight = weight / weight.sum()
+        w = np.zeros((1 << FEATURE_BITS) + 1)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for k in range(rounds):
+            z = np.bincount(owner, weights=w[seen], minlength=len(rows)) + w[-1]
+            error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            g = np.append(np.bincount(seen, weights=error[owner], minlength=1 << FEATURE_BITS), error.sum()) + l2 * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w -= rate * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.999 ** (k + 1))) + 1e-8)
+        return Spotter(w[:-1], float(w[-1]))
+
+
+def fit(found: DataFrame, sample: int = SAMPLE) -> Spotter:
+    """Labelers' reliabilities from all candidates of ``found`` (_base, _loose), and the classifier from about ``sample`` of each kind, drawn by hash."""
+    spans = found.select(F.explode(F.concat("_base", "_loose")).alias("s"))
+    # At most len(KINDS) * 3**VOTERS * SIZES cells.
+    counts = {r[0]: r[1] for r in spans.groupBy("s.cell").count().collect()}
     if not counts:
-        return {}
-    cells = sorted(counts)
+        return Spotter(None)
     soft = estimate(counts)
-    x, y, n = _features(cells), np.array([soft[c] for c in cells]), np.array([counts[c] for c in cells], float)
-    b = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (n * (p - y)) + l2 * b
-        b -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(b)), grad)
-    return dict(zip(cells, (1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))).tolist()))
+    of_kind = dict.fromkeys(KINDS, 0)
+    for c, n in counts.items():
+        of_kind[KINDS[uncell(c)[0]]] += n
+    share = {k: min(1.0, sample / n) for k, n in of_kind.items() if n}
+    chance = F.element_at(F.create_map(*(F.lit(x) for k, p in share.items() for x in (k, round(1_000_000 * p)))), F.col("s.kind"))
+    drawn = spans.where(F.pmod(F.xxhash64("s"), F.lit(1_000_000)) < chance).select("s.cell", "s.kind", "s.seen")
+    # Equal candidates are drawn together, so a repeated text could exceed the share: once each, with their number.
+    rows = drawn.groupBy("cell", "kind", "seen").count().orderBy(F.xxhash64("seen"), "cell").limit(2 * sample * len(KINDS)).collect()
+    return Spotter.train([r["seen"] for r in rows], np.array([soft[r["cell"]] for r in rows]), np.array([r["count"] / share[r["kind"]] for r in rows]))
+
 
+def _result(base: list[dict], loose: list[dict]) -> tuple[list[int], str, int]:
+    joined = sorted([*base, *loose], key=lambda s: (s["start"], s["rank"], s["end"]))
+    return [sum(s["kind"] == k for s in base) for k in BASE], ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in joined), len(joined)
 
-def find_pii(docs: DataFrame, keep: list[Column], threshold: float = 0.5) -> DataFrame:
-    """``keep``, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs`` (text).
 
-    Counts and digest cover the base spans, ``spans`` those and accepted candidates, both as
-    kind:start:end in code points by start, then kind, comma-joined. A null or empty text has zero
-    counts and an empty list; equal texts are judged alike; a kept column named like a result gives
-    way to it; empty tables give no rows.
+def find_pii(docs: DataFrame, keep: list[Column], threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """``keep``, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for every row of ``docs`` (text).
+
+    Counts and digest cover the base spans, ``spans`` and ``n_spans`` those and accepted candidates;
+    spans are kind:start:end in code points by start, then kind, comma-joined. A null or empty text
+    has zero counts and an empty list; equal texts are judged alike; a kept column named like a result
+    gives way to it; empty tables give no rows.
     """
     text = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
     row = text.schema["_row"].dataType.simpleString()
     found = materialize(text.mapInArrow(_scan_batches, f"_row {row}, _base {SPANS}, _loose {SPANS}, base_sha256 string"), "pii-candidates")
-    # At most len(KINDS) * 3**VOTERS * SIZES cells.
-    cells = found.select(F.explode(F.concat("_base", "_loose")).alias("s")).groupBy("s.cell").count()
-    odds = train({r[0]: r[1] for r in cells.collect()})
-    good = [c for c, p in odds.items() if p >= threshold]
-    extra = F.filter("_loose", lambda s: s["cell"].isin(*good)) if good else F.slice("_loose", 1, 0)
-    all_ = F.array_sort(F.concat(F.col("_base"), extra))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    joined = F.array_join(F.transform(all_, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return unpacked(found, *map(count, BASE), "base_sha256", joined.alias("spans"), names=(*(f"n_{k}" for k in BASE), "base_sha256", "spans"))
+    spotter = fit(found, sample)
+    least = float(np.log(threshold / (1 - threshold)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, loose = (batch.column(c).to_pylist() for c in ("_base", "_loose"))
+            flat = [s for x in loose for s in x]
+            if flat and spotter.weights is not None:
+                good = spotter.odds(np.array([f for s in flat for f in s["seen"]], np.int64), np.cumsum([0, *(len(s["seen"]) for s in flat)])) >= least
+            else:
+                good = np.zeros(len(flat), bool)
+            decided = iter(good.tolist())
+            out = [_result(b, [s for s in x if next(decided)]) for b, x in zip(base, loose)]
+            arrays = [batch.column("_row"), *(pa.array([o[0][i] for o in out], pa.int64()) for i in range(len(BASE))), batch.column("base_sha256")]
+            arrays += [pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", *names])
+
+    names = (*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans")
+    schema = ", ".join(["_row " + row, *(f"n_{k} bigint" for k in BASE), "base_sha256 string, spans string, n_spans bigint"])
+    return unpacked(found.mapInArrow(judge, schema), *names, names=names)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
