@@ -42,10 +42,36 @@ def tail_lines(spark: SparkSession, path: str, most: int) -> DataFrame:
     return lines.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("line_no")))).where(F.col("_n") <= most).drop("_n")
 
 
-def compact(log: DataFrame, before: Column, live: str, archive: str) -> None:
-    """Split a log: entries before a moment go to compressed archive files, the others to a new live log."""
-    log.where(before).write.mode("append").option("compression", "gzip").json(archive)
-    log.where(~F.coalesce(before, F.lit(False))).write.mode("overwrite").json(live)
+def compact(spark: SparkSession, live: str, before: Column, archive: str, run: str, schema: str = FINDING) -> None:
+    """Move entries before a moment from the live log to compressed files below ``archive/run=...``; the others stay, as do those without a moment.
+
+    The new log is written beside the live one and then takes its place, so a job that fails leaves the old
+    one; a retry under the same ``run`` writes the same archive files again and finishes a swap that was cut off.
+    """
+    _finish_swap(spark, live)
+    log = spark.read.schema(schema).json(live)
+    log.where(before).write.mode("overwrite").option("compression", "gzip").json(f"{archive}/run={run}")
+    log.where(~F.coalesce(before, F.lit(False))).write.mode("overwrite").json(f"{live}.new")
+    fs, path = _fs(spark, live)
+    if not fs.rename(path(live), path(f"{live}.old")):
+        raise OSError(f"{live} could not be moved")
+    _finish_swap(spark, live)
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _finish_swap(spark: SparkSession, live: str) -> None:
+    """From the moment at which the old log was moved away, the new one is complete."""
+    fs, path = _fs(spark, live)
+    if fs.exists(path(f"{live}.old")):
+        if not fs.exists(path(live)) and not fs.rename(path(f"{live}.new"), path(live)):
+            raise OSError(f"{live}.new could not take the place of {live}")
+        fs.delete(path(f"{live}.old"), True)
+    elif fs.exists(path(f"{live}.new")):
+        fs.delete(path(f"{live}.new"), True)
 
 
 def export_bundle(manifest: DataFrame, found: DataFrame, version: str = VERSION) -> DataFrame:
@@ -67,10 +93,10 @@ def import_bundle(bundles: DataFrame, new_id: Column, version: str = VERSION, mo
 
 
 def source_files(spark: SparkSession, root: str, most: int = 1_500_000, ignore: str = "/(\\.git|node_modules|__pycache__|\\.venv)/") -> DataFrame:
-    """(path, content): text files of a tree; large ones and those with a NUL are left out."""
+    """(path, content): text files of a tree; large ones, those with a NUL and empty ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     small = files.where((F.col("length") <= most) & ~F.col("path").rlike(ignore))
-    return small.where(F.locate("00", F.hex(F.substr(F.col("content"), F.lit(1), F.lit(1024)))) % 2 != 1).select("path", F.decode("content", "utf-8").alias("content"))
+    return small.where(F.instr(F.decode(F.substr(F.col("content"), F.lit(1), F.lit(1024)), "ISO-8859-1"), "\0") == 0).select("path", F.decode("content", "utf-8").alias("content"))
 
 
 def purge_expired(rows: DataFrame, now: int, days: int = 30) -> DataFrame:
@@ -78,6 +104,67 @@ def purge_expired(rows: DataFrame, now: int, days: int = 30) -> DataFrame:
     return rows.where(F.coalesce(F.col("created_at_ts") >= now - days * 86400, F.lit(True)))
 
 
+def saved_manifests(spark: SparkSession, new: DataFrame, path: str) -> None:
+    """Manifests by id into the Parquet table at ``path``: those of ``new`` replace others. The table is written beside
+    the old one and swapped in, so that readers see one or the other."""
+    _finish_swap(spark, path)
+    fs, at = _fs(spark, path)
+    both = upserted(spark.read.parquet(path), new, "id") if fs.exists(at(path)) else new
+    both.write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(at(path)) and not fs.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"{path} could not be moved")
+    if fs.exists(at(f"{path}.old")):
+        _finish_swap(spark, path)
+    elif not fs.rename(at(f"{path}.new"), at(path)):
+        raise OSError(f"{path} could not be made")
+
+
+def manifest(manifests: DataFrame, id_: str) -> DataFrame:
+    """The manifest of an id, with empty lists where it has no acl, open questions or tags."""
+    lists = [c for c in ("acl", "open_questions", "tags") if c in manifests.columns]
+    return manifests.where(F.col("id") == id_).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+
+
+def recent_audit(spark: SparkSession, root: str, today: str, limit: int, days: int = 7, schema: str = "ts string, action string, detail string") -> DataFrame:
+    """The newest ``limit`` entries of the last ``days`` daily files ``audit-YYYY-MM-DD.jsonl`` below ``root``; other days' files are not opened."""
+    import datetime
+
+    last = datetime.date.fromisoformat(today)
+    fs, at = _fs(spark, root)
+    names = [f"{root}/audit-{last - datetime.timedelta(days=k)}.jsonl" for k in range(days)]
+    there = [n for n in names if fs.exists(at(n))]
+    rows = read_jsonl(spark, there, schema) if there else spark.createDataFrame([], schema)
+    return rows.orderBy(F.desc("ts"), "action", "detail").limit(limit)
+
+
+#: Kind of a session log, and the shape of its lines: one message a line, an event with a nested message, a list of messages in one document, or plain text.
+SESSION_SHAPES = {
+    "messages": "role string, content string, ts string",
+    "events": "type string, timestamp string, message struct<role:string,content:string>",
+    "document": "session_id string, messages array<struct<role:string,content:string,ts:string>>",
+}
+
+
+def session_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, line_no, role, text, ts) of session logs of a kind; lines that do not parse, and messages without text, are left out.
+
+    ``text`` is for process output: each line that is not blank is a message of the role process.
+    """
+    name = F.input_file_name().alias("file")
+    if kind == "text":
+        rows = spark.read.text(path).select(name, F.lit("process").alias("role"), F.col("value").alias("text"), F.lit(None).cast("string").alias("ts"))
+    elif kind == "document":
+        read = spark.read.schema(SESSION_SHAPES[kind]).option("multiLine", "true").json(path)
+        rows = read.select(name, F.posexplode("messages").alias("line_no", "m")).select("file", F.col("line_no").cast("long").alias("line_no"), "m.role", F.col("m.content").alias("text"), "m.ts")
+    else:
+        read = spark.read.schema(SESSION_SHAPES[kind]).json(path)
+        role, text, ts = (F.col("message.role"), F.col("message.content"), F.col("timestamp")) if kind == "events" else (F.col("role"), F.col("content"), F.col("ts"))
+        rows = read.select(name, role.alias("role"), text.alias("text"), ts.alias("ts"))
+    if "line_no" not in rows.columns:
+        rows = rows.withColumn("line_no", F.monotonically_increasing_id())
+    return rows.where(F.trim("text") != "").select("file", "line_no", "role", "text", "ts")
+
+
 def upserted(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` rows replace those of ``base`` with the same key."""
     return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))

@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and the
+    master is local. On a cluster a missing folder is an error: executors could not read the driver's own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataq-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -37,11 +40,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strataq_path = path
+    _written.add(path)
     if _made:
         _made[-1].append(out)
     return out
 
 
+#: Paths that ``materialize`` wrote and nothing has deleted.
+_written: set[str] = set()
 #: Tables materialized in the scratch blocks that are open, innermost last.
 _made: list[list[DataFrame]] = []
 
@@ -76,9 +82,22 @@ def discard(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote; for tables that no later plan reads."""
     path = getattr(df, "_strataq_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete every table that this process materialized and still has, and return their number. For a job's end or
+    between jobs, when no result that reads them is needed any more: results are lazy and read them when they are used."""
+    paths = sorted(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
