@@ -3,6 +3,10 @@
 Low quality goes, then exact copies, then near copies; the rest is put in the order of a mix with
 target weights and encoded. All stages but the last return the columns of ``documents``; the last
 adds the place in the mix, since the order of files is lost when they are read in splits.
+
+A stage's result goes when the next one is written, and so does what a stage wrote on its way: beside
+the input there are at most two copies of the corpus. The last stage is lazy and reads the mixed one,
+which ``strataq.storage.sweep`` deletes when the result has been used.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import exact_dedup, mixing, ngram_join, pieces, quality_classifier
-from strataq.storage import materialize, read_table
+from strataq.storage import discard, kept, materialize, read_table, scratch
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with scratch() as made:
+            done = kept(made, materialize(stage(spark, docs, sf_dir), name.split()[0].lower()))
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
