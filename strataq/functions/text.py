@@ -15,6 +15,7 @@ GENERIC = (
     "reported", "detected", "contacted", "event", "events", "record", "records", "row", "rows",
 )
 NEGATIONS = ("no", "not", "never", "none", "without", "cannot", "can't", "didn't", "isn't", "aren't", "won't")
+BLANKS = " \t\n\x0b\f\r"
 TOKEN = "[a-z0-9][a-z0-9._:/-]{2,}"
 IPV4 = "[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 EMAIL = "[A-Za-z0-9_.%+-]+@[A-Za-z0-9_.-]+[.][A-Za-z]{2,}"
@@ -81,7 +82,7 @@ def named_entities(text: Column) -> Column:
     """Capitalised phrases, quoted phrases, addresses, hosts and urls in that order, first spelling kept."""
     t = _text(text)
     one = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    phrases = F.filter(F.transform(one('"([^"]{2,80})"', 1), F.trim), lambda x: F.length(x) >= 2)
+    phrases = F.filter(F.transform(one('"([^"]{2,80})"', 1), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
     caps = one("(?<![A-Za-z0-9_])[A-Z][a-zA-Z0-9]*(?:[ \\t][A-Z][a-zA-Z0-9]*)+(?![A-Za-z0-9_])")
     all_ = F.concat(caps, phrases, one(f"(?<![0-9.])(?:{IPV4})(?![0-9.])"), one(f"(?<![A-Za-z0-9_]){HOST}"), one(URL))
     lowered = F.transform(all_, F.lower)
@@ -143,15 +144,16 @@ def hash_embedding(text: Column, size: int = 384) -> Column:
     )
 
 
-def truncate_at_boundary(text: Column, limit: int) -> Column:
+def truncate_at_boundary(text: Column, limit: int | Column) -> Column:
     """At most ``limit`` characters, cut back to a line, sentence or word end if that keeps over half."""
-    t = F.trim(_text(text))
-    cut = F.substring(t, 1, limit)
+    t = F.trim(_text(text), F.lit(BLANKS))
+    most = limit if isinstance(limit, Column) else F.lit(limit)
+    cut = F.substr(t, F.lit(1), most)
     out = cut
     for sep in reversed(("\n", ". ", "; ", ", ", " ")):
         at = F.length(cut) - F.locate(sep[::-1], F.reverse(cut)) - len(sep) + 1
-        out = F.when((F.locate(sep[::-1], F.reverse(cut)) > 0) & (at > limit * 0.5), F.substr(cut, F.lit(1), (at + 1).cast("int"))).otherwise(out)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(out), F.lit(" …[truncated]")))
+        out = F.when((F.locate(sep[::-1], F.reverse(cut)) > 0) & (at > most * 0.5), F.substr(cut, F.lit(1), (at + 1).cast("int"))).otherwise(out)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(out, F.lit(BLANKS)), F.lit(" …[truncated]")))
 
 
 def looks_like_dump(text: Column) -> Column:
@@ -210,13 +212,13 @@ def claims_of(raw: Column) -> Column:
     t = F.trim(_text(raw))
     listed = F.from_json(t, "array<string>")
     lines = F.transform(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(x, "^[ \\t-]+|[ \\t-]+$", ""))
-    clean = lambda xs: F.filter(F.transform(xs, F.trim), lambda x: x != "")
+    clean = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(t == "", F.array().cast("array<string>")).when(t.startswith("[") & listed.isNotNull(), clean(listed)).when(F.size(lines) > 1, lines).otherwise(F.array(t))
 
 
 def parents_of(derived_from: Column) -> Column:
     """Trimmed distinct parent ids in their order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(derived_from, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(derived_from, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def redact(values: Column, limit: int = 256) -> Column:

@@ -130,6 +130,6 @@ def word_search(docs: DataFrame, words: tuple[str, ...], all_of: bool, score: fl
 
 def clean_expansions(query: Column, expansions: Column, limit: int) -> Column:
     """The query and up to ``limit`` different expansions, trimmed, compared without case."""
-    all_ = F.filter(F.transform(F.concat(F.array(query), F.coalesce(expansions, F.array().cast("array<string>"))), F.trim), lambda x: x != "")
+    all_ = F.filter(F.transform(F.concat(F.array(query), F.coalesce(expansions, F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x != "")
     low = F.transform(all_, F.lower)
     return F.slice(F.filter(all_, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, limit + 1)

@@ -110,7 +110,10 @@ def recent_hints(spark, sf):
     return O.hints(T.findings(spark, sf), 20, EPOCH + 10 * STEP, NOW).select("id", F.round("recency", 9).alias("recency"))
 
 
-@query("noise_filter", None)
+_DUMP_SQL = r"""coalesce((length(text) > 1500 AND len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) > 0 AND (regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(?:user|assistant|system)[ \t]*[:"]') OR len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x)))) / len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) < 0.35)) OR (regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(?:user|assistant|system)[ \t]*[:"]') AND length(text) > 800), FALSE)"""
+
+
+@query("noise_filter", rf"""WITH k AS (SELECT 'f' || doc_id AS id, row_number() OVER (PARTITION BY substr(lower(trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')), 1, 200) ORDER BY doc_id) AS n FROM documents WHERE trim(text, ' ') <> '' AND NOT regexp_matches(lower(source), 'pre_compress|session_end|session_dump|conversation|transcript|turn') AND NOT {_DUMP_SQL}) SELECT id FROM k WHERE n = 1""")
 def noise_filter(spark, sf):
     return O.without_noise(T.findings(spark, sf), "seq", "investigation_id").select("id")
 

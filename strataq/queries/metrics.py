@@ -114,6 +114,6 @@ def boundary_samples(spark, sf):
     return read_table(spark, sf, "documents").where(margin <= 0.1).orderBy(margin, "doc_id").limit(50).select("doc_id", F.round(margin, 6).alias("margin"))
 
 
-@query("label_correlation", None)
+@query("label_correlation", f"WITH {_SCORED_SQL}, r AS (SELECT rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS b FROM scored) SELECT round(corr(a, b), 6) AS rho FROM r")
 def label_correlation(spark, sf):
     return M.spearman(_scored(spark, sf), "label", "score").select(F.round("rho", 6).alias("rho"))

@@ -18,16 +18,6 @@ def _sets(spark, sf):
     return T.findings(spark, sf).select("id", X.tokens(F.col("text")).alias("tokens"))
 
 
-@query("contradiction_pairs")
-def contradiction_pairs(spark, sf):
-    return P.contradictions(T.findings(spark, sf), X.tokens(F.col("text")), X.is_negated(F.col("text")))
-
-
-@query("provenance_gaps")
-def provenance_gaps(spark, sf):
-    f = T.findings(spark, sf).select("id", "record_type", X.tokens(F.col("text")).alias("tokens"), F.col("investigation_id").alias("source"))
-    receipts = f.where("record_type = 'inferred'").select("id", "tokens", F.array("source").alias("names"))
-    return P.unsupported(f.where("record_type = 'observed' AND size(tokens) > 0"), receipts)
 
 
 @query("claim_evidence", f"WITH c AS (SELECT item_id, {TOKENS_SQL('text')} AS t, {NEGATED_SQL('text')} AS n FROM benchmark), d AS (SELECT 'f' || doc_id AS id, {TOKENS_SQL('text')} AS t, {NEGATED_SQL('text')} AS n FROM documents), s AS (SELECT item_id, id, len(list_intersect(c.t, d.t)) / len(c.t) AS score, c.n <> d.n AS opposed FROM c, d WHERE len(c.t) > 0) SELECT item_id, id, round(score, 9) AS score, CASE WHEN opposed AND score >= 0.5 THEN 'contradiction' ELSE 'support' END AS relation FROM s WHERE score >= 0.45")
@@ -44,11 +34,6 @@ def claim_evidence(spark, sf):
 _WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n]+'), lambda w: w <> ''))"
 
 
-@query("jaccard_pairs")
-def jaccard_pairs(spark, sf):
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[ \\t\\n]+"), lambda w: w != ""))
-    return P.jaccard_join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.8).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
-
 
 @query("similar_vectors", f"WITH {VECTORS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.4")
 def similar_vectors(spark, sf):
@@ -88,7 +73,7 @@ def cross_links(spark, sf):
     return P.cross_links(P.similar_vectors(T.vectors(spark, sf), 0.35), texts)
 
 
-@query("causal_edges", None)
+@query("causal_edges", f"WITH {FINDINGS_SQL}, l AS (SELECT *, lower(trim(substr(text, 1, 60), ' ')) AS s FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY seq DESC) AS n FROM findings) WHERE n <= 10) SELECT a.id AS source_id, b.id AS target_id FROM l a JOIN l b ON a.investigation_id = b.investigation_id AND a.seq < b.seq WHERE contains(b.text, a.id) OR (length(a.s) > 10 AND contains(lower(b.text), a.s) AND regexp_matches(lower(b.text), '(?:^|[^a-z0-9_])(?:because|caused|led to|resulted in|after|following|due to|triggered)(?:[^a-z0-9_]|$)'))")
 def causal_edges(spark, sf):
     return P.causal_edges(T.findings(spark, sf))
 

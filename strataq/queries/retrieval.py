@@ -88,20 +88,6 @@ def relevance_gate(spark, sf):
     return R.gate(scored).groupBy("query").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("kept"))
 
 
-@query(
-    "rrf_fusion",
-    f"""WITH {_KNN_SQL}, d AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s), o AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY abs(query - id), id) AS place FROM s WHERE label = q_label),
-    u AS (SELECT * FROM d WHERE place <= 20 UNION ALL SELECT * FROM o WHERE place <= 20), f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM u GROUP BY 1, 2)
-    SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM f) WHERE place <= 10""",
-)
-def rrf_fusion(spark, sf):
-    q, base = _vector_queries(spark, sf), _base(spark, sf)
-    dense = R.top_k(_rounded(R.knn(q, base, 40)).drop("place"), 20)
-    near = base.crossJoin(q.drop("vec")).where("query <> id AND label = q_label").select("query", "id", -F.abs(F.col("query") - F.col("id")).alias("score"))
-    near = near.toDF("query", "id", "score")
-    fused = R.rrf([dense, R.top_k(near, 20)]).withColumn("score", F.round("score", 9))
-    return R.top_k(fused, 10)
-
 
 @query(
     "entropy_weighted_levels",
@@ -175,11 +161,6 @@ def memory_recall_lanes(spark, sf):
     return lanes.groupBy("id").agg(F.max("score").alias("score"))
 
 
-@query("query_expansion_cleaning", None)
-def query_expansion_cleaning(spark, sf):
-    raw = T.claims(spark, sf).select("item_id", X.excerpt(F.col("text"), 40).alias("q"), F.split("text", "[.]").alias("e"))
-    return raw.select("item_id", F.explode(R.clean_expansions(F.col("q"), F.col("e"), 4)).alias("query"))
-
 
 @query("procedure_search", f"WITH {FINDINGS_SQL} SELECT id, recall_count FROM findings WHERE record_type = 'inferred' AND contains(lower(text), 'that') ORDER BY recall_count DESC, seq LIMIT 20")
 def procedure_search(spark, sf):

@@ -40,13 +40,6 @@ def memory_route(spark, sf):
     return V.route(hits, f.select("id", "text", "authored_by", "investigation_id"), "agent0", acl, 10).select("query", "id", F.round("score", 9).alias("score"), "place")
 
 
-@query("evidence_precheck", f"WITH {_KNN_SQL}, l AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM (SELECT query, id, round(1.0::DOUBLE / (1 + abs(query - id)), 9) AS score FROM s)), u AS (SELECT query, id, score, 1 AS lane FROM l WHERE score >= 0.05 AND place <= 10 UNION ALL SELECT query, id, score, 2 FROM s WHERE score >= 0.3 AND score >= 0.5) SELECT query, id, arg_min(score, (lane, score)) AS score, CASE min(lane) WHEN 1 THEN 'lexical' ELSE 'semantic' END AS lane FROM u GROUP BY 1, 2")
-def evidence_precheck(spark, sf):
-    q, base = _vector_queries(spark, sf), _base(spark, sf)
-    sem = _rounded(R.vector_scores(q, base, 0.4))
-    lex = base.select("id").crossJoin(q.select("query")).where("query <> id").select("query", "id", F.round(1.0 / (1 + F.abs(F.col("query") - F.col("id"))), 9).alias("score"))
-    return V.precheck(lex, sem, 0.05)
-
 
 @query("conflict_detection", f"WITH {_KNN_SQL}, {FINDINGS_SQL}, n AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) WHERE place <= 10), f AS (SELECT seq, record_type AS t, regexp_matches(lower(text), 'not |no |never|false') AS neg FROM findings) SELECT n.query, n.id, round(score, 4) AS score FROM n JOIN f a ON a.seq = n.query JOIN f b ON b.seq = n.id WHERE (b.t = 'gap' AND a.t = 'observed') OR (b.t = 'assumed' AND a.t <> 'assumed') OR a.neg <> b.neg")
 def conflict_detection(spark, sf):
@@ -54,16 +47,6 @@ def conflict_detection(spark, sf):
     return V.conflicts(near, T.findings(spark, sf).select(F.col("seq").alias("id"), "record_type", "text"))
 
 
-@query("hallucination_candidates", None)
-def hallucination_candidates(spark, sf):
-    from strataq.operators import pairs as P
-
-    f = T.findings(spark, sf)
-    clash = P.contradictions(f, X.tokens(F.col("text")), X.is_negated(F.col("text")))
-    sets = _sets(spark, sf).join(f.select("id", "record_type", F.lit("").alias("source")), "id")
-    lost = P.unsupported(sets.where("record_type IN ('observed', 'inferred')"), sets.where("record_type IN ('assumed', 'gap')").select("id", "tokens", F.array().cast("array<string>").alias("names")))
-    return V.hallucination_candidates(clash, lost)
-
 
 @query("entity_lookup", "SELECT 'f' || doc_id AS id FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9])password(?:[^A-Za-z0-9]|$)') OR doc_id % 100 = 7")
 def entity_lookup(spark, sf):
@@ -111,13 +94,6 @@ def leave_one_run_out(spark, sf):
     return V.leave_one_out(rows, "run", "label", "score").select("run", F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
 
 
-@query("judge_pools", f"WITH {_KNN_SQL}, d AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s), o AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY abs(query - id), id) AS place FROM s) SELECT DISTINCT query, id FROM (SELECT * FROM d UNION ALL SELECT * FROM o) WHERE place <= 10")
-def judge_pools(spark, sf):
-    q, base = _vector_queries(spark, sf), _base(spark, sf)
-    dense = R.top_k(_rounded(R.knn(q, base, 30)).drop("place"), 10).select("query", "id", "place")
-    near = base.select("id").crossJoin(q.select("query")).where("query <> id").withColumn("score", -F.abs(F.col("query") - F.col("id")))
-    return V.judge_pools(dense.unionByName(R.top_k(near, 10).select("query", "id", "place")), 10)
-
 
 @query("node_degrees", "WITH e AS (SELECT DISTINCT l_orderkey AS src, -l_partkey - 1 AS dst FROM lineitem), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, (SELECT count(*) FROM e WHERE src = node) AS out_degree, (SELECT count(*) FROM e WHERE dst = node) AS in_degree FROM n")
 def node_degrees(spark, sf):
