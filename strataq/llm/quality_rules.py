@@ -3,14 +3,19 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows. A document also fails
 if its histogram of character classes or of common words lies too far, by Jensen-Shannon distance,
 from the reference of every language. References are sums over all documents of a language that
-pass the base rules: of character classes for every value of lang, of common words for the languages
-of COMMON. A row per language, at most MAX_LANGS, reaches the driver and the plan.
+pass the base rules, for every value of lang. Common words are those of COMMON, compared with all
+references; a document of any other language is compared with its own, of the N_COMMON most frequent
+words over all documents of the language. A row per language, at most MAX_LANGS, reaches the driver
+and the plan. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataq.llm import textstats as S
 from strataq.storage import materialize, read_table
@@ -23,6 +28,10 @@ COMMON = {
     "fr": ("le", "les", "et", "des", "est", "que", "une", "la"),
 }
 WORDS = tuple(sorted({w for ws in COMMON.values() for w in ws}))
+#: How many of its most frequent words stand for a language that COMMON lacks, and the longest of them.
+N_COMMON, LONGEST = 8, 64
+#: For these languages, what share of the distance of a text without any common word is too far.
+ABSENT = 0.9
 WINDOW = 8
 MAX_LANGS = 2000
 
@@ -58,7 +67,42 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
+def frequent_words(docs: DataFrame) -> dict[str, tuple[str, ...]]:
+    """The most frequent words of each language of ``docs`` (text, lang) that COMMON lacks, ties by the word."""
+    found = [r[0] for r in docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON)).select("lang").distinct().limit(MAX_LANGS + 1).collect()]
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: group them first")
+    if not found:
+        return {}
+    each = docs.where(F.col("lang").isin(*found)).select("lang", F.explode(S.words_of(F.col("text"))).alias("word")).where(F.length("word") <= LONGEST)
+    counted = materialize(each.groupBy("lang", "word").agg(F.count("*").alias("n")), "quality-words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, list[str]] = {}
+    for r in counted.withColumn("place", place).where(F.col("place") <= N_COMMON).orderBy("lang", "place").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def _by_lang(values: dict[str, Column]) -> Column:
+    """What ``values`` has for a document's language, or null."""
+    return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), F.col("_lang")) if values else F.lit(None)
+
+
+def _of_own(words: Column, own: dict[str, tuple[str, ...]]) -> Column:
+    """How often each common word of a language that COMMON lacks occurs, and how many other words; null for other languages."""
+    if not own:
+        return F.lit(None).cast("array<bigint>")
+
+    def counts(s: Column) -> Column:
+        found = F.filter(s["w"], lambda x: F.array_contains(s["v"], x))
+        each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(N_COMMON - 1)), lambda i: F.size(F.filter(f, lambda x: x == F.get(s["v"], i))).cast("long"))
+        return _bind(found, lambda f: F.concat(each(f), F.array((F.size(s["w"]) - F.size(f)).cast("long"))))
+
+    listed = _by_lang({k: F.array(*map(F.lit, v)) for k, v in own.items()})
+    return F.when(listed.isNotNull(), _bind(F.struct(words.alias("w"), listed.alias("v")), counts))
+
+
+def measure(docs: DataFrame, keep: list[Column], own: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``keep`` as struct ``_row``, and per document the base counts and both histograms; null text counts as empty."""
     base = docs.select(F.struct(*keep).alias("_row"), F.col("lang").alias("_lang"), S.whole(F.col("text")).alias("_t"), S.words_of(F.col("text")).alias("_w"), S.lines_of(F.col("text")).alias("_l"))
     t, w, lines = F.col("_t"), F.col("_w"), F.col("_l")
@@ -75,6 +119,7 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
         S.count_of(t, S.UPPER).alias("_upper"),
         S.count_of(t, S.PUNCTUATION).alias("_punct"),
         F.filter(w, lambda x: x.isin(*WORDS)).alias("_common"),
+        _of_own(w, own or {}).alias("_own"),
     )
     c = F.col
     wide = c("_bytes") - c("_chars")
@@ -84,14 +129,14 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return counted.select(
         "_row", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*classes, rest).alias("_classes"),
-        F.concat(per_word, F.array(c("n_words") - F.size("_common"))).alias("_words"),
+        F.concat(per_word, F.array(c("n_words") - F.size("_common"))).alias("_words"), "_own",
         ((c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))).alias("base_failed"),
     )
 
 
 def references(measured: DataFrame, lang: str) -> dict[str, dict[str, list[float]]]:
-    """By histogram and language, the shares over all documents that pass the base rules; of words only for COMMON."""
-    sizes = {"_classes": 7, "_words": len(WORDS) + 1}
+    """By histogram and language, the shares over all documents that pass the base rules; of WORDS only for COMMON."""
+    sizes = {"_classes": 7, "_words": len(WORDS) + 1, "_own": N_COMMON + 1}
     sums = [F.sum(F.col(h)[i]) for h, n in sizes.items() for i in range(n)]
     out: dict[str, dict[str, list[float]]] = {h: {} for h in sizes}
     rows = measured.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(*sums).limit(MAX_LANGS + 1).collect()
@@ -101,51 +146,75 @@ def references(measured: DataFrame, lang: str) -> dict[str, dict[str, list[float
         values = list(r)[1:]
         for h, n in sizes.items():
             part, values = values[:n], values[n:]
-            if sum(part) > 0 and (h == "_classes" or r[0] in COMMON):
+            if None not in part and sum(part) > 0 and (h != "_words" or r[0] in COMMON):
                 out[h][r[0]] = [x / sum(part) for x in part]
     return out
 
 
-def _distance(counts: Column, reference: list[float] | Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) between a histogram of counts and fixed shares."""
-    total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)).cast("double")
+def _divergence(shares: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
 
-    def part(x: Column, q: Column, p_total: Column) -> Column:
-        p = x / p_total
+    def part(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         log = lambda v: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
         return log(p) + log(q)
 
-    shares = reference if isinstance(reference, Column) else F.array(*(F.lit(float(q)) for q in reference))
-    terms = F.zip_with(counts, shares, lambda x, q: part(x, q, total))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(shares, reference, part), F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+
+
+def _shares(counts: Column, use) -> Column:
+    """``use`` of the shares of a histogram of counts, which are evaluated once."""
+    total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)).cast("double")
+    return _bind(_bind(F.struct(counts.alias("c"), total.alias("t")), lambda s: F.transform(s["c"], lambda x: x / s["t"])), use)
+
+
+def _distance(counts: Column, reference: list[float]) -> Column:
+    """The distance between a histogram of counts and fixed shares."""
+    return _shares(counts, lambda p: _divergence(p, F.array(*(F.lit(float(q)) for q in reference))))
 
 
 def _nearest(counts: Column, known: dict[str, list[float]]) -> Column:
     """The least distance to a reference, null without any."""
     if not known:
         return F.lit(None).cast("double")
-    shares = F.array(*(F.array(*(F.lit(float(q)) for q in known[k])) for k in sorted(known)))
-    return F.array_min(F.transform(shares, lambda r: _distance(counts, r)))
+    fixed = F.array(*(F.array(*(F.lit(float(q)) for q in known[k])) for k in sorted(known)))
+    return _shares(counts, lambda p: F.array_min(F.transform(fixed, lambda r: _divergence(p, r))))
+
+
+def wordless_distance(reference: list[float]) -> float:
+    """The distance of a text without any common word to a reference whose last share is that of other words."""
+    q = reference[-1]
+    term = lambda v: v * math.log2(v / ((1 + q) / 2)) if v > 0 else 0.0
+    return math.sqrt(max(0.0, (term(1.0) + term(q) + (1 - q)) / 2))
 
 
 def apply_rules(docs: DataFrame, keep: list[Column], max_class_distance: float = 0.28, max_word_distance: float = 0.3, min_words: int = 50) -> DataFrame:
     """``keep``, the base counts, base_failed, class_distance, word_distance and kept, a row per row of ``docs``.
 
-    Distances are to the nearest language reference, to six places; null where no reference exists.
-    They can only reject documents of at least ``min_words`` words, and the words only those of a language of
-    COMMON or of none: no common words are known of others. A kept column named like a result gives way to
-    it. A null lang, a null text and an empty text are measured like any other; empty tables give no rows.
+    Distances are to the nearest language reference, to six places; null where no reference exists. The distance
+    of words is to the own reference where COMMON lacks the language, with a limit of ABSENT of the distance at which a
+    text without any common word lies if that is less. Distances can only reject documents of at least ``min_words``
+    words. A kept column named like a result gives way to it. A null lang, a null text and an empty text are
+    measured like any other; empty tables give no rows.
     """
-    measured = materialize(measure(docs, keep), "quality-measures")
+    own = frequent_words(docs)
+    measured = materialize(measure(docs, keep, own), "quality-measures")
     known = references(measured, "_lang")
-    nearest = {h: _nearest(F.col(h), known[h]) for h in known}
+    listed = known["_own"]
+    is_own = F.col("_lang").isin(*listed) if listed else F.lit(False)
+    shares = _by_lang({k: F.array(*(F.lit(float(q)) for q in v)) for k, v in listed.items()})
+    to_own = _shares(F.col("_own"), lambda p: _divergence(p, shares)) if listed else F.lit(None).cast("double")
+    nearest = {"_classes": _nearest(F.col("_classes"), known["_classes"])}
+    nearest["_words"] = F.when(is_own, to_own).otherwise(_nearest(F.col("_words"), known["_words"]))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("_worded") & (F.col("word_distance") > max_word_distance)))
-    worded = F.col("_lang").isNull() | F.col("_lang").isin(*COMMON)
-    out = measured.select("_row", worded.alias("_worded"), *counts, F.round(nearest["_classes"], 6).alias("class_distance"), F.round(nearest["_words"], 6).alias("word_distance"))
+    most = F.lit(max_word_distance)
+    if listed:
+        most = F.coalesce(_by_lang({k: F.lit(min(max_word_distance, ABSENT * wordless_distance(v))) for k, v in listed.items()}), most)
+    worded = F.col("_lang").isNull() | F.col("_lang").isin(*COMMON) | is_own
+    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("_worded") & (F.col("word_distance") > F.col("_most"))))
+    out = measured.select("_row", worded.alias("_worded"), most.alias("_most"), *counts, F.round(nearest["_classes"], 6).alias("class_distance"), F.round(nearest["_words"], 6).alias("word_distance"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return S.unpacked(out, *out.columns[2:], names=tuple(out.columns[2:]))
+    return S.unpacked(out, *out.columns[3:], names=tuple(out.columns[3:]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,22 @@ def test_clean_documents_in_another_script_stay(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "MAX_LANGS", 1)
     with pytest.raises(ValueError):
         quality_rules.apply_rules(docs, [F.col("doc_id")])
+
+
+def test_other_languages_have_common_words_of_their_own(spark):
+    rng = random.Random(8)
+    common, rare = ["и", "в", "не", "на", "что", "он", "как", "это"], [f"слово{i}" for i in range(3000)]
+    text = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    rows = [(i, text(120, 0.35), "ru") for i in range(200)] + [(1000 + i, text(120, 0.0), "ru") for i in range(5)] + [(2000, None, "xx"), (2001, "", "yy"), (2002, text(120, 0.35), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {k: set(v) for k, v in quality_rules.frequent_words(docs).items()} == {"ru": set(common)}
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, [F.col("doc_id")]).collect()}
+    assert sum(got[i]["kept"] for i in range(200)) >= 198
+    assert not any(got[1000 + i]["kept"] for i in range(5)) and not any(got[1000 + i]["base_failed"] for i in range(5))
+    assert got[2000]["base_failed"] and got[2001]["base_failed"]
+
+
+def test_wordless_distance_is_that_of_a_text_without_common_words(spark):
+    reference = [0.1, 0.2, 0.7]
+    near = spark.range(1).select(quality_rules._distance(F.array(*(F.lit(x).cast("long") for x in (0, 0, 50))), reference)).first()[0]
+    assert abs(near - quality_rules.wordless_distance(reference)) < 1e-12
