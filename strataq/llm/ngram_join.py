@@ -4,8 +4,10 @@ Multiple-global-order filtering. A set's tokens are sorted under several global
 n and m tokens whose overlap reaches the required a share a token among the first n - a + 1 of the one
 and m - a + 1 of the other, under every order. All orders start with rare tokens, by a fixed-size
 sketch of how often tokens occur in all documents, and break ties by different hashes. Candidates
-meet on tokens of the first order, at places that the pair's own prefix lengths allow, have to meet
-under the other orders too, and are then verified on whole sets.
+meet on tokens of the first order, at places that the pair's own prefix lengths allow. Before any text
+moves to a candidate, prefixes under the other orders and parity bitmaps of the sets do, some fourth of
+a text's bytes: the pair has to meet under every order, and bits that differ bound the overlap from
+above. What is left is verified on whole sets. Texts of any length are shingled whole, a piece at a time.
 
 Equal sets are one class. Members of a token's bucket are first paired with one pivot each, which
 joins most of a large group; then only pairs of different components meet, members of a bucket's
@@ -32,6 +34,8 @@ from strataq.storage import kept, materialize, read_table, scratch
 BITS, BLOCK_BITS = 22, 4
 #: Texts that no candidate pair needs are left out by a bitmap of 2**FILTER_BITS bits, 8 MB when broadcast, before the rest is shuffled.
 FILTER_BITS = 26
+#: Groups of tasks whose counts are summed up together first.
+PARTS = 16
 _SHIFT = np.uint64(64 - BITS)
 _PER_BLOCK = 1 << (BITS - BLOCK_BITS)
 ROWS = 1000
@@ -57,19 +61,29 @@ def token_sketch(text: DataFrame, width: int) -> np.ndarray:
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(block.tobytes(), 1)])], names=["block", "cells"])
 
-    def add(batches):
+    def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(batch.column("block").to_pylist(), batch.column("cells")):
                 own = np.frombuffer(zlib.decompress(cells.as_py()), np.uint32)
                 sums[k] = sums[k] + own if k in sums else own.astype(np.int64)
-        for k, total in sums.items():
-            scaled = np.minimum(np.round(8 * np.log2(1 + total)), 255).astype(np.uint8)
+        return {k: np.minimum(v, 2**32 - 1).astype(np.uint32) for k, v in sums.items()}
+
+    def add(batches):
+        for k, cells in total(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(cells.tobytes(), 1)])], names=["block", "cells"])
+
+    def scale(batches):
+        for k, cells in total(batches).items():
+            scaled = np.minimum(np.round(8 * np.log2(1 + cells.astype(np.int64))), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([scaled.tobytes()])], names=["block", "cells"])
 
-    counted = text.select("_text").mapInArrow(count, "block bigint, cells binary").repartition(1 << BLOCK_BITS, "block")
+    # Summed up in two steps: no task gets the counts of all tasks.
+    shape = "block bigint, cells binary"
+    counted = text.select("_text").mapInArrow(count, shape).withColumn("part", F.spark_partition_id() % PARTS)
+    some = counted.repartition(PARTS << BLOCK_BITS, "block", "part").select("block", "cells").mapInArrow(add, shape)
     out = np.zeros(1 << BITS, np.uint8)
-    for r in counted.mapInArrow(add, "block bigint, cells binary").collect():
+    for r in some.repartition(1 << BLOCK_BITS, "block").mapInArrow(scale, shape).collect():
         out[r[0] * _PER_BLOCK : (r[0] + 1) * _PER_BLOCK] = np.frombuffer(r[1], np.uint8)
     return out
 
@@ -85,22 +99,40 @@ def prefixes(sets: list[np.ndarray], sketch: np.ndarray, threshold: tuple[int, i
     return out
 
 
-def _index(text: DataFrame, width: int, threshold: tuple[int, int], sketch) -> DataFrame:
-    """doc_id, n, set digest and the first order's prefix."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit per cell of a set's tokens, set where their number is odd: bytes, as many as tokens or up to twice that."""
+    bits = 8 << max(3, (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """What the overlap of sets of n and m tokens with these parities can be at most: every bit that differs is a token of one of them."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _index(text: DataFrame, width: int, threshold: tuple[int, int], sketch, orders: int) -> DataFrame:
+    """doc_id, n, set digest, the first order's prefix, those of the others, a token in 32 bits, and the parity."""
 
     def run(batches):
         counts = np.frombuffer(sketch.value, np.uint8)
         for part, sets in _sets(batches, width):
-            pre = prefixes(sets, counts, threshold, range(1))
+            pre = prefixes(sets, counts, threshold, range(orders))
             arrays = [
                 part.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([p[0].view(np.int64) for p in pre], pa.list_(pa.int64())),
+                pa.array([np.concatenate([np.zeros(0, np.uint64), *p[1:]]).astype(np.uint32).view(np.int32) for p in pre], pa.list_(pa.int32())),
+                pa.array([parity(s).tobytes() for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "tokens", "others", "parity"])
 
-    return text.mapInArrow(run, "doc_id bigint, n bigint, digest binary, tokens array<bigint>")
+    return text.mapInArrow(run, "doc_id bigint, n bigint, digest binary, tokens array<bigint>, others array<int>, parity binary")
 
 
 def _required(n: str, m: str, threshold: tuple[int, int]) -> Column:
@@ -126,35 +158,61 @@ def _thinned(text: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0).select(*text.columns)
 
 
-def _similar(x: list[np.ndarray], y: list[np.ndarray], sketch: np.ndarray, threshold: tuple[int, int], orders: int) -> list[bool]:
-    """For each pair of sets whether they meet under every order but the first, and then whether they are similar."""
+def _may_link(x: tuple, y: tuple, threshold: tuple[int, int], orders: int) -> bool:
+    """Whether two sets, each as (n, prefixes of the other orders, parity), meet under every other order and can overlap as much as they have to."""
+    (n, p, u), (m, q, v) = x, y
     a, b = threshold
-    out = []
-    for s, t, ps, pt in zip(x, y, prefixes(x, sketch, threshold, range(1, orders)), prefixes(y, sketch, threshold, range(1, orders))):
-        n, m = len(s), len(t)
-        need = -(a * (n + m) // -(a + b))
-        meets = all(len(np.intersect1d(p[: max(n - need + 1, 0)], q[: max(m - need + 1, 0)], assume_unique=True)) for p, q in zip(ps, pt))
-        common = len(np.intersect1d(s, t, assume_unique=True)) if meets else 0
-        out.append(meets and b * common >= a * (n + m - common))
-    return out
+    need = -(a * (n + m) // -(a + b))
+    if most_common(u, v, n, m) < need:
+        return False
+    # Tokens cut to 32 bits can only seem to meet.
+    each = zip(np.split(p, orders - 1), np.split(q, orders - 1)) if orders > 1 else ()
+    return all(len(np.intersect1d(s[: max(n - need + 1, 0)], t[: max(m - need + 1, 0)])) for s, t in each)
 
 
-def _verified(pairs: DataFrame, text: DataFrame, width: int, threshold: tuple[int, int], sketch, orders: int) -> DataFrame:
-    """The pairs (x, y) that meet under every other order too, and whose whole sets are similar.
+def filtered(pairs: DataFrame, index: DataFrame, threshold: tuple[int, int], orders: int) -> DataFrame:
+    """The pairs (x, y) that may link by what ``index`` has on both."""
+    near = _thinned(index.select("doc_id", "n", "others", "parity"), pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")))
+    side = lambda k: near.select(F.col("doc_id").alias(k), F.struct("n", "others", "parity").alias(f"{k}_s"))
 
-    Texts travel to their pairs, which takes less than half of what their sets would.
+    def run(batches):
+        for batch in batches:
+            cols = []
+            for k in "xy":
+                s = batch.column(f"{k}_s")
+                others = s.field("others")
+                flat, ends = others.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(o) for o in others)])
+                cols.append([(n, flat[a:b], np.frombuffer(u, np.uint8)) for n, a, b, u in zip(s.field("n").to_pylist(), ends, ends[1:], s.field("parity").to_pylist())])
+            keep = pa.array([_may_link(x, y, threshold, orders) for x, y in zip(*cols)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in "xy"], names=["x", "y"])
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_s", "y_s")
+    return both.mapInArrow(run, "x bigint, y bigint")
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray], threshold: tuple[int, int]) -> list[bool]:
+    """For each pair of sets whether they are similar."""
+    a, b = threshold
+    common = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+    return [b * c >= a * (len(s) + len(t) - c) for c, s, t in zip(common, x, y)]
+
+
+def _verified(pairs: DataFrame, index: DataFrame, text: DataFrame, width: int, threshold: tuple[int, int], orders: int) -> DataFrame:
+    """The pairs (x, y) that pass the filters and whose whole sets are similar.
+
+    Texts travel to the pairs that are left, which takes less than half of what their sets would.
     """
     pairs = materialize(pairs.distinct(), "ngram-candidates")
+    pairs = materialize(filtered(pairs, index, threshold, orders).distinct(), "ngram-filtered")
     near = _thinned(text, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")))
     side = lambda k: near.select(F.col("doc_id").alias(k), F.col("_text").alias(f"{k}_text"))
 
     def run(batches):
-        counts = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 sets = [S.shingle_sets(*S.texts_of(part.column(f"{k}_text")), width) for k in "xy"]
-                found = pa.array(_similar(*sets, counts, threshold, orders))
+                found = pa.array(_similar(*sets, threshold))
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(found) for k in "xy"], names=["x", "y"])
 
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_text", "y_text")
@@ -175,7 +233,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     with scratch() as made:
         # The sketch has a fixed size: the bound for this broadcast.
         sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(text, width).tobytes())
-        index = kept(made, materialize(_index(text, width, threshold, sketch), "ngram-index"))
+        index = kept(made, materialize(_index(text, width, threshold, sketch, orders), "ngram-index"))
         of_class = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
         classes = materialize(of_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "ngram-classes")
 
@@ -186,7 +244,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         shared = tokens.join(pivots, "token").select("token", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("p.rep").alias("y"), F.col("p.n").alias("y_n"), F.col("p.at").alias("y_at"))
         shared = materialize(shared, "ngram-shared")
         near = shared.where("x <> y").where(_meets("x", "y", threshold)).select("x", "y")
-        star = _verified(near, text, width, threshold, sketch, orders)
+        star = _verified(near, index, text, width, threshold, orders)
 
         joined = connected_components(star, "x", "y").select(F.col("node").alias("x"), "component")
         rows = materialize(shared.select("token", "x", "x_n", "x_at").join(joined, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component"), "ngram-rows")
@@ -196,7 +254,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         apart = (F.col("c") != F.col("y_c")) & ((F.col("y_c") == F.col("top")) | (F.col("c") < F.col("y_c")))
         cross = rows.where("c <> top").join(other, "token").where(apart & _meets("x", "y", threshold))
         cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        rest = _verified(cross, text, width, threshold, sketch, orders)
+        rest = _verified(cross, index, text, width, threshold, orders)
 
         found = connected_components(star.union(rest), "x", "y").select(F.col("node").alias("rep"), "component")
         ids = classes.select("digest", "rep").join(found, "rep", "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("c"))
