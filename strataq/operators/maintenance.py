@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import scoring as S
 from strataq.operators.folds import is_garbage_fact, latest_rows
+from strataq.operators.pairs import overlap_pairs
 
 
 def decayed(found: DataFrame, now: int, floor: float = 0.05) -> DataFrame:
@@ -45,12 +46,12 @@ def stale_embeddings(rows: DataFrame, model: str, version: int) -> DataFrame:
 
 def penalised(memories: DataFrame, fails: DataFrame, factor: float = 0.85, floor: float = 0.05, words: int = 6) -> DataFrame:
     """Importance after failures: a failure of the same session, else one that shares ``words`` words,
-    lowers it by ``factor``. Word matches meet on exploded words and are counted per pair."""
+    lowers it by ``factor``."""
     sessions = fails.select("session_id").where("session_id IS NOT NULL").distinct()
     same = memories.join(sessions, "session_id", "left_semi").select("id")
     rest = memories.join(same, "id", "left_anti")
-    explode = lambda df, key: df.select(F.col(key), F.explode(F.array_distinct(F.filter(F.split(F.lower("content"), "[ \\t\\n]+"), lambda w: w != ""))).alias("word"))
-    shared = explode(rest, "id").join(explode(fails, "fail_id"), "word").groupBy("id", "fail_id").count().where(F.col("count") >= words).select("id").distinct()
+    sets = lambda df, key: df.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.lower("content"), "[ \\t\\n]+"), lambda w: w != "")).alias("tokens"))
+    shared = overlap_pairs(sets(rest, "id"), sets(fails, "fail_id"), words).select(F.col("l").alias("id")).distinct()
     hit = same.union(shared).select("id", F.lit(True).alias("_hit"))
     out = memories.join(hit, "id", "left")
     return out.withColumn("importance", F.when(F.col("_hit"), F.greatest(F.lit(floor), F.col("importance") * factor)).otherwise(F.col("importance"))).drop("_hit")

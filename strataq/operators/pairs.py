@@ -2,14 +2,16 @@
 
 Lexical joins are exact and use prefix filtering: a set whose overlap with another reaches t of its
 own size must share one of its rarest (1 - t) tokens, so only those are exploded on one side. Vector
-joins are exact and use pivots: by the triangle inequality a vector can only be near those whose
-pivot lies within its own distance, the pivot's radius and the threshold angle.
+joins are exact: vectors are dealt out to the nearest of some pivots and cut into blocks of bounded
+size, blocks meet where the triangle inequality allows, and a pair of blocks is one matrix product.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,8 @@ from pyspark.sql.window import Window
 from strataq.functions import scoring as S
 from strataq.storage import discard, materialize
 
-PIVOTS = 64
+#: Vectors of a block on average, and the most pivots.
+BLOCK, PIVOTS = 1024, 512
 
 
 def containment_join(left: DataFrame, right: DataFrame, t: float, self_join: bool = False, flag: str | None = None, jaccard: bool = False) -> DataFrame:
@@ -40,6 +43,10 @@ def containment_join(left: DataFrame, right: DataFrame, t: float, self_join: boo
         need = F.greatest(F.ceil(F.col(f"{k}_size") * t - 1e-9), F.lit(1))
         return ranked.withColumn("place", place).where((F.col("place") <= F.col(f"{k}_size") - need + 1) & (F.col("df") > 0)).drop("place", "df")
 
+    if not (jaccard or self_join or flag):
+        # A query set against all: common tokens are counted where they meet, and no token array moves again.
+        met = r.join(l, "token").groupBy("l", "r", "l_size", "r_size").agg(F.count("*").cast("int").alias("common"))
+        return met.where(F.col("common") >= F.col("l_size") * t - 1e-9).select("l", "r", "common", "l_size", "r_size")
     r = prefix(r, "r") if jaccard else r
     if flag:
         met = prefix(l, "l").withColumn("r_flag", ~F.col("l_flag")).join(r, ["token", "r_flag"])
@@ -85,26 +92,60 @@ def unsupported(found: DataFrame, receipts: DataFrame, t: float = 0.45) -> DataF
     return found.select("id").join(named.where(fits).select(F.col("l").alias("id")).distinct(), "id", "left_anti")
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of (vec_id, vec) with a cosine of at least ``threshold``; exact.
 
-    At most ``pivots`` vectors, taken by hash, reach the driver and go out with the plan.
+    Ids are numbers and vectors of one size; null ids and vectors, and those of length 0, are near to nothing. One pivot a ``block`` of vectors, at most
+    ``pivots``, taken by hash, reaches the driver, and a row per pair of their cells. Where vectors are spread so evenly that
+    no two cells are too far apart, every two blocks meet: the work is quadratic, and n / ``block`` copies of the vectors are shuffled.
     """
-    v = materialize(vectors.select("vec_id", S.unit(F.col("vec")).alias("u")).where(F.size("u") > 0), "unit-vectors")
-    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    if not rows:
+    spark = vectors.sparkSession
+    v = materialize(vectors.select("vec_id", S.unit(F.col("vec")).alias("u")).where("size(u) > 0 AND vec_id IS NOT NULL"), "unit-vectors")
+    n, low, high = v.agg(F.count("*"), F.min(F.size("u")), F.max(F.size("u"))).first()
+    if not n:
         return v.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    points = F.array(*(F.array(*(F.lit(float(x)) for x in r["u"])) for r in rows))
-    angle = lambda p: F.acos(F.least(F.greatest(S.dot(F.col("u"), p), F.lit(-1.0)), F.lit(1.0)))
-    placed = v.withColumn("angles", F.transform(points, angle)).withColumn("home", F.array_position("angles", F.array_min("angles")).cast("int"))
-    placed = materialize(placed, "placed-vectors")
-    radius = {r[0]: r[1] for r in placed.groupBy("home").agg(F.max(F.array_min("angles"))).collect()}
-    reach = F.array(*(F.lit(radius.get(i + 1, -10.0) + math.acos(threshold) + 1e-9) for i in range(len(rows))))
-    near = F.filter(F.transform("angles", lambda x, i: F.when(x <= F.get(reach, i), i + 1)), lambda x: x.isNotNull())
-    homes = placed.select(F.col("vec_id").alias("a"), F.col("u").alias("a_u"), F.col("home").alias("cell"))
-    probes = placed.select(F.col("vec_id").alias("b"), F.col("u").alias("b_u"), F.explode(near).alias("cell"))
-    pairs = homes.join(probes, "cell").where("a < b").withColumn("similarity", S.dot(F.col("a_u"), F.col("b_u")))
-    return pairs.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    if low != high:
+        raise ValueError(f"vectors of {low} and of {high} numbers have no cosine")
+    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(pivots, max(1, n // block))).collect()
+    points = np.array([r["u"] for r in rows])
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, high)
+
+    def place(batches):
+        for batch in batches:
+            angles = np.arccos(np.clip(matrix(batch.column("u")) @ points.T, -1, 1))
+            home = angles.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("u"), pa.array(home, pa.int32()), pa.array(angles[np.arange(len(home)), home])], names=["vec_id", "u", "cell", "angle"])
+
+    id_type = v.schema["vec_id"].dataType.simpleString()
+    placed = materialize(v.mapInArrow(place, f"vec_id {id_type}, u array<double>, cell int, angle double"), "placed-vectors")
+    cells = {r[0]: (r[1], -(-r[2] // block)) for r in placed.groupBy("cell").agg(F.max("angle"), F.count("*")).collect()}
+    between = np.arccos(np.clip(points @ points.T, -1, 1))
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    near = [(i, j, cells[i][1], cells[j][1]) for i in sorted(cells) for j in sorted(cells) if i <= j and between[i, j] <= cells[i][0] + cells[j][0] + reach]
+    parts = F.element_at(F.create_map(*(F.lit(x) for k, (_, n_parts) in cells.items() for x in (k, n_parts))), F.col("cell"))
+    blocks = placed.groupBy("cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part")).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("u")).alias("u"))
+    blocks = materialize(blocks, "vector-blocks")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"{k}_parts") - 1)).alias(f"{k}_part")
+    met = spark.createDataFrame(near, "a_cell int, b_cell int, a_parts int, b_parts int").select("a_cell", "b_cell", "b_parts", each("a")).select("a_cell", "b_cell", "a_part", each("b"))
+    met = met.where("a_cell < b_cell OR a_part <= b_part")
+    side = lambda k: blocks.select(F.col("cell").alias(f"{k}_cell"), F.col("part").alias(f"{k}_part"), F.col("ids").alias(f"{k}_ids"), F.col("u").alias(f"{k}_u"))
+    both = met.join(side("a"), ["a_cell", "a_part"]).join(side("b"), ["b_cell", "b_part"])
+
+    def match(batches):
+        for batch in batches:
+            same = [x == y and p == q for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a_cell", "b_cell", "a_part", "b_part")))]
+            for k in range(batch.num_rows):
+                a_ids, b_ids = (batch.column(f"{s}_ids")[k].values.to_numpy(zero_copy_only=False) for s in "ab")
+                a, b = (batch.column(f"{s}_u")[k].values.to_numpy(zero_copy_only=False).reshape(-1, high) for s in "ab")
+                product = a @ b.T
+                i, j = np.nonzero(product >= threshold - 1e-12)
+                x, y = a_ids[i], b_ids[j]
+                some = x < y if same[k] else x != y
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[some]), pa.array(np.maximum(x, y)[some]), pa.array(product[i, j][some])], names=["a", "b", "similarity"])
+
+    return both.select("a_cell", "a_part", "b_cell", "b_part", "a_ids", "b_ids", "a_u", "b_u").mapInArrow(match, f"a {id_type}, b {id_type}, similarity double")
 
 
 def greedy_representatives(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -197,12 +238,32 @@ def rename_drift(tokens: DataFrame, fields: DataFrame, least: int = 4) -> DataFr
     return long_token.union(long_field).where("token <> field").distinct()
 
 
+def overlap_pairs(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Pairs (l, r, common) of sets (id, tokens) that share ``least`` tokens or more.
+
+    Such sets share one of the tokens that remain without the ``least`` - 1 most frequent of each, so the most
+    frequent ones, on which nearly all sets would meet, are never joined on.
+    """
+    tok = lambda df, k: df.where(F.size("tokens") >= least).select(F.col("id").alias(k), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    l, r = tok(left, "l"), tok(right, "r")
+    frequency = materialize(r.groupBy("token").agg(F.count("*").alias("df")), "token-frequency")
+
+    def rare(df: DataFrame, k: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(k).orderBy("df", "token"))
+        ranked = df.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", place)
+        return ranked.where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 0)).select(k, "token")
+
+    pairs = rare(l, "l").join(rare(r, "r"), "token").select("l", "r").distinct()
+    sets = lambda df, k: df.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens"))
+    both = pairs.join(sets(left, "l"), "l").join(sets(right, "r"), "r")
+    return both.select("l", "r", F.size(F.array_intersect("l_tokens", "r_tokens")).alias("common")).where(F.col("common") >= least)
+
+
 def hard_negatives(sets: DataFrame, least: int, n: int) -> DataFrame:
     """The ``n`` pairs (a, b, common) of (id, label, tokens) with different labels that share most words."""
-    t = sets.select("id", "label", F.explode("tokens").alias("token"))
-    other = t.select(F.col("id").alias("b"), F.col("label").alias("b_label"), "token")
-    pairs = t.join(other, "token").where("id < b AND label <> b_label").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("common"))
-    return pairs.where(F.col("common") >= least).orderBy(F.desc("common"), "a", "b").limit(n)
+    label = lambda k: sets.select(F.col("id").alias(k), F.col("label").alias(f"{k}_label"))
+    pairs = overlap_pairs(sets, sets, least).where("l < r").join(label("l"), "l").join(label("r"), "r").where("l_label <> r_label")
+    return pairs.select(F.col("l").alias("a"), F.col("r").alias("b"), "common").orderBy(F.desc("common"), "a", "b").limit(n)
 
 
 def merged_entities(mentions: DataFrame) -> DataFrame:
