@@ -7,18 +7,14 @@ writes, literals and rule findings as rows of one shape. It runs row by row wher
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS = "path string, kind string, name string, owner string, line int, end_line int, detail string"
-
-# Names that mark state writes, tests and metrics in the rules below.
-METRICS = ("Counter", "Gauge", "Histogram", "Summary")
-DEPRECATED = {"utcnow": "datetime", "utcfromtimestamp": "datetime", "get_event_loop": "asyncio"}
+from strataq.functions.rules import broken_rules
 
+ROWS = "path string, kind string, name string, owner string, line int, end_line int, detail string"
 
 def _name(node: ast.AST) -> str:
     """Dotted name of a call target or attribute; the last part if something else is in front."""
@@ -86,88 +82,6 @@ class _Walk(ast.NodeVisitor):
             self.add("literal", node.value, node)
 
 
-def _functions(tree: ast.AST) -> Iterator[ast.AST]:
-    return (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))
-
-
-def _calls(node: ast.AST) -> Iterator[ast.Call]:
-    return (n for n in ast.walk(node) if isinstance(n, ast.Call))
-
-
-def _is_test(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].startswith("test_") or path.endswith("_test.py")
-
-
-def rule_findings(path: str, tree: ast.AST) -> Iterator[tuple[str, int]]:
-    """(rule, line) of the static rules that one file can break."""
-    metrics: set[str] = set()
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Attribute) and n.attr.startswith("_") and not n.attr.startswith("__") and isinstance(n.value, ast.Name) and n.value.id not in ("self", "cls"):
-            yield "private-attribute", n.lineno
-        if isinstance(n, ast.Call):
-            called = _name(n.func)
-            if called.rsplit(".", 1)[-1] in METRICS and n.args and isinstance(n.args[0], ast.Constant):
-                if n.args[0].value in metrics:
-                    yield "duplicate-metric", n.lineno
-                metrics.add(n.args[0].value)
-                if called.endswith("Counter") and any(w in str(n.args[0].value) for w in ("current", "active", "size")):
-                    yield "counter-should-be-gauge", n.lineno
-            if called.rsplit(".", 1)[-1] in DEPRECATED and DEPRECATED[called.rsplit(".", 1)[-1]] in called:
-                yield "deprecated-call", n.lineno
-            depth, at = 0, n.func
-            while isinstance(at, ast.Attribute) and isinstance(at.value, ast.Call):
-                depth, at = depth + 1, at.value.func
-            if depth >= 2:
-                yield "call-chain", n.lineno
-        if isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) and _name(n.value.func).endswith("create_task"):
-            yield "orphan-task", n.lineno
-        if isinstance(n, ast.ExceptHandler) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Return) and (s.value is None or isinstance(s.value, ast.Constant) and s.value.value is None) for s in n.body):
-            yield "swallowed-exception", n.lineno
-        if isinstance(n, ast.While) and isinstance(n.test, ast.Constant) and n.test.value:
-            inner = list(ast.walk(n))
-            if any(isinstance(x, ast.Try) for x in inner) and not any(isinstance(x, (ast.Break, ast.Return, ast.Raise)) for x in inner):
-                yield "unbounded-retry", n.lineno
-            if any(_name(c.func).split(".")[0] in ("log", "logger", "logging") for c in _calls(n)):
-                yield "log-in-endless-loop", n.lineno
-            if any(_name(c.func).endswith("sleep") and c.args and isinstance(c.args[0], ast.Constant) for c in _calls(n)) and any("connect" in _name(c.func) for c in _calls(n)):
-                yield "reconnect-without-jitter", n.lineno
-        if isinstance(n, ast.ClassDef) and n.name.endswith(("Publisher", "Notifier", "Exporter")):
-            for f in n.body:
-                if isinstance(f, ast.FunctionDef) and f.name.startswith(("send", "publish", "export", "notify", "emit")) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in f.body):
-                    yield "no-op-integration", f.lineno
-    for f in _functions(tree):
-        if isinstance(f, ast.AsyncFunctionDef):
-            if f.name == "__init__":
-                yield "async-constructor", f.lineno
-            for c in _calls(f):
-                if _name(c.func) == "asyncio.run":
-                    yield "run-inside-async", c.lineno
-        if f.name.startswith("test") or _is_test(path):
-            for s in ast.walk(f):
-                if isinstance(s, ast.Expr) and isinstance(s.value, ast.Compare):
-                    yield "vacuous-test", s.lineno
-                if isinstance(s, ast.Assert) and isinstance(s.test, ast.Compare) and any(isinstance(x, ast.Constant) and isinstance(x.value, float) for x in s.test.comparators):
-                    yield "float-equality-in-test", s.lineno
-                if isinstance(s, ast.Constant) and isinstance(s.value, str) and s.value.lstrip().upper().startswith(("SELECT ", "INSERT ")):
-                    yield "sql-in-test", s.lineno
-        guard = next((i for i, s in enumerate(f.body) if isinstance(s, ast.If) and any(isinstance(x, ast.Return) for x in s.body)), None)
-        if guard is not None and any(isinstance(s, ast.If) and any(isinstance(x, ast.Raise) for x in s.body) for s in f.body[guard + 1 :]):
-            yield "validation-after-guard", f.lineno
-        changed = next((i for i, s in enumerate(f.body) if isinstance(s, ast.Assign) and any(isinstance(t, ast.Attribute) for t in s.targets)), None)
-        if changed is not None and any(isinstance(s, ast.If) and any(isinstance(x, ast.Raise) for x in s.body) for s in f.body[changed + 1 :]):
-            yield "validation-after-mutation", f.lineno
-        bound = {t.id for s in f.body if isinstance(s, ast.If) and not s.orelse for x in s.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)}
-        sure = {t.id for s in f.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name)} | {a.arg for a in f.args.args}
-        if f.body and isinstance(f.body[-1], ast.Return) and isinstance(f.body[-1].value, ast.Name) and f.body[-1].value.id in bound - sure:
-            yield "conditional-binding", f.body[-1].lineno
-        for loop in (s for s in ast.walk(f) if isinstance(s, ast.For)):
-            for t in (s for s in loop.body if isinstance(s, ast.Try)):
-                if any("execute" in _name(c.func) for c in _calls(t)) and all(not any(isinstance(x, ast.Raise) for x in ast.walk(h)) for h in t.handlers):
-                    yield "per-record-swallow", t.lineno
-        if any(_name(c.func) == "json.dumps" for c in _calls(f)) and any(_name(c.func).startswith(("np.", "numpy.")) for c in _calls(f)):
-            yield "array-to-json", f.lineno
-
-
 def analyse(path: str, content: str) -> list[tuple]:
     """All rows of a file; a file that does not parse gives one row of kind error."""
     try:
@@ -176,7 +90,7 @@ def analyse(path: str, content: str) -> list[tuple]:
         return [(path, "error", type(e).__name__, "", getattr(e, "lineno", 0) or 0, 0, str(e)[:200])]
     walk = _Walk(path)
     walk.visit(tree)
-    return walk.rows + [(path, "rule", rule, "", line, line, "") for rule, line in sorted(set(rule_findings(path, tree)))]
+    return walk.rows + [(path, "rule", name, "", line, line, rule) for name, rule, line in broken_rules(path, content, tree)]
 
 
 def parse_python(files: DataFrame) -> DataFrame:
