@@ -46,9 +46,31 @@ class _Walk(ast.NodeVisitor):
     def _define(self, kind: str, node) -> None:
         self.add(kind, ".".join([*self.scope, node.name]), node, ",".join(filter(None, (_name(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list))))
         self.scope.append(node.name)
+        if kind != "class":
+            for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
+                self._typed(a.arg, a.annotation, a)
         self.generic_visit(node)
         self.scope.pop()
 
+    def _typed(self, name: str, value: ast.AST | None, node: ast.AST) -> None:
+        """A name that holds an instance: its class, as a call or an annotation names it."""
+        made = _name(value.func) if isinstance(value, ast.Call) else value.value if isinstance(value, ast.Constant) and isinstance(value.value, str) else _name(value) if value is not None else ""
+        if made and made.rsplit(".", 1)[-1][:1].isupper():
+            self.add("typed", name, node, made)
+
+    def visit_Assign(self, node):
+        for t in node.targets:
+            if isinstance(t, ast.Name) and isinstance(node.value, ast.Call):
+                self._typed(t.id, node.value, node)
+            elif isinstance(t, ast.Name) and isinstance(node.value, ast.Name) and not self.scope:
+                self.add("alias", t.id, node, node.value.id)
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node):
+        if isinstance(node.target, ast.Name):
+            self._typed(node.target.id, node.annotation, node)
+        self.generic_visit(node)
+
     def visit_ClassDef(self, node):
         self._define("class", node)
 
@@ -109,24 +131,58 @@ def parse_python(files: DataFrame) -> DataFrame:
     return spark.sql("SELECT t.* FROM strataq_files f, LATERAL strataq_parse(f.path, f.content) t")
 
 
+#: The rungs of call resolution in their order, with the rank of the first candidate of each.
+RUNGS = (("self", 0), ("nested", 10), ("typed", 40), ("module", 50), ("import", 60), ("unique", 90))
+
+
+def module_of(path):
+    """The dotted module of a file's path."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^.*?([A-Za-z0-9_]+(/[A-Za-z0-9_]+)*)[.]py$", "$1"), "/", "."), "[.]__init__$", "")
+
+
 def resolve_python_calls(rows: DataFrame) -> DataFrame:
-    """(path, line, name, target, rung) of calls: a definition nested in the caller, in its module, one that an
-    import brings in, else a method name that is unique; ? where none fits. Each rung is a join on equal keys."""
-    calls = rows.where("kind = 'call'").select("path", "line", "name", "owner", F.substring_index("name", ".", -1).alias("last"))
-    defs = rows.where("kind IN ('function', 'async_function', 'class')").select("path", "name")
-    full = defs.select(F.col("path").alias("d_path"), F.col("name").alias("d_name"), F.concat_ws("::", "path", "name").alias("target"))
-    pick = lambda t: full.withColumnRenamed("target", t)
-    out = calls.withColumn("inner", F.when(F.col("owner") != "", F.concat_ws(".", "owner", "name")))
-    out = out.join(pick("t1"), (F.col("path") == F.col("d_path")) & (F.col("inner") == F.col("d_name")), "left").drop("d_path", "d_name")
-    out = out.join(pick("t2"), (F.col("path") == F.col("d_path")) & (F.col("name") == F.col("d_name")), "left").drop("d_path", "d_name")
-    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^.*?([A-Za-z0-9_]+(/[A-Za-z0-9_]+)*)[.]py$", "$1"), "/", "."), "[.]__init__$", "")
-    exported = defs.select(F.concat_ws(".", module, "name").alias("fqn"), F.concat_ws("::", "path", "name").alias("t3"))
-    brought = rows.where("kind = 'import'").select("path", F.when(F.col("detail") != "", F.col("detail")).otherwise(F.substring_index("name", ".", -1)).alias("local"), F.col("name").alias("fqn"))
-    out = out.join(brought.join(exported, "fqn").select(F.col("path").alias("i_path"), "local", "t3"), (F.col("path") == F.col("i_path")) & (F.col("name") == F.col("local")), "left").drop("i_path", "local")
-    unique = full.select(F.substring_index("d_name", ".", -1).alias("last"), "target").groupBy("last").agg(F.min("target").alias("t4"), F.count("*").alias("n")).where("n = 1").drop("n")
-    out = out.join(unique, "last", "left")
-    rung = F.when(F.col("t1").isNotNull(), "nested").when(F.col("t2").isNotNull(), "module").when(F.col("t3").isNotNull(), "import").when(F.col("t4").isNotNull(), "unique").otherwise("?")
-    return out.select("path", "line", "name", F.coalesce("t1", "t2", "t3", "t4", F.lit("?")).alias("target"), rung.alias("rung"))
+    """(path, line, name, target, rung) of calls; ? where no rung fits.
+
+    Rungs: a method of the caller's own class; a definition nested in the caller or outwards; a method of the class that the
+    receiver was made of or annotated with; a definition of the module, or another name for one; what an import brings in, by
+    name or by module; a method name that is unique. A call names its candidates with their ranks, and these meet definitions
+    in one join on equal keys; the least rank wins.
+    """
+    defs = rows.where("kind IN ('function', 'async_function', 'class')").select("path", "name", F.concat_ws("::", "path", "name").alias("target"))
+    unique = defs.groupBy(F.substring_index("name", ".", -1).alias("last")).agg(F.min("target").alias("target"), F.count("*").alias("n")).where("n = 1")
+    keys = defs.select(F.col("target").alias("key"), "target").unionByName(defs.select(F.concat(F.lit("fqn:"), module_of(F.col("path")), F.lit("."), "name").alias("key"), "target"))
+    keys = keys.unionByName(unique.select(F.concat(F.lit("last:"), "last").alias("key"), "target")).groupBy("key").agg(F.min("target").alias("target"))
+
+    calls = rows.where("kind = 'call'").groupBy("path", "line", "name", "owner").agg(F.count("*").alias("times"))
+    calls = calls.withColumn("head", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substr(name, length(head) + 1)"))
+    one = lambda kind, *more: rows.where(F.col("kind") == kind).groupBy("path", *more, F.col("name").alias("head")).agg(F.min("detail").alias(kind))
+    calls = calls.join(one("typed", "owner"), ["path", "owner", "head"], "left").join(one("alias"), ["path", "head"], "left")
+    local = F.when(F.col("detail") != "", F.col("detail")).otherwise(F.substring_index("name", ".", -1))
+    brought = rows.where("kind = 'import'").groupBy("path", local.alias("local")).agg(F.min("name").alias("fqn"))
+    side = lambda of, name: brought.select("path", F.col("local").alias(of), F.col("fqn").alias(name))
+    calls = calls.withColumn("t_head", F.substring_index("typed", ".", 1)).join(side("head", "h_fqn"), ["path", "head"], "left").join(side("t_head", "t_fqn"), ["path", "t_head"], "left")
+
+    here = lambda name: F.concat(F.col("path"), F.lit("::"), name)
+    at = lambda rank, key: F.struct(F.lit(rank).alias("rank"), key.alias("key"))
+    inside = F.regexp_replace("owner", "[.][^.]+$", "")
+    owners = F.split("owner", "[.]")
+    outward = F.transform(
+        F.when(F.col("owner") == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(owners))),
+        lambda k: F.struct((F.size(owners) - k + 10).alias("rank"), here(F.concat(F.array_join(F.slice(owners, 1, k), "."), F.lit("."), F.col("name"))).alias("key")),
+    )
+    fixed = F.array(
+        at(0, F.when(F.col("head").isin("self", "cls") & F.contains("owner", F.lit(".")), here(F.concat(inside, "rest")))),
+        at(40, here(F.concat("typed", "rest"))), at(41, F.concat(F.lit("fqn:"), "t_fqn", F.expr("substr(typed, length(t_head) + 1)"), "rest")),
+        at(50, here(F.col("name"))), at(51, here(F.concat("alias", "rest"))), at(60, F.concat(F.lit("fqn:"), "h_fqn", "rest")),
+        at(90, F.concat(F.lit("last:"), F.substring_index("name", ".", -1))),
+    )
+    asked = calls.select("path", "line", "name", "owner", "times", F.explode(F.filter(F.concat(outward, fixed), lambda c: c["key"].isNotNull())).alias("c")).select("*", "c.rank", "c.key").drop("c")
+    best = asked.join(keys, "key", "left").groupBy("path", "line", "name", "owner").agg(F.min(F.when(F.col("target").isNotNull(), F.struct("rank", "target"))).alias("b"), F.max("times").alias("times"))
+    rung = F.lit("?")
+    for name, rank in RUNGS:
+        rung = F.when(F.col("b.rank") >= rank, name).otherwise(rung)
+    found = best.select("path", "line", "name", F.coalesce("b.target", F.lit("?")).alias("target"), rung.alias("rung"), "times")
+    return found.select("path", "line", "name", "target", "rung", F.explode(F.sequence(F.lit(1), "times")).alias("_k")).drop("_k")
 
 
 def literal_flavour(value):
