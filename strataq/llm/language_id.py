@@ -4,7 +4,8 @@ A text's UTF-8 bytes are cut into windows of WINDOW bytes. In each window a gate
 runs in either direction; their states at a byte give that byte's probabilities of every language.
 A document's probability is the mean over all its bytes. The network is trained on the driver by
 backpropagation through time on windows drawn from all places of a bounded, balanced sample of the
-labelled documents outside the held-out fold; its tables (some 60 kB) go out with the tasks.
+labelled documents outside the held-out fold; its tables (some 60 kB) go out with the tasks. Texts of
+any length are labelled byte by byte, some thousand windows at a time.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ parts) falls below the dropout rate, so a seed gives the same segmentation anywh
 give others. Units are runs of spaces with the text that follows: no piece crosses their bounds,
 which is checked when a model is loaded. Every occurrence of a unit draws for itself; those that
 skip the same steps are merged once, many at a time in numpy.
-Characters without a piece, and a literal U+2581, become byte pieces: decoding is lossless.
+Characters without a piece, and a literal U+2581, become byte pieces: decoding is lossless. A text of
+any length is encoded whole; one beyond BATCH_CHARS is a batch of its own, some hundred bytes a character.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Every text becomes a few transformed statistics (logs and log odds, so that clas
 normal). Each class has its mean and a covariance shrunk towards the pooled covariance and that
 towards a multiple of the identity. Sufficient statistics are summed over all labelled rows in one
 aggregation; the driver gets two rows, caches each class's inverse Cholesky factor, and scores are
-differences of Mahalanobis log densities, evaluated as Column arithmetic.
+differences of Mahalanobis log densities, evaluated as Column arithmetic. Texts of any length are
+counted whole; their words and lines are arrays of one row.
 """
 
 from __future__ import annotations
