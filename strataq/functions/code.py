@@ -35,6 +35,16 @@ def _receiver(node: ast.AST) -> str:
     return "expr"
 
 
+def _own_nodes(fn):
+    """The nodes of a function without what is inside functions and classes in it."""
+    todo = list(fn.body)
+    while todo:
+        n = todo.pop()
+        yield n
+        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            todo += ast.iter_child_nodes(n)
+
+
 class _Walk(ast.NodeVisitor):
     def __init__(self, path: str):
         self.path, self.rows, self.scope = path, [], []
@@ -43,12 +53,34 @@ class _Walk(ast.NodeVisitor):
         line = getattr(node, "lineno", 0)
         self.rows.append((self.path, kind, name, ".".join(self.scope), line, getattr(node, "end_lineno", line) or line, detail))
 
+    def _locals(self, fn) -> None:
+        """A row per local that starts as a constant: how it is updated, how often to a constant, and exits of blocks that do not."""
+        starts: dict[str, ast.Assign] = {}
+        for s in fn.body:
+            if isinstance(s, ast.Assign) and isinstance(s.value, ast.Constant):
+                for t in s.targets:
+                    if isinstance(t, ast.Name):
+                        starts.setdefault(t.id, s)
+        if not starts:
+            return
+        own = list(_own_nodes(fn))
+        for name, first in starts.items():
+            sets = lambda n: isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == name for t in n.targets)  # noqa: E731, B023
+            again = [n for n in own if sets(n) and n is not first]
+            forms = ["constant" if isinstance(n.value, ast.Constant) else "computed" for n in again]
+            forms += ["augmented" for n in own if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name) and n.target.id == name]
+            forms += ["loop" for n in own if isinstance(n, (ast.For, ast.AsyncFor)) and isinstance(n.target, ast.Name) and n.target.id == name]
+            blocks = [b for n in own if isinstance(n, (ast.If, ast.ExceptHandler)) for b in ([n.body, n.orelse] if isinstance(n, ast.If) else [n.body]) if b]
+            exits = sum(isinstance(b[-1], (ast.Return, ast.Continue, ast.Break, ast.Raise)) and not any(sets(n) for s in b for n in ast.walk(s)) for b in blocks)
+            self.add("local", name, first, f"{'+'.join(sorted(set(forms)))}|{forms.count('constant')}|{exits}")
+
     def _define(self, kind: str, node) -> None:
         self.add(kind, ".".join([*self.scope, node.name]), node, ",".join(filter(None, (_name(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list))))
         self.scope.append(node.name)
         if kind != "class":
             for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
                 self._typed(a.arg, a.annotation, a)
+            self._locals(node)
         self.generic_visit(node)
         self.scope.pop()
 
@@ -86,7 +118,7 @@ class _Walk(ast.NodeVisitor):
 
     def visit_ImportFrom(self, node):
         for a in node.names:
-            self.add("import", "." * node.level + (node.module or "") + "." + a.name, node, a.asname or "")
+            self.add("import", "." * node.level + (f"{node.module}." if node.module else "") + a.name, node, a.asname or "")
 
     def visit_Call(self, node):
         self.add("call", _name(node.func) or "?", node, _receiver(node.func))
@@ -157,8 +189,7 @@ def resolve_python_calls(rows: DataFrame) -> DataFrame:
     calls = calls.withColumn("head", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substr(name, length(head) + 1)"))
     one = lambda kind, *more: rows.where(F.col("kind") == kind).groupBy("path", *more, F.col("name").alias("head")).agg(F.min("detail").alias(kind))
     calls = calls.join(one("typed", "owner"), ["path", "owner", "head"], "left").join(one("alias"), ["path", "head"], "left")
-    local = F.when(F.col("detail") != "", F.col("detail")).otherwise(F.substring_index("name", ".", -1))
-    brought = rows.where("kind = 'import'").groupBy("path", local.alias("local")).agg(F.min("name").alias("fqn"))
+    brought = import_map(rows).groupBy("path", "local").agg(F.min("fqn").alias("fqn"))
     side = lambda of, name: brought.select("path", F.col("local").alias(of), F.col("fqn").alias(name))
     calls = calls.withColumn("t_head", F.substring_index("typed", ".", 1)).join(side("head", "h_fqn"), ["path", "head"], "left").join(side("t_head", "t_fqn"), ["path", "t_head"], "left")
 
@@ -185,6 +216,36 @@ def resolve_python_calls(rows: DataFrame) -> DataFrame:
     return found.select("path", "line", "name", "target", "rung", F.explode(F.sequence(F.lit(1), "times")).alias("_k")).drop("_k")
 
 
+def flag_bindings(rows: DataFrame) -> DataFrame:
+    """Locals with a constant start as ``operators.stores.ranked_flags`` takes them."""
+    part = lambda k: F.split("detail", "[|]")[k]
+    forms = F.filter(F.split(part(0), "[+]"), lambda x: x != "")
+    return rows.where("kind = 'local'").select(
+        F.concat_ws("::", "path", "owner", "name").alias("id"), "path", "line", F.lit(True).alias("init_is_constant"), forms.alias("assign_forms"), part(1).cast("int").alias("constant_rebinds"), part(2).cast("int").alias("guard_exits")
+    )
+
+
+def normalised_type(value):
+    """A declared type without type arguments, array brackets, optional marks, qualifiers and package: ``final java.util.List<String>[]`` is List."""
+    t = F.regexp_replace(F.trim(value), "^((final|const|static|readonly|public|private|protected|mut|ref|in|out)\\s+)+", "")
+    for _ in range(4):
+        t = F.regexp_replace(t, "<[^<>]*>|\\[[^\\[\\]]*\\]", "")
+    t = F.regexp_replace(F.trim(F.regexp_replace(t, "[?&*!]+|\\s*\\|\\s*(None|null|undefined)", "")), "^.*(\\.|::)", "")
+    return F.when(t.rlike("^[A-Za-z_$][A-Za-z0-9_$]*$"), t)
+
+
+def import_map(rows: DataFrame) -> DataFrame:
+    """(path, local, fqn): what a file's imports call a name, relative imports resolved against the file's package."""
+    brought = rows.where("kind = 'import'").select("path", "name", F.when(F.col("detail") != "", F.col("detail")).otherwise(F.regexp_extract("name", "([^.]+)$", 1)).alias("local"))
+    dots = F.length(F.regexp_extract("name", "^[.]*", 0))
+    parts = F.split(module_of(F.col("path")), "[.]")
+    # A package's own file is one level below its name already.
+    up = F.when(F.col("path").endswith("/__init__.py"), dots - 1).otherwise(dots)
+    package = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), ".")
+    rest = F.regexp_replace("name", "^[.]+", "")
+    return brought.select("path", "local", F.when(dots == 0, F.col("name")).otherwise(F.concat_ws(".", F.when(package != "", package), rest)).alias("fqn")).distinct()
+
+
 def literal_flavour(value):
     """path, key or null of a literal."""
     return F.when(value.rlike("[/~]|[.](json|jsonl|yaml|yml|toml|txt|md|csv|db|sqlite|log|py|sh|parquet)$") & (F.length(value) <= 400) & ~value.rlike("\\s"), "path").when(value.rlike("^[A-Za-z_][A-Za-z0-9_]{0,63}$"), "key")

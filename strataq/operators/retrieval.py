@@ -76,6 +76,38 @@ def knn(queries: DataFrame, base: DataFrame, k: int, least: float | None = None,
     return top_k(vector_scores(queries, base, least, same), k)
 
 
+def vector_cells(base: DataFrame, cells: int = 64) -> tuple[DataFrame, list[list[float]]]:
+    """An index for approximate search: (id, u, cell) of every vector of (id, vec) at length 1, and the points that cells lie around.
+
+    Points are ``cells`` vectors, taken by hash; every vector is in the cell of its nearest one. Stored
+    partitioned by cell, a search reads only the cells that it probes.
+    """
+    v = base.select("id", S.unit(F.col("vec")).alias("u")).where(F.size("u") > 0)
+    points = [list(r["u"]) for r in v.orderBy(F.xxhash64("id"), "id").limit(cells).collect()]
+    return v.withColumn("cell", F.element_at(nearest_points(F.col("u"), points, 1), 1)) if points else v.withColumn("cell", F.lit(0)), points
+
+
+def nearest_points(u: Column, points: list[list[float]], n: int) -> Column:
+    """The numbers of the ``n`` nearest of some points to a vector."""
+    fixed = F.array(*(F.array(*(F.lit(float(x)) for x in p)) for p in points))
+    order = F.array_sort(F.transform(fixed, lambda p, i: F.struct((-S.dot(u, p)).alias("d"), i.alias("i"))))
+    return F.transform(F.slice(order, 1, n), lambda x: x["i"])
+
+
+def approximate_knn(queries: DataFrame, index: DataFrame, points: list[list[float]], k: int, probes: int) -> DataFrame:
+    """(query, id, score, place): neighbours of (query, vec) within the ``probes`` cells nearest to it, itself left out."""
+    q = queries.select("query", S.unit(F.col("vec")).alias("q")).where(F.size("q") > 0)
+    asked = q.withColumn("cell", F.explode(nearest_points(F.col("q"), points, probes) if points else F.array(F.lit(0))))
+    met = index.join(asked, "cell").where(F.col("query") != F.col("id"))
+    return top_k(met.select("query", "id", S.dot(F.col("u"), F.col("q")).alias("score")), k)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(recall): the share of exact neighbours (query, id) that were found."""
+    hit = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("_hit")), ["query", "id"], "left")
+    return hit.agg((F.count("_hit") / F.count("*")).alias("recall"))
+
+
 def rrf(lists: list[DataFrame], k: int = RRF) -> DataFrame:
     """(query, id, score): sum of 1 / (k + place) over ranked lists (query, id, place)."""
     rows = lists[0].select("query", "id", "place")
