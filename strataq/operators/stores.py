@@ -237,3 +237,79 @@ def recurring_traces(log: DataFrame, kinds: tuple[str, ...], least: int = 2) ->
     return rows.groupBy("kind", "signature").agg(F.count("*").alias("count"), F.max("ts").alias("last")).where(F.col("count") >= least)
 
 
+
+
+def code_verdicts(rows: DataFrame, at: int, blocking: float = 0.6) -> DataFrame:
+    """Rule rows of ``functions.code`` as verdicts (VERDICT) on their lines: they block from a pattern confidence of ``blocking`` on."""
+    from strataq.functions import rules
+
+    patterns = {p: c for p, _, _, _, c in rules.catalogue()}
+    known = F.create_map(*(F.lit(x) for r in rules.RULES for x in (r.code, patterns[r.pattern])))
+    found = rows.where("kind = 'rule'").withColumn("confidence", F.element_at(known, F.col("detail")))
+    excerpt = F.concat_ws(":", "path", F.col("line").cast("string"), "detail")
+    return found.select(
+        verdict_signature(F.lit("code"), excerpt).alias("signature"), F.lit("code").alias("kind"), F.col("detail").alias("verdict_type"), F.when(F.col("confidence") >= blocking, "block").otherwise("warn").alias("decision"),
+        "confidence", F.col("name").alias("rationale"), F.lit(1).cast("long").alias("occurrences"), F.lit(at).cast("long").alias("first_seen"), F.lit(at).cast("long").alias("last_seen"), excerpt.alias("excerpt"),
+    )
+
+
+def ingested(rows: DataFrame) -> dict[str, DataFrame]:
+    """Parsed files (``functions.code``) as graph tables: symbols, their containers, resolved calls and imports."""
+    from strataq.functions import code
+
+    defs = rows.where("kind IN ('function', 'async_function', 'class')").select(F.concat_ws("::", "path", "name").alias("id"), "path", "name", "kind", "line", "end_line", F.when(F.col("owner") != "", F.concat_ws("::", "path", "owner")).alias("parent"))
+    caller = rows.where("kind = 'call'").select("path", "line", "name", F.when(F.col("owner") != "", F.concat_ws("::", "path", "owner")).otherwise(F.col("path")).alias("src")).distinct()
+    calls = code.resolve_python_calls(rows).where("rung <> '?'").join(caller, ["path", "line", "name"]).select("src", F.col("target").alias("dst"), "rung").distinct()
+    return {
+        "symbols": defs.drop("parent"), "contains": defs.select(F.coalesce("parent", "path").alias("src"), F.col("id").alias("dst")), "calls": calls,
+        "imports": code.import_map(rows).select(F.col("path").alias("src"), F.col("fqn").alias("dst")),
+    }
+
+
+def fact_lines(impact: DataFrame) -> DataFrame:
+    """(symbol, line): sentences on what hangs on a symbol, from (symbol, callers, findings, related array)."""
+    some = F.array_join(F.slice(F.col("related"), 1, 4), ", ")
+    line = F.concat_ws(" ", F.col("symbol").cast("string"), F.lit("has"), F.col("callers").cast("string"), F.lit("callers and"), F.col("findings").cast("string"), F.lit("findings."), F.when(F.size("related") > 0, F.concat(F.lit("Seen with "), some, F.lit("."))))
+    return impact.select("symbol", line.alias("line"))
+
+
+def swept(verdicts: DataFrame, edges: DataFrame, nodes: DataFrame, losers: DataFrame, new_runs: int, new_pairs: int, runs: int = 2, pairs: int = 200) -> dict[str, DataFrame]:
+    """What a sweep leaves, by table, or nothing if too little is new: the best verdict of each signature (signature, confidence, last_seen, ...),
+    edges (src, dst) whose ends exist, and nodes (id) that some edge touches and that no near duplicate outweighs (``losers``)."""
+    if new_runs < runs or new_pairs < pairs:
+        return {}
+    best = top_per_key(verdicts, ["signature"], [F.desc("confidence"), F.desc("last_seen")], 1)
+    end = lambda c: nodes.select(F.col("id").alias(c))
+    held = edges.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst")
+    touched = held.select(F.col("src").alias("id")).union(held.select("dst")).distinct()
+    return {"verdicts": best, "edges": held, "nodes": nodes.join(touched, "id", "left_semi").join(losers.select("id"), "id", "left_anti")}
+
+
+def advanced(since: str | None, rows: DataFrame, ts: str, clean: bool) -> str | None:
+    """The watermark after a sync: the newest moment delivered, but only if the run was clean."""
+    newest = rows.agg(F.max(ts)).first()[0] if clean else None
+    return max(filter(None, (since, newest)), default=None)
+
+
+#: What a reflection starts from; a stored state may lack any of it.
+REFLECTION = {"status": "idle", "ticks": 0, "last_tick": None, "queue": [], "seen": []}
+
+
+def reflection_state(stored: dict | None) -> dict:
+    """A stored reflection state with the defaults for what it lacks; unknown fields stay."""
+    return {k: list(v) if isinstance(v, list) else v for k, v in REFLECTION.items()} | {k: v for k, v in (stored or {}).items() if v is not None}
+
+
+def seeded(state: dict, questions: list[str]) -> dict:
+    """The state with questions it has not seen at the end of its queue."""
+    known = {*state["queue"], *state["seen"]}
+    fresh = [q for k, q in enumerate(questions) if q and q not in known and q not in questions[:k]]
+    return state | {"queue": [*state["queue"], *fresh], "status": "queued" if state["queue"] or fresh else state["status"]}
+
+
+def ticked(state: dict, at: str) -> tuple[str | None, dict]:
+    """The next question of the queue, and the state after it."""
+    if not state["queue"]:
+        return None, state | {"status": "idle"}
+    first, *rest = state["queue"]
+    return first, state | {"queue": rest, "seen": [*state["seen"], first], "ticks": state["ticks"] + 1, "last_tick": at, "status": "queued" if rest else "idle"}

@@ -198,3 +198,38 @@ def triple_insert(spark, sf):
 def recurring_traces(spark, sf):
     log = read_table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.concat("event_type", F.lit(" for user "), F.col("user_id").cast("string")).alias("text"), F.col("event_id").alias("ts"))
     return W.recurring_traces(log, ("error", "view"))
+
+
+@query("keyword_ratio", "SELECT doc_id, (contains(lower(text), 'the')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'password')::INT) / 3::DOUBLE AS ratio FROM documents")
+def keyword_ratio(spark, sf):
+    from strataq.operators import metrics as M
+
+    return read_table(spark, sf, "documents").select("doc_id", M.keyword_ratio(F.col("text"), ("The", "und", "PASSWORD")).alias("ratio"))
+
+
+@query(
+    "graph_fact_lines",
+    """WITH r AS (SELECT DISTINCT l_partkey AS symbol, l_orderkey AS finding FROM lineitem), c AS (SELECT symbol, count(*) AS findings FROM r GROUP BY 1), p AS (SELECT DISTINCT ps.l_partkey AS symbol, ps.l_suppkey AS caller FROM lineitem ps), n AS (SELECT symbol, count(*) AS callers, list_sort(list(caller)) AS l FROM p GROUP BY 1)
+    SELECT symbol, symbol || ' has ' || callers || ' callers and ' || findings || ' findings. Seen with ' || array_to_string(l[1:4], ', ') || '.' AS line FROM c JOIN n USING (symbol)""",
+)
+def graph_fact_lines(spark, sf):
+    """Suppliers play a part's callers."""
+    r = T.refers_to(spark, sf).groupBy("symbol").agg(F.count("*").alias("findings"))
+    p = read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("caller")).distinct()
+    n = p.groupBy("symbol").agg(F.count("*").alias("callers"), F.transform(F.array_sort(F.collect_list("caller")), lambda x: x.cast("string")).alias("related"))
+    return W.fact_lines(r.join(n, "symbol"))
+
+
+@query(
+    "gated_sweep",
+    f"""WITH {FINDINGS_SQL}, {_VERDICTS_SQL}, e AS (SELECT id AS src, derived_from AS dst FROM findings WHERE derived_from IN (SELECT id FROM findings)), n AS (SELECT id FROM findings WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e) AND seq % 9 <> 4)
+    SELECT 'edges' AS part, count(*) AS n FROM e UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'verdicts', count(DISTINCT signature) FROM v""",
+)
+def gated_sweep(spark, sf):
+    """Findings as nodes, derivations as edges; every ninth loses to a near duplicate."""
+    f = T.findings(spark, sf)
+    v = f.select(W.verdict_signature(F.col("record_type"), F.col("text")).alias("signature"), F.col("importance").alias("confidence"), F.col("created_at_ts").alias("last_seen"))
+    edges = f.where("derived_from IS NOT NULL").select(F.col("id").alias("src"), F.col("derived_from").alias("dst"))
+    parts = W.swept(v, edges, f.select("id"), f.where("seq % 9 = 4").select("id"), 2, 200)
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])

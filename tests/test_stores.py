@@ -86,3 +86,38 @@ def test_hybrid_without_sparse_or_reranker(spark):
     texts = spark.createDataFrame([(1, i, i) for i in range(30)], "query int, id int, n int")
     got = grounding.hybrid(dense, None, 5, F.col("n").cast("double"), texts, rerank_top_k=2).orderBy("place").collect()
     assert [r["id"] for r in got] == [9, 8]
+
+
+def test_code_verdicts_and_ingested_tables(spark):
+    from strataq.functions import code
+
+    src = "from .b import g\n\nclass K:\n    def run(self):\n        self.stop()\n        g()\n    def stop(self):\n        try:\n            x()\n        except E:\n            pass\n        a._b.c().d().e()\n"
+    rows = code.parse_python(spark.createDataFrame([("p/a.py", src), ("p/b.py", "def g(): ...\n")], "path string, content string"))
+    got = {(r["verdict_type"], r["decision"], r["excerpt"]) for r in stores.code_verdicts(rows, 5).collect()}
+    assert got == {("OG1", "block", "p/a.py:10:OG1"), ("LH001", "block", "p/a.py:12:LH001"), ("H4", "warn", "p/a.py:12:H4")}
+    graph = {k: {tuple(r) for r in df.collect()} for k, df in stores.ingested(rows).items()}
+    assert graph["calls"] == {("p/a.py::K.run", "p/a.py::K.stop", "self"), ("p/a.py::K.run", "p/b.py::g", "import")}
+    assert graph["imports"] == {("p/a.py", "p.b.g")} and ("p/a.py::K", "p/a.py::K.run") in graph["contains"] and ("p/b.py", "p/b.py::g") in graph["contains"]
+    assert {x[0] for x in graph["symbols"]} == {"p/a.py::K", "p/a.py::K.run", "p/a.py::K.stop", "p/b.py::g"}
+
+
+def test_a_sweep_needs_enough_that_is_new(spark):
+    none = spark.createDataFrame([], "id string")
+    assert stores.swept(none, none, none, none, 1, 999) == {} and stores.swept(none, none, none, none, 9, 199) == {}
+
+
+def test_the_watermark_only_moves_on_a_clean_run(spark):
+    rows = spark.createDataFrame([("2026-01-02",), ("2026-01-01",)], "ts string")
+    assert stores.advanced("2026-01-01", rows, "ts", True) == "2026-01-02" and stores.advanced("2026-01-01", rows, "ts", False) == "2026-01-01"
+    assert stores.advanced("2026-02-01", rows, "ts", True) == "2026-02-01" and stores.advanced(None, rows.limit(0), "ts", True) is None
+
+
+def test_reflection_states_and_their_queue():
+    state = stores.reflection_state({"ticks": 3, "queue": None, "more": 1})
+    assert state == {"status": "idle", "ticks": 3, "last_tick": None, "queue": [], "seen": [], "more": 1}
+    state = stores.seeded(state, ["a", "b", "a", ""])
+    assert state["queue"] == ["a", "b"] and state["status"] == "queued"
+    first, state = stores.ticked(state, "now")
+    assert first == "a" and state["seen"] == ["a"] and state["ticks"] == 4 and stores.seeded(state, ["a", "b"])["queue"] == ["b"]
+    _, state = stores.ticked(state, "now")
+    assert stores.ticked(state, "later") == (None, state | {"status": "idle"}) and stores.REFLECTION["queue"] == []
