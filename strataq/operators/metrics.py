@@ -9,6 +9,29 @@ from pyspark.sql.window import Window
 LOG2 = lambda c: F.log2(c.cast("double") + 1)
 
 
+#: Ranges that a running sum without keys is cut into; their bounds and sums are all that is ordered in one place.
+RANGES = 64
+
+
+def running(rows: DataFrame, order: str, values: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds ``sum_<value>`` over all rows with an ``order`` below a row's; ``order`` is a number and differs from row to row.
+
+    Rows are dealt to ranges of the order by approximate quantiles, summed up within, and ranges by
+    themselves: no task gets all rows.
+    """
+    at = [k / (ranges or RANGES) for k in range(1, ranges or RANGES)]
+    points = rows.agg(F.percentile_approx(order, at, 1000)).first()[0] if at else None
+    bounds = F.array(*(F.lit(float(x)) for x in sorted(set(points)))) if points else F.array().cast("array<double>")
+    cut = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
+    sums = cut.groupBy("_range").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
+    # At most RANGES rows.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sums.select("_range", *(F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values)))
+    own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.select("*", *(F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"_o_{v}") for v in values)).join(starts, "_range")
+    return out.select(*rows.columns, *((F.col(f"_o_{v}") + F.col(f"_b_{v}")).alias(f"sum_{v}") for v in values))
+
+
 def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query, recall, mrr, ndcg) at ``k`` of (query, id, place) against (query, id).
 
@@ -44,8 +67,12 @@ def gate_metrics(scored: DataFrame, label: str, score: str, threshold: float, *k
     which are aggregated first.
     """
     per = scored.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("area", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
+    if keys:
+        below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("sum_n", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    else:
+        per = running(per, score, ["n"])
+    per = per.withColumn("area", F.col("p") * (F.col("sum_n") + F.col("n") / 2))
     keep = F.col(score) >= threshold
     some = lambda c, w: F.sum(F.when(w, F.col(c)).otherwise(0))
     agg = per.groupBy(*keys).agg(some("p", keep).alias("tp"), some("n", keep).alias("fp"), F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum("area").alias("area"))
@@ -61,8 +88,9 @@ def gate_metrics(scored: DataFrame, label: str, score: str, threshold: float, *k
 def best_f1(scored: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, f1): the score at which keeping it and all above has the best F1; the highest such score."""
     per = scored.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("c"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.col(score).alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("c").over(w).alias("kept"), F.sum("p").over(Window.partitionBy()).alias("pos"))
+    total = F.broadcast(per.agg(F.sum("p").alias("pos"), F.sum("c").alias("all")))
+    run = running(per, score, ["p", "c"]).crossJoin(total)
+    run = run.select(F.col(score).alias("threshold"), (F.col("pos") - F.col("sum_p")).alias("tp"), (F.col("all") - F.col("sum_c")).alias("kept"), "pos")
     f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("kept") + F.col("pos"))).otherwise(0.0)
     best = run.withColumn("f1", f1).agg(F.max(F.struct("f1", "threshold")).alias("b"))
     return best.select("b.threshold", "b.f1")
@@ -113,10 +141,11 @@ def centroids(vectors: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: rank correlation of two columns with mean ranks for ties. Evaluation sets are small: one order."""
+    """One row: rank correlation of two numbers with mean ranks for ties. Ranks are taken of distinct values, then joined to the rows."""
+
     def ranked(df: DataFrame, c: str) -> DataFrame:
-        low = F.rank().over(Window.orderBy(c))
-        return df.withColumn(f"_{c}", low + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+        ranks = running(rows.groupBy(c).agg(F.count("*").alias("n")), c, ["n"]).select(F.col(c).alias("_v"), (F.col("sum_n") + (F.col("n") + 1) / 2).alias(f"_{c}"))
+        return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
 
     return ranked(ranked(rows, a), b).agg(F.corr(f"_{a}", f"_{b}").alias("rho"))
 

@@ -129,7 +129,11 @@ def investigation_footprint(spark, sf):
     return _references(spark, sf).groupBy("investigation").agg(F.count_distinct("finding").alias("findings"), F.count_distinct("symbol").alias("symbols"), F.min("symbol").alias("first_symbol"))
 
 
-@query("finding_symbol_links", None)
+@query(
+    "finding_symbol_links",
+    """WITH t AS (SELECT 'f' || doc_id AS finding, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS token FROM documents), s AS (SELECT item_id || '::' || name AS symbol, name, item_id % 3 = 0 AS is_type FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM benchmark)),
+    u AS (SELECT name, count(DISTINCT symbol) AS n FROM s GROUP BY 1), h AS (SELECT finding, symbol, CASE WHEN is_type THEN 2 WHEN n = 1 AND length(name) >= 8 THEN 1 END AS level FROM t JOIN s ON token = name JOIN u USING (name)) SELECT finding, symbol, max(level) AS level FROM h WHERE level IS NOT NULL GROUP BY 1, 2""",
+)
 def finding_symbol_links(spark, sf):
     words = F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{3,}"), F.lit(0))
     tokens = T.findings(spark, sf).select(F.col("id").alias("finding"), F.explode(F.array_distinct(words)).alias("token"), F.lit(False).alias("exact"))
