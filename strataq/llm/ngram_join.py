@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,20 +174,22 @@ def _may_link(x: tuple, y: tuple, threshold: tuple[int, int], orders: int) -> bo
 def filtered(pairs: DataFrame, index: DataFrame, threshold: tuple[int, int], orders: int) -> DataFrame:
     """The pairs (x, y) that may link by what ``index`` has on both."""
     near = _thinned(index.select("doc_id", "n", "others", "parity"), pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")))
-    side = lambda k: near.select(F.col("doc_id").alias(k), F.struct("n", "others", "parity").alias(f"{k}_s"))
+    own = ("n", "others", "parity")
+    side = lambda k: near.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in own))
+
+    def sets(part: pa.RecordBatch, k: str) -> Iterator[tuple]:
+        n, others, bits = (part.column(f"{k}_{c}") for c in own)
+        flat, ends = others.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(others).to_pylist()])
+        return ((m, flat[a:b], np.frombuffer(u.as_buffer(), np.uint8)) for m, a, b, u in zip(n.to_pylist(), ends, ends[1:], bits))
 
     def run(batches):
         for batch in batches:
-            cols = []
-            for k in "xy":
-                s = batch.column(f"{k}_s")
-                others = s.field("others")
-                flat, ends = others.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(o) for o in others)])
-                cols.append([(n, flat[a:b], np.frombuffer(u, np.uint8)) for n, a, b, u in zip(s.field("n").to_pylist(), ends, ends[1:], s.field("parity").to_pylist())])
-            keep = pa.array([_may_link(x, y, threshold, orders) for x, y in zip(*cols)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in "xy"], names=["x", "y"])
-
-    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_s", "y_s")
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                keep = pa.array([_may_link(x, y, threshold, orders) for x, y in zip(sets(part, "x"), sets(part, "y"))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(keep) for k in "xy"], names=["x", "y"])
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", *(f"{k}_{c}" for k in "xy" for c in own))
     return both.mapInArrow(run, "x bigint, y bigint")
 
 
