@@ -20,13 +20,15 @@ from strataq.queries.base import query
 from strataq.queries.folds import _GONE, _OVERRIDES
 from strataq.queries.retrieval import _queries, _rounded
 from strataq.queries.texts import NEGATED_SQL, TOKENS_SQL
-from strataq.storage import materialize, read_table
+from strataq.storage import has_table, materialize, read_table
 
 
-def _dense(spark, sf, least=None):
-    q = T.claims(spark, sf).where("item_id % 50 = 0").select(F.col("item_id").alias("vec_id"))
+def _dense(spark, sf, least=None, claims=True):
     v = T.vectors(spark, sf)
-    return _rounded(R.vector_scores(v.join(q, "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), least))
+    q = v.where("vec_id % 50 = 0")
+    if claims:
+        q = q.join(T.claims(spark, sf).select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return _rounded(R.vector_scores(q.select(F.col("vec_id").alias("query"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), least))
 
 
 def _bm25(spark, sf):
@@ -65,6 +67,10 @@ def judge_pools(spark, sf):
 
 @query("evidence_precheck", f"WITH {_Q_SQL}, {_DENSE_SQL}, {_LEX_SQL}, u AS (SELECT query, id, score, 1 AS lane FROM {_TOP('(SELECT * FROM lex WHERE score >= 0.25)', 10)} UNION ALL SELECT query, id, score, 2 FROM dense WHERE score >= 0.5) SELECT query, id, arg_min(score, (lane, score)) AS score, CASE min(lane) WHEN 1 THEN 'lexical' ELSE 'semantic' END AS lane FROM u GROUP BY 1, 2")
 def evidence_precheck(spark, sf):
+    """Where a store has no texts or claims, the semantic lane answers alone, as lanes do that find another one down."""
+    if not all(has_table(spark, sf, t) for t in ("documents", "benchmark")):
+        semantic = _dense(spark, sf, 0.4, claims=False)
+        return V.precheck(semantic.limit(0), semantic, 0.25)
     return V.precheck(_lexical(spark, sf), _dense(spark, sf, 0.4), 0.25)
 
 

@@ -128,7 +128,11 @@ def route_acl(spark, sf):
     return f.join(lists, F.col("investigation_id") == F.col("_inv"), "left").where(open_).select("id")
 
 
-@query("failure_correlation", None)
+@query(
+    "failure_correlation",
+    f"""WITH w AS (SELECT doc_id, source, (doc_id % 20 + 1)::DOUBLE / 20::DOUBLE AS importance, {_WORDS_SQL} AS w FROM documents), f AS (SELECT 'src' || (item_id % 5) AS s, {_WORDS_SQL} AS w FROM benchmark)
+    SELECT 'f' || doc_id AS id, round(CASE WHEN (doc_id % 3 = 0 AND source IN (SELECT s FROM f)) OR EXISTS (SELECT 1 FROM f WHERE len(list_intersect(w.w, f.w)) >= 6) THEN greatest(0.05::DOUBLE, importance * 0.85::DOUBLE) ELSE importance END, 9) AS importance FROM w""",
+)
 def failure_correlation(spark, sf):
     f = T.findings(spark, sf)
     memories = f.select("id", F.col("text").alias("content"), "importance", F.when(F.col("seq") % 3 == 0, F.col("investigation_id")).alias("session_id"))
