@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.llm import collocations, exact_dedup, language_id, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, url_filters, warc
+from strataq.llm import collocations, exact_dedup, language_id, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, token_links, url_filters, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_collocations": collocations.op12_collocations,
+    "op13_token_links": token_links.op13_token_links,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op4_ngram_join": ngram_join.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_url_filters": url_filters.OP6_SQL, "op10_quality_rules": quality_rules.OP10_SQL, "op12_collocations": collocations.OP12_SQL}
