@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.llm import collocations, exact_dedup, language_id, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, token_links, url_filters, warc
+from strataq.llm import collocations, exact_dedup, fingerprints, language_id, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, token_links, url_filters, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_collocations": collocations.op12_collocations,
     "op13_token_links": token_links.op13_token_links,
 }
