@@ -30,7 +30,8 @@ def test_other_languages_have_common_words_of_their_own(spark):
     text = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
     rows = [(i, text(120, 0.35), "ru") for i in range(200)] + [(1000 + i, text(120, 0.0), "ru") for i in range(5)] + [(2000, None, "xx"), (2001, "", "yy"), (2002, text(120, 0.35), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {k: set(v) for k, v in quality_rules.frequent_words(docs).items()} == {"ru": set(common)}
+    found = quality_rules.frequent_words(docs)
+    assert set(found) == {"ru", quality_rules.UNKNOWN} and set(found["ru"]) == set(common)
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, [F.col("doc_id")]).collect()}
     assert sum(got[i]["kept"] for i in range(200)) >= 198
     assert not any(got[1000 + i]["kept"] for i in range(5)) and not any(got[1000 + i]["base_failed"] for i in range(5))
@@ -41,3 +42,20 @@ def test_wordless_distance_is_that_of_a_text_without_common_words(spark):
     reference = [0.1, 0.2, 0.7]
     near = spark.range(1).select(quality_rules._distance(F.array(*(F.lit(x).cast("long") for x in (0, 0, 50))), reference)).first()[0]
     assert abs(near - quality_rules.wordless_distance(reference)) < 1e-12
+
+
+LISTS = {"de": "der die und das von den mit ist", "en": "the of and to in is that for", "es": "el la de que y los en se", "fr": "le les et des est que une la"}
+
+
+@pytest.mark.parametrize("lang", sorted(LISTS))
+def test_a_text_without_common_words_is_rejected(spark, lang):
+    """120 ordinary words, none of them common, in a language whose texts hold about a seventh of common words."""
+    rng = random.Random(lang)
+    common, rare = LISTS[lang].split(), [f"{a}{b}{c}" for a in ("bar", "kol", "min", "tas") for b in ("le", "ro", "gu", "ni", "va") for c in ("nt", "rg", "sk", "l", "m", "st")]
+    text = lambda share: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(120))
+    rows = [(i, text(0.15), lang) for i in range(300)] + [(1000 + i, text(0.0), lang) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, [F.col("doc_id")]).collect()}
+    assert not any(got[1000 + i]["base_failed"] or got[1000 + i]["kept"] for i in range(5))
+    assert all(got[1000 + i]["class_distance"] < 0.28 for i in range(5))
+    assert sum(got[i]["kept"] for i in range(300)) >= 297
