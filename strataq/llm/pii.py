@@ -43,8 +43,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
-AT_DOT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:[\[(]at[\])]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(]dot[\])]|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,5}")
-KEYED = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([^\s\"']{6,200})")
+# Runs are taken whole and only from their start on, which keeps the search linear.
+AT_DOT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:[\[(]at[\])]|\sat\s)\s?[A-Za-z0-9-]++(?:\s?(?:[\[(]dot[\])]|\sdot\s)\s?[A-Za-z0-9-]++)+")
+KEYED = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([^\s\"']{6,}+)")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 
 # Endings and prefixes that the gazetteer knows.

@@ -91,3 +91,23 @@ def test_equal_texts_are_judged_alike_and_a_tiny_sample_is_enough(spark):
     by = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in out.collect()}
     assert all(by[i] == by[1000 + i] for i, _ in rows)
     assert all(n == len(re.findall(":", s)) // 2 for s, n in by.values())
+
+
+def test_long_values_are_taken_whole():
+    secret, local, label = "a1B2" * 75, "first.last" * 8, "sub-domain" * 9
+    text = f"token={secret} and {local} [at] {label} [dot] {label} [dot] a [dot] b [dot] c [dot] d [dot] org end"
+    spans = {k: text[a:b] for k, a, b in pii.candidates(text)}
+    assert spans["secret"] == secret
+    assert spans["loose_email"] == f"{local} [at] {label} [dot] {label} [dot] a [dot] b [dot] c [dot] d [dot] org"
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        pii.candidates("x" * n + " dot token=" + "y" * n + " a at b dot " * (n // 20))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(2_000_000) < 8 * max(seconds(500_000), 0.02)
