@@ -4,7 +4,7 @@ Redirects and all canonical links and refreshes of a page are edges between URLs
 resolved against the page's base (RFC 3986, 5.2). A URL without a rule takes the decision of
 its connected component: block if a member is blocked and none is allowed by a rule, else allow.
 Rules are a table of any size, joined on the suffixes of a host and the prefixes of a path that have
-a rule. Long URLs and pages are taken whole.
+a rule. Long URLs and pages are taken whole, in time that grows with their length; a tag with ``<`` in a value is not read.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
+#: Tags are cut out first, each from its last ``<`` to the next ``>``; what follows is matched within a tag, without going back over blanks.
+TAG = r"""(?i)<(?:link|meta|base)\b[^<>]*+>"""
+CANONICAL = r"""(?i)^<link\b(?=[^>]*\brel\s*+=\s*+["']?+canonical\b)[^>]*\bhref\s*+=\s*+["']?+([^"'\s>]++)"""
+BASE = r"""(?i)^<base\b[^>]*\bhref\s*+=\s*+["']?+([^"'\s>]++)"""
+REFRESH = r"""(?i)^<meta\b(?=[^>]*\bhttp-equiv\s*+=\s*+["']?+refresh\b)[^>]*\bcontent\s*+=\s*+["']?+\s*+[0-9.]*+\s*+;\s*+url\s*+=\s*+["']?+([^"'\s>]++)"""
 
 
 def host_of(url: Column) -> Column:
@@ -86,8 +88,9 @@ def _once(value: Column) -> Column:
 
 def links_of(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of canonical links and of meta refreshes in ``pages`` (url, html)."""
-    tags = F.concat(*(F.regexp_extract_all("html", F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH)))
-    found = pages.select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(tags).alias("link")).where("link <> ''")
+    tags = pages.select("url", F.regexp_extract_all("html", F.lit(TAG), F.lit(0)).alias("tags")).where(F.size("tags") > 0)
+    values = lambda pattern: F.filter(F.transform("tags", lambda t: F.regexp_extract(t, pattern, 1)), lambda x: x != "")
+    found = tags.select("url", F.coalesce(F.get(values(BASE), 0), F.lit("")).alias("base"), F.explode(F.concat(values(CANONICAL), values(REFRESH))).alias("link"))
     # A step at a time: each value is used many times in the next one's expression, and the planner would put it in at every place.
     found = found.select("url", _once(F.struct(decoded(F.col("base")).alias("base"), decoded(F.col("link")).alias("link"))).alias("x")).select("url", "x.*")
     base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")))

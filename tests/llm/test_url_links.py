@@ -28,3 +28,18 @@ def test_relative_and_second_links_spread_a_block(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
+
+
+def test_pages_of_unclosed_tags_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        html = "<link " * (n // 6) + '<link rel=canonical href="https://x.com/a">' + '<meta http-equiv="refresh" content="' + " " * n + ">" + "<base href" + " " * n
+        pages = spark.createDataFrame([("https://y.com/", html)], "url string, html string")
+        began = time.perf_counter()
+        assert [tuple(r) for r in url_filters.links_of(pages).collect()] == [("https://y.com/", "https://x.com/a")]
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(1_000_000), seconds(4_000_000)
+    assert large < 6 * max(small, 0.5)
