@@ -13,6 +13,7 @@ Texts of any length count by their length alone and are not moved.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from strataq.storage import kept, materialize, read_table, scratch
 
 MAX_SOURCES = 2000
 MAX_PERIOD = 100_000
+#: Slots of all phases' periods together, which the driver plans and holds: 8 bytes each when sent, some 40 while planned.
+MAX_SLOTS = 5_000_000
 #: Buckets of a source whose sizes are summed up together, before these sums are.
 GROUP = 4096
 
@@ -52,12 +55,21 @@ def edf_period(parts: list[int], left: list[int] | None = None) -> list[int]:
 
 
 def plan_phases(parts: list[int], blocks: list[int]) -> list[list[dict]]:
-    """Per source the phases in which it has blocks: first block, part of the period, period, first slot and slots within the period."""
+    """Per source the phases in which it has blocks: first block, part of the period, period, first slot and slots within the period.
+
+    A phase's parts are divided by what is common to them, which leaves its schedule as it is. More than MAX_SLOTS slots raise.
+    """
+    planned = 0
     left, taken, start = list(blocks), [0] * len(parts), 0
     out: list[list[dict]] = [[] for _ in parts]
     while any(left):
         live = [p if n else 0 for p, n in zip(parts, left)]
+        common = math.gcd(*live)
+        live = [p // common for p in live]
         period, order = sum(live), edf_period(live, left)
+        planned += len(order)
+        if planned > MAX_SLOTS:
+            raise ValueError(f"the phases have more than {MAX_SLOTS} slots in all: take smaller weights or group sources")
         slots: list[list[int]] = [[] for _ in parts]
         for t, s in enumerate(order):
             slots[s].append(t)
@@ -109,7 +121,8 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
     placed = placed.withColumn("at", F.col("at") + F.col("base"))
     placed = placed.select("doc_id", "source", F.expr(f"at div {block_chars}").alias("block"), F.expr(f"at % {block_chars}").alias("block_offset"))
     stages = table([(s, [(k, p["first"], p["part"], p["period"], p["start"]) for k, p in enumerate(ph)]) for s, ph in zip(names, phases)], f"source string, phases array<{PHASE}>")
-    slots = table([(s, k, i, x) for s, ph in zip(names, phases) for k, p in enumerate(ph) for i, x in enumerate(p["slots"])], "source string, k bigint, nth bigint, within bigint")
+    slots = spark.createDataFrame([(s, k, p["slots"]) for s, ph in zip(names, phases) for k, p in enumerate(ph)], "source string, k bigint, slots array<bigint>")
+    slots = materialize(slots.select("source", "k", F.posexplode("slots").alias("nth", "within")), "mix-plan")
     placed = placed.join(stages, "source").withColumn("p", F.element_at(F.filter("phases", lambda x: x["first"] <= F.col("block")), -1))
     placed = placed.select("doc_id", "source", "block", "block_offset", "p", F.expr("block - p.first").alias("i"), F.col("p.k").alias("k"), F.expr("(block - p.first) % p.part").alias("nth"))
     return placed.join(slots, ["source", "k", "nth"]).select(

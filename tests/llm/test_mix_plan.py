@@ -76,3 +76,17 @@ def test_many_sources_are_planned_in_seconds():
     began = time.perf_counter()
     phases = mixing.plan_phases([1 + i % 3 for i in range(2000)], [40] * 2000)
     assert time.perf_counter() - began < 20 and all(phases)
+
+
+def test_common_factors_of_weights_change_nothing():
+    blocks = [40, 7, 90]
+    plan = lambda parts: [[{k: v for k, v in p.items() if k not in ("part", "period")} | {"slots": [x for x in p["slots"]]} for p in ph] for ph in mixing.plan_phases(parts, blocks)]
+    assert plan([500, 1000, 1500]) == plan([1, 2, 3])
+    many = mixing.plan_phases([500] * 100, list(range(50, 150)))
+    assert sum(len(p["slots"]) for ph in many for p in ph) <= 100 * 100
+
+
+def test_too_many_slots_raise(monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 100)
+    with pytest.raises(ValueError, match="slots"):
+        mixing.plan_phases([7, 90, 14], [10**6, 10**6, 10**6])
