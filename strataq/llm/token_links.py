@@ -13,7 +13,7 @@ are broadcast to the documents' pairs; the others, none of which is hot, are joi
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,33 +99,44 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def byte_ranks(file: bytes) -> dict[bytes, int]:
+    """The bytes of each id of a byte-level BPE file, special tokens left out. Its merges have to stand in the order of the ids
+    that they make, so that ids are ranks, and its words have to be cut by the usual pattern."""
+    read = json.loads(file)
+    vocabulary, merges = read["model"]["vocab"], read["model"]["merges"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    before = read["pre_tokenizer"]
+    if made != sorted(made) or read["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True):
+        raise ValueError("not a byte-level BPE file whose merges are in the order of their ids")
+    byte, special = byte_characters(), {t["content"] for t in read["added_tokens"]}
+    return {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in special}
+
+
 class Tokenizers:
-    """Both tokenizers and the bytes of each of their ids."""
+    """Both tokenizers and the bytes of each of their ids. A's file is run by the faster of two libraries that give equal ids."""
 
     def __init__(self, a: bytes, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_buffer(a)
-        self.a.encode_special_tokens = True
+        ranks = byte_ranks(a)
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        byte = byte_characters()
-        vocabulary = self.a.get_vocab()
-        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, k in vocabulary.items():
-            self.a_bytes[k] = token.encode() if token in special else bytes(byte[c] for c in token)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            self.a_bytes[k] = token
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
+        # How a token is spelled in its group, and as the last of its kind there.
+        ends = (("a", len(self.a_bytes), ","), ("a", len(self.a_bytes), "|"), ("b", len(self.b_bytes), ","), ("b", len(self.b_bytes), ";"))
+        self.spelled = np.array([f"{k}{end}" for _, n, end in ends for k in range(n)], object)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of each text by A, which is given a space before it, and by B, which puts one there; None where the text is empty or either does not spell it."""
         out = []
-        ids = zip(self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
-        for text, (a, b) in zip(texts, ids):
-            a, want = a.ids, f" {text}".encode()
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, want = self.a.encode_ordinary(f" {text}"), f" {text}".encode()
             same = text and b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
             out.append((a, b) if same else None)
         return out
@@ -148,6 +159,7 @@ class Aligned:
 
     def __init__(self, tokens: Tokenizers, encoded: list[tuple[list[int], list[int]] | None]):
         pairs = [e or ([], []) for e in encoded]
+        self.tokens = tokens
         self.a, self.b = (np.array([x for p in pairs for x in p[k]], np.int64) for k in (0, 1))
         self.a_at, self.b_at = (np.concatenate([[0], np.cumsum([len(p[k]) for p in pairs])]).astype(np.int64) for k in (0, 1))
         self.sizes = tokens.a_size[self.a], tokens.b_size[self.b]
@@ -163,18 +175,21 @@ class Aligned:
         """A row per token of A with the tokens of B in its group; a group of n and m tokens has n times m links."""
         return self.groups[0].times(self.groups[1].transposed())
 
-    def spelled_groups(self, k: int) -> tuple[str, int, int]:
-        """The groups of text k as text, their number, and the number of their shared-group links."""
-        parts, held = [], []
-        for ids, at, incidence in zip((self.a, self.b), (self.a_at, self.b_at), self.groups):
-            own = slice(at[k], at[k + 1])
-            group = incidence.columns[own]
-            cut = np.flatnonzero(np.diff(group)) + 1
-            names = list(map(str, ids[own].tolist()))
-            bounds = [0, *cut.tolist(), len(names)] if names else [0]
-            parts.append([",".join(names[i:j]) for i, j in zip(bounds, bounds[1:])])
-            held.append(np.diff(bounds))
-        return ";".join(f"{a}|{b}" for a, b in zip(*parts)), len(parts[0]), int((held[0] * held[1]).sum())
+    def spelled_groups(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text its groups as text, their number, and the number of their shared-group links."""
+        in_a, in_b = (g.columns for g in self.groups)
+        last_a, last_b = (np.append(g[1:] != g[:-1], [True] * (len(g) > 0)) for g in (in_a, in_b))
+        before = np.cumsum([0, len(self.tokens.a_bytes), len(self.tokens.a_bytes), len(self.tokens.b_bytes)])
+        held = tuple(np.bincount(g, minlength=len(self.ends)) for g in (in_a, in_b))
+        upto_a, upto_b = (np.cumsum(h) for h in held)
+        # A token of A stands behind those of B in the groups before its own, one of B also behind A's of its own.
+        codes = np.empty(len(in_a) + len(in_b), np.int64)
+        codes[np.arange(len(in_a)) + (upto_b - held[1])[in_a]] = self.a + before[np.where(last_a, 1, 0)]
+        codes[np.arange(len(in_b)) + upto_a[in_b]] = self.b + before[np.where(last_b, 3, 2)]
+        texts = [("".join(self.tokens.spelled[codes[i:j]].tolist()))[:-1] for i, j in zip(self.a_at + self.b_at, (self.a_at + self.b_at)[1:])]
+        group_at = np.concatenate([in_a, [len(self.ends)]])[self.a_at]
+        shared = np.concatenate([[0], np.cumsum(held[0] * held[1])])[group_at]
+        return texts, np.diff(group_at), np.diff(shared)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +261,13 @@ def _document_links(docs: DataFrame, keep: list[Column], a: str, b: str) -> Data
             new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])) if len(pair) else np.zeros(0, np.int64)
             starts = np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32)
             times = np.diff(np.append(new, len(pair))).astype(np.int32)
-            spelled = [found.spelled_groups(k) for k in range(n)]
+            spelled, n_groups, n_shared = found.spelled_groups()
             cut = lambda values: pa.ListArray.from_arrays(pa.array(starts), pa.array(values))
             long = lambda values: pa.array(np.asarray(values, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("_row"), long(np.diff(found.a_at)), long(np.diff(found.b_at)), long([s[1] for s in spelled]), long(np.bincount(doc, minlength=n)), long([s[2] for s in spelled]),
-                    pa.array([hashlib.sha256(s[0].encode()).hexdigest() if s[1] else "" for s in spelled]), cut(pair[new]), cut(times),
+                    part.column("_row"), long(np.diff(found.a_at)), long(np.diff(found.b_at)), long(n_groups), long(np.bincount(doc, minlength=n)), long(n_shared),
+                    pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelled]), cut(pair[new]), cut(times),
                 ],
                 names=["_row", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups_sha256", "pairs", "times"],
             )

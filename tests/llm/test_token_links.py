@@ -1,10 +1,12 @@
 """Token links by products of incidence matrices, against comparing all byte ranges."""
 
+import functools
 import hashlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from strataq.llm import token_links as L
@@ -20,11 +22,24 @@ def tokens():
     return L.Tokenizers(*(open(p, "rb").read() for p in (L.TOKENIZER_A, L.TOKENIZER_B)))
 
 
+@functools.cache
+def other_library():
+    found = tokenizers.Tokenizer.from_file(L.TOKENIZER_A)
+    found.encode_special_tokens = True
+    return found
+
+
+def test_both_libraries_give_equal_ids_whatever_the_character(tokens):
+    for at in range(0, 0x110000, 0x1000):
+        text = " ".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 .{chr(c)}, \n{chr(c)}" for c in range(at, at + 0x1000) if not 0xD800 <= c < 0xE000)
+        assert tokens.a.encode_ordinary(text) == other_library().encode(text, add_special_tokens=False).ids
+
+
 def plain(tokens, text):
     """(a ids, b ids, links as places and overlap, groups as places), by looking at all pairs of tokens."""
     if not text:
         return [], [], [], []
-    a, b = tokens.a.encode(" " + text, add_special_tokens=False).ids, tokens.b.encode(text)
+    a, b = other_library().encode(" " + text, add_special_tokens=False).ids, tokens.b.encode(text)
     spans = []
     for ids, of in ((a, tokens.a_bytes), (b, tokens.b_bytes)):
         at, own = 0, []
