@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataq.sources.versions import VersionedTable
+
 FINDING = "id string, investigation_id string, ts string, created_at_ts long, record_type string, type string, text string, content string, finding string, source string, confidence string, tags array<string>, derived_from array<string>, resolution string, authored_by string"
 VERSION = "1"
 MAX_BUNDLE = 10 * 1024 * 1024
@@ -25,7 +29,17 @@ def bad_lines(spark: SparkSession, path: str, schema: str = FINDING) -> int:
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Add rows to a log of JSON lines. They are written to a folder of their own that readers pass over, and its files are
+    moved in when they are whole, so that writers at the same time do not touch one another's files."""
+    spark = rows.sparkSession
+    beside = f"{path.rstrip('/')}/.append-{uuid.uuid4().hex}"
+    rows.write.json(beside)
+    fs, at = _fs(spark, path)
+    for x in fs.listStatus(at(beside)):
+        name = x.getPath().getName()
+        if name.startswith("part-") and not fs.rename(x.getPath(), at(f"{path.rstrip('/')}/{name}")):
+            raise OSError(f"{name} could not be moved into {path}")
+    fs.delete(at(beside), True)
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -104,19 +118,15 @@ def purge_expired(rows: DataFrame, now: int, days: int = 30) -> DataFrame:
     return rows.where(F.coalesce(F.col("created_at_ts") >= now - days * 86400, F.lit(True)))
 
 
-def saved_manifests(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Manifests by id into the Parquet table at ``path``: those of ``new`` replace others. The table is written beside
-    the old one and swapped in, so that readers see one or the other."""
-    _finish_swap(spark, path)
-    fs, at = _fs(spark, path)
-    both = upserted(spark.read.parquet(path), new, "id") if fs.exists(at(path)) else new
-    both.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(at(path)) and not fs.rename(at(path), at(f"{path}.old")):
-        raise OSError(f"{path} could not be moved")
-    if fs.exists(at(f"{path}.old")):
-        _finish_swap(spark, path)
-    elif not fs.rename(at(f"{path}.new"), at(path)):
-        raise OSError(f"{path} could not be made")
+def saved_manifests(spark: SparkSession, new: DataFrame, path: str) -> int:
+    """Manifests by id into the versioned table at ``path``: those of ``new`` replace others. Readers see a version whole, and
+    of writers that work at the same time each starts again from what the others left."""
+    return VersionedTable(spark, path, new.schema).upsert(new, "id")
+
+
+def manifests(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All manifests of a version of the table at ``path``, the latest if none is named."""
+    return VersionedTable(spark, path).read(version)
 
 
 def manifest(manifests: DataFrame, id_: str) -> DataFrame:

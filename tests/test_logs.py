@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq import storage
 from strataq.sources import logs
+from tests_support import together
 
 SHAPE = "id string, created_at_ts long"
 
@@ -69,11 +70,22 @@ def test_manifests_are_replaced_by_id(spark, tmp_path):
     path, shape = f"file://{tmp_path}/manifests", "id string, title string, acl array<string>"
     logs.saved_manifests(spark, spark.createDataFrame([("a", "one", ["x"]), ("b", "two", None)], shape), path)
     logs.saved_manifests(spark, spark.createDataFrame([("b", "three", None), ("c", "four", [])], shape), path)
-    table = spark.read.parquet(path)
+    table = logs.manifests(spark, path)
     assert sorted((r["id"], r["title"]) for r in table.collect()) == [("a", "one"), ("b", "three"), ("c", "four")]
     assert logs.manifest(table, "b").first()["acl"] == [] and logs.manifest(table, "a").first()["acl"] == ["x"] and logs.manifest(table, "no").count() == 0
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    path, shape = f"file://{tmp_path}/manifests", "id string, title string, acl array<string>"
+    log = f"file://{tmp_path}/log"
+    save = lambda i: logs.saved_manifests(spark, spark.createDataFrame([("same", f"t{i}", []), (f"m{i}", "own", [])], shape), path)
+    save(9)
+    assert together(*(lambda i=i: save(i) for i in range(3)), *(lambda i=i: logs.append_jsonl(spark.createDataFrame([(f"e{i}", i)], SHAPE), log) for i in range(3))) == []
+    got = sorted(r["id"] for r in logs.manifests(spark, path).collect())
+    assert got == ["m0", "m1", "m2", "m9", "same"] and ids(spark, log) == ["e0", "e1", "e2"]
+    assert sorted(r["id"] for r in logs.manifests(spark, path, 2).collect()) == ["m9", "same"]
+
+
 def test_recent_audit_reads_the_last_days_only(spark, tmp_path):
     for day, rows in {"2026-01-01": ["{no json\n"], "2026-01-09": [{"ts": "2026-01-09T1", "action": "b"}], "2026-01-10": [{"ts": "2026-01-10T1", "action": "c"}, {"ts": "2026-01-10T3", "action": "d"}]}.items():
         lines(tmp_path / f"audit-{day}.jsonl", rows)
