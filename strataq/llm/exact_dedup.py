@@ -3,7 +3,9 @@
 The index is a table bucketed and sorted by the SHA-256 of a text; it stores one row
 (digest, doc_id) per distinct text ever taken in. A batch is first reduced to one row per digest
 (map-side), exchanged once into the index's buckets, sort-merge anti-joined with the index, whose
-side needs no exchange, and what is new is appended. Texts never move: only 32-byte digests do, so
+side needs no exchange, and what is new is appended. A batch is written beside the index, and moved
+into it when the index's log of commits takes it as the next version; if another batch got there first, the
+anti-join starts again from an index that holds it. So two writers never both own a digest. Texts never move: only 32-byte digests do, so
 a text of any length costs one pass of the hash over it.
 """
 
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.textstats import packed, unpacked, whole
+from strataq.sources.versions import CommitLog, file_system
 from strataq.storage import materialize, new_path, read_table
 
 
@@ -65,11 +68,48 @@ class DigestIndex:
         self.buckets = stored or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not stored:
             _store_buckets(spark, self.path, self.buckets)
-        self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        self.log = CommitLog(spark, self.path)
+        self.name = self._named(self.path)
+
+    def _named(self, path: str) -> str:
+        """A new catalogue entry for digests at ``path``."""
+        name = f"digest_index_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, doc_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
+        return name
+
+    def _settled(self) -> int:
+        """Move the files of the last commit into the index, if its writer has not; the version that the index then has."""
+        version = self.log.latest()
+        if version:
+            commit = self.log.read(version)
+            fs, at = file_system(self.spark, self.path)
+            for name in commit["files"]:
+                source, target = at(f"{self.path}/{commit['folder']}/{name}"), at(f"{self.path}/{name}")
+                # Another process may move it at the same time.
+                if not fs.exists(target) and not (fs.exists(source) and fs.rename(source, target)) and not fs.exists(target):
+                    raise OSError(f"{name} is missing from {self.path}")
+            fs.delete(at(f"{self.path}/{commit['folder']}"), True)
+        self.spark.catalog.refreshTable(self.name)
+        return version
+
+    def _appended(self, fresh: DataFrame) -> None:
+        """Append those of ``fresh`` (digest, doc_id), a row per digest, that the index lacks, as its next version."""
+        fs, at = file_system(self.spark, self.path)
+        while True:
+            version = self._settled()
+            folder = f"_batch-{uuid.uuid4().hex}"
+            beside = self._named(f"{self.path}/{folder}")
+            rows = fresh.repartition(self.buckets, "digest").join(self.table().hint("merge"), "digest", "left_anti")
+            rows.sortWithinPartitions("digest").write.insertInto(beside)
+            self.spark.sql(f"DROP TABLE {beside}")
+            names = [x.getPath().getName() for x in fs.listStatus(at(f"{self.path}/{folder}"))]
+            if self.log.put(version + 1, {"op": "ingest", "folder": folder, "files": [n for n in names if n.endswith(".parquet")]}):
+                self._settled()
+                return
+            fs.delete(at(f"{self.path}/{folder}"), True)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -96,10 +136,8 @@ class DigestIndex:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
         rows = materialize(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("copies").alias("group_size"))
-        known = self.table().hint("merge")
-        fresh = groups.select("digest", F.col("last_id").alias("doc_id")).repartition(self.buckets, "digest")
-        fresh.join(known, "digest", "left_anti").sortWithinPartitions("digest").write.insertInto(self.name)
-        owners = self.table().hint("merge").withColumnRenamed("doc_id", "keep_id")
+        self._appended(groups.select("digest", F.col("last_id").alias("doc_id")))
+        owners = self.table().groupBy("digest").agg(F.min("doc_id").alias("keep_id")).hint("merge")
         resolved = materialize(groups.select("digest", "group_size").join(owners, "digest"), "digest-owners")
         # Rows of a hot digest would meet in one task: its owner is broadcast to them, which HOT bounds.
         total = rows.agg(F.sum("copies")).first()[0] or 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.llm import exact_dedup
-from tests_support import SF, rows_of
+from tests_support import SF, rows_of, together
 
 
 def batch(spark, rows):
@@ -59,3 +59,49 @@ def test_hot_texts_among_many(spark):
     for i, t in rows:
         groups.setdefault(t, []).append(i)
     assert got == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_writers_at_the_same_time_leave_one_owner_a_digest(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    exact_dedup.DigestIndex(spark, path, 4).close()
+    got = {}
+
+    def take(k):
+        index = exact_dedup.DigestIndex(spark, path)
+        got[k] = [tuple(r) for r in index.ingest(batch(spark, [(1000 * k + i, f"t{i}") for i in range(40 * k)])).select("doc_id", "keep_id").collect()]
+        index.close()
+
+    assert together(*(lambda k=k: take(k) for k in (1, 2, 3))) == []
+    index = exact_dedup.DigestIndex(spark, path)
+    owner = {bytes(r["digest"]): r["doc_id"] for r in index.table().collect()}
+    assert len(owner) == index.table().count() == 120 and index.log.latest() == 3
+    # Whichever batch came first, all agree on the owner of each text.
+    owners = {}
+    for rows in got.values():
+        for doc_id, keep_id in rows:
+            assert owners.setdefault(doc_id % 1000, keep_id) == keep_id
+    assert set(owners.values()) == set(owner.values())
+    index.close()
+
+
+def test_a_batch_whose_writer_stopped_is_moved_in_by_the_next(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    index.ingest(batch(spark, [(1, "a")])).count()
+    settled, calls = index._settled, []
+    monkeypatch.setattr(index, "_settled", lambda: (calls.append(1), settled())[1] if not calls else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        index.ingest(batch(spark, [(2, "b"), (3, "a")]))
+    again = exact_dedup.DigestIndex(spark, path)
+    assert {(r["doc_id"], r["keep_id"]) for r in again.ingest(batch(spark, [(4, "b"), (5, "c")])).collect()} == {(4, 2), (5, 5)}
+    again.close()
+    index.close()
+
+
+def test_a_digest_that_stands_twice_gives_one_row_a_document(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    index.ingest(batch(spark, [(7, "a")])).count()
+    index.table().selectExpr("digest", "doc_id + 1 AS doc_id").write.insertInto(index.name)
+    assert [(r["doc_id"], r["keep_id"]) for r in index.ingest(batch(spark, [(9, "a")])).collect()] == [(9, 7)]
+    index.close()
