@@ -16,6 +16,7 @@ shards of its tasks. Frequent words and hot languages are summed up in their sha
 
 from __future__ import annotations
 
+import contextlib
 from array import array
 from collections.abc import Iterator
 
@@ -31,8 +32,10 @@ from strataq.llm.shingles import mix, ragged
 from strataq.storage import kept, materialize, read_table, scratch
 
 DEPTH = 4
-#: Words a shard holds before it is indexed; about 25 MB as a row and some 300 MB while it is sorted or extended.
-SHARD = 1 << 21
+#: Words a shard holds before it is indexed: a row of about 3 MB; rows of a transform that are extended at a time.
+SHARD, BLOCK = 1 << 18, 1 << 17
+#: Bytes of texts or shards that a task gets at a time.
+BATCH_BYTES = "8m"
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 #: Each level's bitmap of hashes has 2**FILTER_BITS bits: 8 MB when sent to the tasks, whatever the input. When it is full, more phrases are counted, and the result is the same.
@@ -90,8 +93,8 @@ def transform(ids: np.ndarray) -> np.ndarray:
 def last_to_first(bwt: np.ndarray) -> np.ndarray:
     """For each row the row that begins with its last id."""
     order = np.argsort(bwt, kind="stable")
-    out = np.empty(len(bwt), np.int64)
-    out[order] = np.arange(len(bwt))
+    out = np.empty(len(bwt), np.int32)
+    out[order] = np.arange(len(bwt), dtype=np.int32)
     return out
 
 
@@ -102,23 +105,26 @@ class Phrases:
     def __init__(self, lo, back, count, words, whole, head, tail):
         self.lo, self.back, self.count, self.words, self.whole, self.head, self.tail = lo, back, count, words, whole, head, tail
 
-    def where(self, keep: np.ndarray) -> Phrases:
-        return Phrases(*(x[keep] for x in (self.lo, self.back, self.count, self.words, self.whole, self.head, self.tail)))
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.lo, self.back, self.count, self.words, self.whole, self.head, self.tail
+
+    def where(self, keep: np.ndarray | slice) -> Phrases:
+        return Phrases(*(x[keep] for x in self.parts()))
 
     def __len__(self) -> int:
         return len(self.lo)
 
 
 class FMIndex:
-    """Both transforms of a shard, with the count of each id (0 included) and the hash of each word."""
+    """Both transforms of a shard, with the hash of each word and the count of each id, 0 included."""
 
-    def __init__(self, counts: np.ndarray, hashes: np.ndarray, forward: np.ndarray, backward: np.ndarray):
-        self.counts, self.hashes, self.sides = counts, hashes, (forward, backward)
+    def __init__(self, hashes: np.ndarray, forward: np.ndarray, backward: np.ndarray):
+        self.counts, self.hashes, self.sides = np.bincount(forward, minlength=len(hashes)), hashes, (forward, backward)
         self._steps: list = [None, None]
 
     @classmethod
     def of(cls, ids: np.ndarray, hashes: np.ndarray) -> FMIndex:
-        return cls(np.bincount(ids, minlength=len(hashes)), hashes, transform(ids), transform(ids[::-1]))
+        return cls(hashes, transform(ids), transform(ids[::-1]))
 
     def words(self) -> Phrases:
         """All words of the shard as phrases."""
@@ -129,6 +135,14 @@ class FMIndex:
 
     def extend(self, p: Phrases, left: bool) -> Phrases:
         """Every phrase with each word that stands before it, or with ``left`` unset after it; p may not be longer than DEPTH - 1."""
+        upto, at, out = np.cumsum(p.count), 0, []
+        while at < len(p) or not out:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+            out.append(self._extended(p.where(slice(at, to)), left))
+            at = to
+        return Phrases(*map(np.concatenate, zip(*(x.parts() for x in out))))
+
+    def _extended(self, p: Phrases, left: bool) -> Phrases:
         side = 0 if left else 1
         bwt = self.sides[side]
         if self._steps[side] is None:
@@ -173,11 +187,11 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([0] + [xxhash.xxh64_intdigest(w, seed) for w in words[1:]], np.uint64)
 
 
-_SHARDS = "lang string, n_words bigint, words binary, hashes binary, counts binary, forward binary, backward binary"
+_SHARDS = "lang string, n_words bigint, words binary, forward binary, backward binary"
 
 
 def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD) -> DataFrame:
-    """A row per shard: lang, n_words, the dictionary, hash and count of each word, and both transforms.
+    """A row per shard: lang, n_words, the dictionary, and both transforms.
 
     A null or empty text has no words; a null language is UNKNOWN. A text of any length is in one
     shard, which it makes longer.
@@ -189,10 +203,8 @@ def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         def done(lang: str) -> pa.RecordBatch:
             w = open_.pop(lang)
             names, ids = list(w.number), np.frombuffer(w.ids, np.int32)
-            x = FMIndex.of(ids, _hashes(lang, names))
-            parts = (x.hashes, x.counts.astype(np.int64), *x.sides)
-            data = [[lang], [int(x.counts[1:].sum())], [b"\n".join(names[1:])], *([a.tobytes()] for a in parts)]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, [pa.string(), pa.int64()] + [pa.binary()] * 5)], names=["lang", "n_words", "words", "hashes", "counts", "forward", "backward"])
+            data = [[lang], [int((ids > 0).sum())], [b"\n".join(names[1:])], [transform(ids).tobytes()], [transform(ids[::-1]).tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, [pa.string(), pa.int64()] + [pa.binary()] * 3)], names=["lang", "n_words", "words", "forward", "backward"])
 
         held = 0
         for batch in batches:
@@ -216,12 +228,22 @@ def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
 
 def _each_index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], FMIndex]]:
-    names = ("counts", "hashes", "forward", "backward")
-    kinds = (np.int64, np.uint64, np.int32, np.int32)
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            yield row["lang"], [b"", *row["words"].split(b"\n")], FMIndex(*(np.frombuffer(row[c], t) for c, t in zip(names, kinds)))
+            lang, words = batch.column("lang")[k].as_py(), [b"", *batch.column("words")[k].as_py().split(b"\n")]
+            yield lang, words, FMIndex(_hashes(lang, words), *(np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("forward", "backward")))
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Shards are large rows: batches of them are kept below BATCH_BYTES while the jobs in the block run."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _cells(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -260,6 +282,11 @@ def phrase_counts(docs: DataFrame, max_words: int = DEPTH, min_count: int = 30,
     """
     if not 1 <= max_words <= DEPTH:
         raise ValueError(f"phrases have 1 to {DEPTH} words")
+    with _small_batches(docs.sparkSession):
+        return _phrase_counts(docs, max_words, min_count, shard_words)
+
+
+def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     shards = index_shards(docs, shard_words=shard_words)
     n = shards.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0")

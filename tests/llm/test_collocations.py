@@ -75,11 +75,13 @@ def test_extensions_of_a_phrase_are_the_most_frequent_longer_ones(spark):
     assert got["a b"] == (4, 2, 2) and got["x a"] == (2, 0, 2) and got["b"] == (4, 4, 2) and got["x a b y"] == (1, 0, 0)
 
 
-def test_intervals_stay_in_step_in_both_directions():
+def test_intervals_stay_in_step_in_both_directions(monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 50)
     rng = np.random.default_rng(5)
     ids = np.concatenate([[0], rng.integers(0, 5, 400), [0]]).astype(np.int32)
     hashes = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     index = C.FMIndex.of(ids, hashes)
+    assert index.counts.tolist() == np.bincount(ids, minlength=5).tolist()
     for sides in ((True, True, True), (False, False, False), (False, True, False), (True, False, True)):
         p = index.words()
         for m, left in enumerate(sides, 2):
