@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataq.operators.pairs import overlap_pairs
 from strataq.storage import discard, materialize
 
 
@@ -69,17 +70,46 @@ def chain(found: DataFrame, depth: int = 5) -> DataFrame:
     return walk.select("id", "root", "length", F.round("p", 6).alias("confidence"), (F.col("t") == "observed").alias("grounded"))
 
 
+def derived(anchors: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node) of the anchors (node) and all that is derived from one, by ``parents`` (child, parent), over any number of steps.
+
+    Where no child has two parents, every child jumps to its parent, then twice as far in each round, and ends at an anchor or
+    a root: a chain takes as many rounds as its length has binary digits. A child that has come as far as there are children is
+    in a circle without anchors. Else a frontier advances.
+    """
+    edges = materialize(parents.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct(), "parents")
+    if edges.groupBy("child").count().where("count > 1").limit(1).count():
+        return closure(anchors, edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).select("node")
+    own = materialize(anchors.select("node").distinct(), "derived-anchors")
+    stop = own.select(F.col("node").alias("_anchor"))
+    # ``to`` is as far as a child has come without meeting an anchor; those that met one, and those at a root, are done.
+    walk = edges.join(own.withColumnRenamed("node", "child"), "child", "left_anti").join(stop, F.col("parent") == F.col("_anchor"), "left")
+    walk = materialize(walk.select("child", F.col("parent").alias("to"), F.col("_anchor").isNotNull().alias("hit")), "derived-walk")
+    for _ in range(edges.count().bit_length() + 1):
+        open_ = walk.where("NOT hit").join(walk.select(F.col("child").alias("to")), "to", "left_semi")
+        if not open_.limit(1).count():
+            break
+        step = walk.select(F.col("child").alias("to"), F.col("to").alias("_to"), F.col("hit").alias("_hit"))
+        new = walk.join(step, "to", "left").select("child", F.when(F.col("hit") | F.col("_to").isNull(), F.col("to")).otherwise(F.col("_to")).alias("to"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit"))
+        walk, before = materialize(new, "derived-walk"), walk
+        discard(before)
+    return own.unionByName(walk.where("hit").select(F.col("child").alias("node")))
+
+
 def contamination(seeds: DataFrame, mentions: DataFrame, parents: DataFrame, neighbours: DataFrame | None = None, least_shared: int = 1) -> DataFrame:
     """(node, reason): seeds, given semantic neighbours, findings that share ``least_shared`` distinctive
     entities with a seed, and whatever is derived from any of these, over any number of steps."""
     seed = seeds.select("node").distinct()
-    own = mentions.join(seed, "node").select("entity", F.col("node").alias("seed")).distinct()
-    shared = mentions.select("node", "entity").distinct().join(own, "entity").groupBy("node", "seed").count().where(F.col("count") >= least_shared).select("node").distinct()
+    if least_shared == 1:
+        shared = mentions.join(mentions.join(seed, "node", "left_semi").select("entity").distinct(), "entity", "left_semi").select("node").distinct()
+    else:
+        sets = materialize(mentions.groupBy(F.col("node").alias("id")).agg(F.collect_set("entity").alias("tokens")), "mention-sets")
+        shared = overlap_pairs(sets, sets.join(seed.select(F.col("node").alias("id")), "id", "left_semi"), least_shared).select(F.col("l").alias("node")).distinct()
     anchors = seed.withColumn("reason", F.lit(0)).union(shared.withColumn("reason", F.lit(2)))
     if neighbours is not None:
         anchors = anchors.union(neighbours.select("node", F.lit(1)))
     anchors = materialize(anchors.groupBy("node").agg(F.min("reason").alias("reason")), "anchors")
-    reached = closure(anchors, parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
+    reached = derived(anchors, parents)
     names = F.array(*map(F.lit, ("seed", "semantic", "entity")))
     return reached.join(anchors, "node", "left").select("node", F.coalesce(F.get(names, F.col("reason")), F.lit("derived_from")).alias("reason"))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
+from strataq.storage import materialize
+
 LOG2 = lambda c: F.log2(c.cast("double") + 1)
 
 
@@ -96,15 +99,27 @@ def best_f1(scored: DataFrame, label: str, score: str) -> DataFrame:
     return best.select("b.threshold", "b.f1")
 
 
-def zscores(runs: DataFrame, order: str, value: str, window: int = 10, limit: float = -2.0) -> DataFrame:
+def zscores(runs: DataFrame, order: str, value: str, window: int = 10, limit: float = -2.0, ranges: int = RANGES) -> DataFrame:
     """Adds ``z`` against the ``window`` runs before (null with fewer than two, 0 without spread), ``drift``
-    below ``limit``, and ``rollback`` when this run and the one before both drift. Runs are few: one order."""
-    before = Window.orderBy(order).rowsBetween(-window, -1)
+    below ``limit``, and ``rollback`` when this run and the one before both drift.
+
+    Runs are numbered in their ``order``, a number or date that differs from run to run, and dealt to about ``ranges`` stretches of equal
+    length; each gets the last runs before it as well, so no task holds all.
+    """
+    at = F.col(order) if isinstance(runs.schema[order].dataType, NumericType) else F.unix_micros(F.col(order).cast("timestamp"))
+    numbered = running(runs.withColumns({"_at": at.cast("double"), "_one": F.lit(1).cast("long")}), "_at", ["_one"], ranges)
+    numbered = materialize(numbered.select(*runs.columns, F.col("sum__one").cast("long").alias("_n")), "runs")
+    length = F.lit(max(1, -(-numbered.count() // ranges))).cast("long")
+    first = F.floor(F.col("_n") / length)
+    # One run more than the window: the run before the first of a stretch has a drift of its own.
+    dealt = numbered.withColumn("_stretch", F.explode(F.sequence(first, F.floor((F.col("_n") + window + 1) / length)))).withColumn("_own", F.col("_stretch") == first)
+    of = Window.partitionBy("_stretch").orderBy("_n")
+    before = of.rowsBetween(-window, -1)
     sd = F.stddev_samp(value).over(before)
     z = F.when(F.count(value).over(before) < 2, None).when(sd < 1e-9, 0.0).otherwise((F.col(value) - F.avg(value).over(before)) / sd)
-    out = runs.withColumn("z", z).withColumn("drift", F.coalesce(F.col("z") < limit, F.lit(False)))
-    last = F.lag("drift").over(Window.orderBy(order))
-    return out.withColumn("rollback", F.col("drift") & F.coalesce(last, F.lit(False)))
+    out = dealt.withColumn("z", z).withColumn("drift", F.coalesce(F.col("z") < limit, F.lit(False)))
+    out = out.withColumn("rollback", F.col("drift") & F.coalesce(F.lag("drift").over(of), F.lit(False)))
+    return out.where("_own").select(*runs.columns, "z", "drift", "rollback")
 
 
 def proxy_relevance(items: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataq.functions import scoring as S
+from strataq.operators.ordered import kept_in_order
 from strataq.storage import discard, materialize
 
 #: Vectors of a block on average, and the most pivots.
@@ -84,12 +85,55 @@ def contradictions(found: DataFrame, tokens: Column, negated: Column, t: float =
 
 def unsupported(found: DataFrame, receipts: DataFrame, t: float = 0.45) -> DataFrame:
     """ids of (id, tokens, source) without a receipt (id, tokens, names): one covers ``t`` of its tokens,
-    and shares a part of its name with the source unless that is empty."""
-    pairs = containment_join(found.select("id", "tokens"), receipts.select("id", "tokens"), t)
-    parts = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
-    named = pairs.join(found.select(F.col("id").alias("l"), "source"), "l").join(receipts.select(F.col("id").alias("r"), "names"), "r")
-    fits = (F.coalesce("source", F.lit("")) == "") | F.arrays_overlap(parts(F.col("source")), F.flatten(F.transform("names", parts)))
-    return found.select("id").join(named.where(fits).select(F.col("l").alias("id")).distinct(), "id", "left_anti")
+    and shares a part of its name with the source unless that is empty. A finding without tokens has none."""
+    return found.select("id").join(proven(found, receipts, t)[0], "id", "left_anti")
+
+
+def proven(found: DataFrame, receipts: DataFrame, t: float = 0.45) -> tuple[DataFrame, int]:
+    """(id) of the findings that have a receipt, see ``unsupported``, and the number of rows that the joins on tokens gave.
+
+    One receipt is enough. Findings of equal tokens and source are one class, as are equal receipts. Tokens stand from
+    rare to common; a receipt that covers a finding shares one of its first n - need + 1, at a place of its own after which
+    need - 1 of its tokens are left. Classes look for receipts by their rarest such token, those that found none by their
+    next two, four and so on, each under the parts of their source; what meets is compared as whole sets.
+    """
+    parts = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
+    # Without a source every receipt will do: the part ''.
+    source = F.coalesce("source", F.lit(""))
+    need = F.greatest(F.ceil(F.size("tokens") * t - 1e-9), F.lit(1)).cast("int").alias("need")
+    f = found.where("size(tokens) > 0").select("id", F.array_sort("tokens").alias("tokens"), F.when(source == "", F.array(F.lit(""))).otherwise(parts(source)).alias("parts"))
+    f = materialize(f.withColumn("class", F.xxhash64("tokens", "parts")), "proof-findings")
+    classes = materialize(f.groupBy("class", "tokens", "parts").agg(F.count("*").alias("n")).select(F.struct("class", "tokens", "parts").alias("_key"), F.monotonically_increasing_id().alias("f"), "tokens", "parts", need), "proof-classes")
+    r = receipts.where("size(tokens) > 0").select(F.array_sort("tokens").alias("tokens"), F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("names", F.array().cast("array<string>")), parts)))).alias("parts"))
+    r = materialize(r.distinct().select(F.monotonically_increasing_id().alias("r"), "tokens", "parts"), "proof-receipts")
+    frequency = materialize(r.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "proof-frequency")
+
+    def ordered(df: DataFrame, k: str, *more: str) -> DataFrame:
+        """A row per token with its place from 1 on, rare tokens first; ``df`` is 0 for those of no receipt."""
+        each = df.select(k, F.size("tokens").alias("size"), *more, F.explode("tokens").alias("token")).join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        return each.withColumn("place", F.row_number().over(Window.partitionBy(k).orderBy("df", "token")))
+
+    index = ordered(r, "r", "parts").select("r", "token", (F.col("size") - F.col("place") + 1).alias("rest"), F.explode(F.concat(F.array(F.lit("")), "parts")).alias("part"))
+    index = materialize(index, "proof-index")
+    asked = ordered(classes, "f", "parts", "need").where(F.col("place") <= F.col("size") - F.col("need") + 1).where("df > 0")
+    nth = F.row_number().over(Window.partitionBy("f").orderBy("place"))
+    asked = materialize(asked.withColumn("nth", nth).select("f", "token", "need", "nth", (F.col("size") - F.col("place") + 1).alias("left"), "parts"), "proof-tokens")
+    last = asked.agg(F.max("nth")).first()[0] or 0
+    done = classes.select("f").limit(0)
+    met_rows, at = 0, 1
+    while at <= last:
+        now = asked.where((F.col("nth") >= at) & (F.col("nth") < 2 * at)).join(done, "f", "left_anti")
+        met = now.select("f", "token", "need", "left", F.explode("parts").alias("part")).join(index, ["token", "part"]).where("rest >= need AND left >= need")
+        met = materialize(met.select("f", "r"), "proof-met")
+        met_rows += met.count()
+        sets = lambda df, k: df.select(k, F.col("tokens").alias(f"{k}_tokens"))
+        both = met.distinct().join(classes.select("f", "need", F.col("tokens").alias("f_tokens")), "f").join(sets(r, "r"), "r")
+        done, before = materialize(done.unionByName(both.where(F.size(F.array_intersect("f_tokens", "r_tokens")) >= F.col("need")).select("f").distinct()), "proof-done"), done
+        discard(before)
+        discard(met)
+        at *= 2
+    keys = classes.join(done, "f").select("_key.*")
+    return f.join(keys, ["class", "tokens", "parts"]).select("id"), met_rows
 
 
 def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -150,31 +194,13 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = PIVOTS,
 
 def greedy_representatives(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(vec_id, rep): greedy clustering in order of ids. An item represents itself unless an earlier
-    representative is its neighbour; then the earliest such one does.
-
-    Rounds settle items whose earlier neighbours are settled, as a lexicographically first maximal
-    independent set, until none is left; each round is written to the shared folder. Pairs have to lead
-    from an earlier item ``a`` to a later ``b``, else a round may settle none, which raises.
+    representative is its neighbour; then the earliest such one does. Pairs lead from an earlier item ``a`` to a later ``b``.
     """
     edges = materialize(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")), "greedy-edges")
-    state = materialize(items.select("vec_id", F.lit(None).cast("boolean").alias("is_rep")), "greedy-state")
-    left = None
-    while True:
-        seen = edges.join(state.select(F.col("vec_id").alias("early"), F.col("is_rep").alias("r")), "early")
-        verdict = seen.groupBy("late").agg(F.max(F.coalesce("r", F.lit(False))).alias("covered"), F.max(F.col("r").isNull()).alias("waiting"))
-        new = state.join(verdict, state["vec_id"] == verdict["late"], "left")
-        rule = F.when(F.col("late").isNull(), True).when(F.col("covered"), False).when(F.col("waiting"), None).otherwise(True)
-        before, state = state, materialize(new.select("vec_id", F.coalesce("is_rep", rule).alias("is_rep")), "greedy-state")
-        discard(before)
-        waiting = state.where("is_rep IS NULL").count()
-        if not waiting:
-            break
-        if waiting == left:
-            raise RuntimeError(f"{waiting} items wait for each other: pairs do not lead from earlier to later ones")
-        left = waiting
-    reps = state.where("is_rep").select(F.col("vec_id").alias("early"))
+    state = kept_in_order(items.select(F.col("vec_id").alias("id")), edges)
+    reps = state.where("kept").select(F.col("id").alias("early"))
     owner = edges.join(reps, "early").groupBy("late").agg(F.min("early").alias("owner"))
-    return state.join(owner, state["vec_id"] == owner["late"], "left").select("vec_id", F.when(F.col("is_rep"), F.col("vec_id")).otherwise(F.col("owner")).alias("rep"))
+    return state.join(owner, state["id"] == owner["late"], "left").select(F.col("id").alias("vec_id"), F.when(F.col("kept"), F.col("id")).otherwise(F.col("owner")).alias("rep"))
 
 
 def cross_links(pairs: DataFrame, texts: DataFrame, conflict: float = 0.96, update: float = 0.92) -> DataFrame:
@@ -266,52 +292,55 @@ def hard_negatives(sets: DataFrame, least: int, n: int) -> DataFrame:
     return pairs.select(F.col("l").alias("a"), F.col("r").alias("b"), "common").orderBy(F.desc("common"), "a", "b").limit(n)
 
 
+GRAM = 3
+
+
+def contained_names(names: DataFrame) -> DataFrame:
+    """(group, short, long): different names (group, name) of a group one of which is in the other.
+
+    A name is found through the rarest of its runs of GRAM characters, or as a whole if it is shorter, among such runs of
+    all names of the group; only these are compared.
+    """
+    n = materialize(names.where("name <> ''").select("group", "name").distinct(), "names")
+    runs = lambda k: F.when(F.length("name") >= k, F.transform(F.sequence(F.lit(1), F.length("name") - (k - 1)), lambda i: F.substr(F.col("name"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    held = n.select("group", F.col("name").alias("long"), F.explode(F.array_distinct(F.concat(*map(runs, range(1, GRAM + 1))))).alias("gram"))
+    held = materialize(held, "name-grams")
+    count = held.groupBy("group", "gram").agg(F.count("*").alias("df"))
+    own = n.select("group", F.col("name").alias("short"), F.explode(F.array_distinct(F.when(F.length("name") >= GRAM, runs(GRAM)).otherwise(F.array("name")))).alias("gram"))
+    rarest = own.join(count, ["group", "gram"]).groupBy("group", "short").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
+    return rarest.join(held, ["group", "gram"]).where(F.contains("long", F.col("short")) & (F.col("long") != F.col("short"))).select("group", "short", "long")
+
+
 def merged_entities(mentions: DataFrame) -> DataFrame:
-    """(investigation_id, name, canonical, place): names merged, in order of first mention, into the first
-    known name that contains them or is contained, without case. Names are reduced to one row each before
-    an investigation's fold, which depends on order."""
-    first = mentions.groupBy("investigation_id", F.lower("name").alias("name")).agg(F.min("place").alias("place"))
-
-    def fold(pdf):
-        known: list[str] = []
-        out = []
-        for name in pdf.sort_values("place")["name"]:
-            home = next((k for k in known if name in k or k in name), None)
-            if home is None:
-                known.append(name)
-                home = name
-            out.append(home)
-        pdf = pdf.sort_values("place")
-        pdf["canonical"] = out
-        return pdf[["investigation_id", "name", "canonical", "place"]]
-
-    return first.groupBy("investigation_id").applyInPandas(fold, "investigation_id string, name string, canonical string, place long")
+    """(investigation_id, name, canonical, place): names merged, in order of first mention and then by name, into the first
+    known name that contains them or is contained, without case; those that meet none are known from then on."""
+    first = materialize(mentions.groupBy("investigation_id", F.lower("name").alias("name")).agg(F.min("place").alias("place")), "first-mentions")
+    item = lambda c: F.struct("investigation_id", F.col(f"{c}_place").alias("place"), F.col(c).alias("name"))
+    side = lambda c: first.select("investigation_id", F.col("name").alias(c), F.col("place").alias(f"{c}_place"))
+    near = contained_names(first.select(F.col("investigation_id").alias("group"), "name")).withColumnRenamed("group", "investigation_id")
+    near = near.join(side("short"), ["investigation_id", "short"]).join(side("long"), ["investigation_id", "long"]).select(item("short").alias("a"), item("long").alias("b"))
+    rules = near.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+    rules = materialize(rules.where("early.investigation_id IS NOT NULL"), "name-rules")
+    ids = first.select(F.struct("investigation_id", "place", "name").alias("id"))
+    state = kept_in_order(ids, rules)
+    home = rules.join(state.where("kept").select(F.col("id").alias("early")), "early").groupBy(F.col("late").alias("id")).agg(F.min("early")["name"].alias("home"))
+    return state.join(home, "id", "left").select("id.investigation_id", "id.name", F.when(F.col("kept"), F.col("id.name")).otherwise(F.col("home")).alias("canonical"), "id.place")
 
 
 def winner_takes_all(pairs: DataFrame, importance: DataFrame) -> DataFrame:
     """ids that near-duplicate sweeping deletes: in passes over items by id, an item that is still there
-    meets its later neighbours that are, and the less important goes, the later on a tie.
+    meets its later neighbours that are, and the less important goes, the later on a tie. An item that goes in its own
+    pass still meets the rest of its neighbours.
 
-    The order within a component matters, so each component of the pairs is folded by itself.
+    So an item has a pass unless an earlier one that has, and is no less important, deletes it; and it goes in its own if
+    a later, more important neighbour is still there then.
     """
-    from strataq.operators.components import connected_components
-
-    parts = connected_components(pairs, "a", "b")
-    tagged = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a")
     side = lambda k: importance.select(F.col("vec_id").alias(k), F.col("importance").alias(f"{k}_i"))
-    rows = tagged.join(side("a"), "a").join(side("b"), "b").select("component", "a", "b", "a_i", "b_i")
-
-    def run(pdf):
-        import pandas as pd
-
-        gone: set = set()
-        for a, own in pdf.sort_values(["a", "b"]).groupby("a", sort=True):
-            # An item that goes during its own pass still meets the rest of its neighbours.
-            if a in gone:
-                continue
-            for r in own.itertuples():
-                if r.b not in gone:
-                    gone.add(r.b if r.a_i >= r.b_i else a)
-        return pd.DataFrame({"vec_id": sorted(gone)}, dtype="int64")
-
-    return rows.groupBy("component").applyInPandas(run, "vec_id long")
+    rows = materialize(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("a_i") >= F.col("b_i")).alias("first")), "sweep-pairs")
+    ends = rows.select(F.col("a").alias("id")).union(rows.select("b"))
+    rules = rows.where("first").select(F.col("a").alias("early"), F.col("b").alias("late"))
+    state = kept_in_order(ends, rules)
+    passes = state.where("kept").select(F.col("id").alias("a"))
+    killed = materialize(rules.withColumnRenamed("early", "a").join(passes, "a").groupBy(F.col("late").alias("b")).agg(F.min("a").alias("by")), "sweep-killed")
+    own = rows.where("NOT first").join(passes, "a").join(killed, "b", "left").where("by IS NULL OR by > a").select(F.col("a").alias("vec_id"))
+    return killed.select(F.col("b").alias("vec_id")).union(own).distinct()

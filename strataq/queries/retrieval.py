@@ -8,11 +8,13 @@ from strataq.functions import scoring as S
 from strataq.functions import text as X
 from strataq.operators import retrieval as R
 from strataq.operators import windows as W
+from strataq.operators.cells import VectorIndex
+from strataq.operators.postings import InvertedIndex
 from strataq.plans import tables as T
 from strataq.plans.tables import FINDINGS_SQL, NOW, VECTORS_SQL
 from strataq.queries.base import query
 from strataq.queries.texts import TOKENS_SQL
-from strataq.storage import read_table
+from strataq.storage import new_path, read_table
 
 
 def _queries(spark, sf):
@@ -50,16 +52,28 @@ def lexical_topk_context(spark, sf):
 _ALL_SQL = lambda t: f"list_filter(regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9._:/-]{{2,}}'), lambda x: TRUE)"
 
 
-@query(
-    "bm25_topk",
-    f"""WITH q AS (SELECT item_id AS query, unnest({TOKENS_SQL('text')}) AS token FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id AS id, {_ALL_SQL('text')} AS w FROM documents),
+_BM25_SQL = (f"""WITH q AS (SELECT item_id AS query, unnest({TOKENS_SQL('text')}) AS token FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id AS id, {_ALL_SQL('text')} AS w FROM documents),
     p AS (SELECT id, len(w) AS length, unnest(w) AS token FROM d), tf AS (SELECT token, id, length, count(*) AS tf FROM p WHERE token IN (SELECT token FROM q) GROUP BY ALL),
     df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT query, id, sum(ln(1 + ((SELECT count(*) FROM d) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / 200))) AS score FROM tf JOIN df USING (token) JOIN q USING (token) GROUP BY 1, 2)
-    SELECT query, id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS place FROM s) WHERE place <= 20""",
-)
+    SELECT query, id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS place FROM s) WHERE place <= 20""")
+
+
+@query("bm25_topk", _BM25_SQL)
 def bm25_topk(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit(X.TOKEN), F.lit(0)).alias("words"))
-    return R.top_k(R.bm25(_queries(spark, sf), docs).withColumn("score", F.round("score", 6)), 20)
+    return R.top_k(R.bm25(_queries(spark, sf), _worded(spark, sf)).withColumn("score", F.round("score", 6)), 20)
+
+
+def _worded(spark, sf):
+    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit(X.TOKEN), F.lit(0)).alias("words"))
+
+
+@query("bm25_indexed", _BM25_SQL)
+def bm25_indexed(spark, sf):
+    """The rows of ``bm25_topk`` from a stored index of two segments."""
+    index = InvertedIndex(spark, new_path(spark, "postings"))
+    for k in (0, 1):
+        index.append(_worded(spark, sf).where(F.col("id") % 2 == k))
+    return index.search(_queries(spark, sf), 20)
 
 
 _KNN_SQL = f"{VECTORS_SQL}, s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.vec, b.vec), 6) AS score, a.label AS q_label, b.label AS label FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
@@ -75,6 +89,15 @@ def knn_topk(spark, sf):
     return R.top_k(_rounded(pairs).drop("place"), 10).select("query", "id", "score", "place")
 
 
+@query("ann_topk")
+def ann_topk(spark, sf):
+    """Approximate neighbours from a stored index of two batches; see the README for its recall."""
+    index = VectorIndex(spark, new_path(spark, "vector-index"), cells=32)
+    for k in (0, 1):
+        index.append(_base(spark, sf).where(F.col("id") % 2 == k))
+    return _rounded(index.search(_vector_queries(spark, sf), 10, probes=20))
+
+
 @query("knn_filtered", f"WITH {_KNN_SQL} SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s WHERE label = q_label AND score >= 0.1) WHERE place <= 10")
 def knn_filtered(spark, sf):
     pairs = R.knn(_vector_queries(spark, sf), _base(spark, sf), 30, 0.0999995, F.col("label") == F.col("q_label"))

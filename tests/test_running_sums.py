@@ -1,6 +1,7 @@
 """Running sums over ranges, and the metrics on them, against plain ones."""
 
 import random
+import statistics
 
 import pytest
 
@@ -33,3 +34,21 @@ def test_best_threshold_and_ranks(spark):
     ma, mb = sum(a) / len(a), sum(b) / len(b)
     want = sum((x - ma) * (y - mb) for x, y in zip(a, b)) / (sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)) ** 0.5
     assert metrics.spearman(df, "label", "score").first()["rho"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 200])
+def test_windows_over_ranges_of_any_number(spark, ranges):
+    rng = random.Random(5)
+    values = [rng.gauss(10, 1) if i % 9 else 3.0 for i in range(70)]
+    rows = [(float(3 * i), v if i % 11 else None) for i, v in enumerate(values)]
+    rng.shuffle(rows)
+    got = {r["at"]: (r["z"], r["drift"], r["rollback"]) for r in metrics.zscores(spark.createDataFrame(rows, "at double, v double"), "at", "v", ranges=ranges).collect()}
+    rows.sort()
+    last = False
+    for i, (at, v) in enumerate(rows):
+        before = [x for _, x in rows[max(0, i - 10) : i] if x is not None]
+        z = None if len(before) < 2 or v is None else (v - statistics.fmean(before)) / statistics.stdev(before)
+        drift = z is not None and z < -2
+        assert got[at][1:] == (drift, drift and last) and (got[at][0] is None) == (z is None) and (z is None or abs(got[at][0] - z) < 1e-9)
+        last = drift
+    assert sum(x[1] for x in got.values()) > 2
