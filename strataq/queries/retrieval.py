@@ -95,7 +95,7 @@ def ann_topk(spark, sf):
     index = VectorIndex(spark, new_path(spark, "vector-index"), cells=32)
     for k in (0, 1):
         index.append(_base(spark, sf).where(F.col("id") % 2 == k))
-    return _rounded(index.search(_vector_queries(spark, sf), 10, probes=20))
+    return _rounded(index.search(_vector_queries(spark, sf), 10, probes=24))
 
 
 @query("knn_filtered", f"WITH {_KNN_SQL} SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s WHERE label = q_label AND score >= 0.1) WHERE place <= 10")
