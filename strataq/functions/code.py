@@ -7,6 +7,7 @@ writes, literals and rule findings as rows of one shape. It runs row by row wher
 from __future__ import annotations
 
 import ast
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,9 +159,10 @@ def parse_python(files: DataFrame) -> DataFrame:
         def eval(self, path: str, content: str):
             yield from analyse(path, content or "")
 
-    spark.udtf.register("strataq_parse", Parse)
-    files.select("path", "content").createOrReplaceTempView("strataq_files")
-    return spark.sql("SELECT t.* FROM strataq_files f, LATERAL strataq_parse(f.path, f.content) t")
+    # Names of one call: they are not to meet a user's views or another call's.
+    name = f"strataq_{uuid.uuid4().hex}"
+    spark.udtf.register(f"{name}_parse", Parse)
+    return spark.sql(f"SELECT t.* FROM {{files}} f, LATERAL {name}_parse(f.path, f.content) t", files=files.select("path", "content"))
 
 
 #: The rungs of call resolution in their order, with the rank of the first candidate of each.

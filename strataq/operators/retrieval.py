@@ -147,9 +147,13 @@ def metamemory_cues(hits: DataFrame) -> DataFrame:
 
 
 def gate(scores: DataFrame, threshold: float = 0.59, limit: int = 12) -> DataFrame:
-    """Adds ``kept``: among a query's best ``limit`` and at or above the threshold."""
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("kept", (F.col("score") >= threshold) & (place <= limit))
+    """(query, n, kept): how many scores a query has, and how many of its best ``limit`` are at or above the threshold.
+
+    Counts are summed up before they are shuffled, and ``limit`` scores per query and partition are ranked.
+    """
+    n = scores.groupBy("query").agg(F.count("*").alias("n"))
+    kept = top_k(scores.where(F.col("score") >= threshold), limit).groupBy("query").agg(F.count("*").alias("kept"))
+    return n.join(kept, "query", "left").select("query", "n", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
 
 
 def word_search(docs: DataFrame, words: tuple[str, ...], all_of: bool, score: float) -> DataFrame:

@@ -214,8 +214,8 @@ def tier_moved(tier: Column, up: bool) -> Column:
 
 
 def resolved_conflict(conflicts: DataFrame, a: str, b: str, outcome: str, at: str) -> tuple[DataFrame, DataFrame]:
-    """(conflicts, retired): the pair (finding_id_a, finding_id_b) with its outcome, and the finding that loses; none where both are valid."""
-    if outcome not in ("a_wins", "b_wins", "both_valid"):
+    """(conflicts, retired): the pair (finding_id_a, finding_id_b) with its outcome, and the finding that loses; none where both are valid or it was no conflict."""
+    if outcome not in ("a_wins", "b_wins", "both_valid", "false_positive"):
         raise ValueError(f"unknown outcome {outcome}")
     here = (F.col("finding_id_a") == a) & (F.col("finding_id_b") == b)
     out = conflicts.withColumns({"status": F.when(here, outcome).otherwise(F.col("status")), "resolved_at": F.when(here, at)})

@@ -20,7 +20,7 @@ from strataq.queries.base import query
 from strataq.queries.folds import _GONE, _OVERRIDES
 from strataq.queries.retrieval import _queries, _rounded
 from strataq.queries.texts import NEGATED_SQL, TOKENS_SQL
-from strataq.storage import has_table, materialize, read_table
+from strataq.storage import materialize, read_table
 
 
 def _dense(spark, sf, least=None, claims=True):
@@ -66,9 +66,9 @@ def judge_pools(spark, sf):
 
 
 @query("evidence_precheck", f"WITH {_Q_SQL}, {_DENSE_SQL}, {_LEX_SQL}, u AS (SELECT query, id, score, 1 AS lane FROM {_TOP('(SELECT * FROM lex WHERE score >= 0.25)', 10)} UNION ALL SELECT query, id, score, 2 FROM dense WHERE score >= 0.5) SELECT query, id, arg_min(score, (lane, score)) AS score, CASE min(lane) WHEN 1 THEN 'lexical' ELSE 'semantic' END AS lane FROM u GROUP BY 1, 2")
-def evidence_precheck(spark, sf):
-    """Where a store has no texts or claims, the semantic lane answers alone, as lanes do that find another one down."""
-    if not all(has_table(spark, sf, t) for t in ("documents", "benchmark")):
+def evidence_precheck(spark, sf, lexical=True):
+    """Without the lexical lane, for a store of vectors alone, these are the queries."""
+    if not lexical:
         semantic = _dense(spark, sf, 0.4, claims=False)
         return V.precheck(semantic.limit(0), semantic, 0.25)
     return V.precheck(_lexical(spark, sf), _dense(spark, sf, 0.4), 0.25)
@@ -83,9 +83,9 @@ def hybrid_search(spark, sf):
     """Findings of medium confidence or more by dense and BM25 ranks, 25 of them reranked by the share of the claim's tokens they hold."""
     found = T.findings(spark, sf).select(F.col("seq").alias("id"), "confidence", "text")
     dense, sparse = (G.with_floor(x, found, "Medium") for x in (_dense(spark, sf), _bm25(spark, sf)))
-    texts = found.select("id", X.tokens(F.col("text")).alias("tokens")).crossJoin(F.broadcast(_queries(spark, sf).withColumnRenamed("tokens", "qt")))
+    texts, asked = found.select("id", X.tokens(F.col("text")).alias("tokens")), _queries(spark, sf).withColumnRenamed("tokens", "qt")
     share = F.round(F.size(F.array_intersect("qt", "tokens")) / F.size("qt"), 9)
-    return G.hybrid(dense, sparse, 5, share, texts)
+    return G.hybrid(dense, sparse, 5, share, texts, asked=asked)
 
 
 @query(

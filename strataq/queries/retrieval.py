@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import scoring as S
 from strataq.functions import text as X
+from strataq.operators import grounding as G
 from strataq.operators import retrieval as R
 from strataq.operators import windows as W
 from strataq.operators.cells import VectorIndex
@@ -106,9 +107,7 @@ def knn_filtered(spark, sf):
 
 @query("relevance_gate", f"WITH {_KNN_SQL} SELECT query, count(*) AS n, sum((score >= 0.59 AND place <= 12)::INT)::BIGINT AS kept FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) GROUP BY 1")
 def relevance_gate(spark, sf):
-    q = _vector_queries(spark, sf).withColumn("q", S.unit(F.col("vec"))).drop("vec")
-    scored = _base(spark, sf).crossJoin(q).where("query <> id").select("query", "id", F.round(S.dot(S.unit(F.col("vec")), F.col("q")), 6).alias("score"))
-    return R.gate(scored).groupBy("query").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("kept"))
+    return R.gate(_rounded(R.vector_scores(_vector_queries(spark, sf), _base(spark, sf))).select("query", "id", "score"))
 
 
 
@@ -151,6 +150,40 @@ def keyword_boosted(spark, sf):
     return full.select("query", "id", F.round(F.col("score") * F.col("importance") + S.keyword_boost(F.col("kt"), F.col("text")), 9).alias("fused"))
 
 
+_MS = "0.5::DOUBLE * (score * importance + CASE WHEN len(kt) >= 2 THEN least(0.25, 0.05::DOUBLE * len(list_filter(kt, lambda t: length(t) > 3 AND contains(lower(text), t)))) ELSE 0 END) + 0.2::DOUBLE * exp(-ln(2::DOUBLE) / 7 * greatest(({now} - created_at_ts)::DOUBLE / 86400, 0)) + 0.15::DOUBLE * CASE confidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END + 0.15::DOUBLE * CASE record_type WHEN 'observed' THEN 1.0::DOUBLE WHEN 'inferred' THEN 0.8::DOUBLE WHEN 'assumed' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END + 0.08::DOUBLE * ln(1 + phero)"
+_SIM = "coalesce(len(list_intersect({a}.w, {b}.w)) / greatest(len({a}.w), len({b}.w)), 0)"
+
+
+def _pick(n: int) -> str:
+    """The n-th choice of maximal marginal relevance in SQL."""
+    sims = [_SIM.format(a="h", b=f"p{i}") for i in range(1, n)]
+    value = f"0.75::DOUBLE * h.ms - 0.25::DOUBLE * greatest({', '.join(sims)})" if sims else "h.ms"
+    joins = "".join(f" JOIN p{i} ON p{i}.query = h.query AND p{i}.seq <> h.seq" for i in range(1, n))
+    return f"p{n} AS (SELECT * EXCLUDE (n) FROM (SELECT h.*, {n} AS place, row_number() OVER (PARTITION BY h.query ORDER BY {value} DESC, h.seq) AS n FROM h{joins}) WHERE n = 1)"
+
+
+@query(
+    "turn_grounding",
+    f"""WITH {_LEXICAL_SQL}, k AS (SELECT item_id AS query, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS kt FROM benchmark WHERE item_id % 50 = 0),
+    c AS (SELECT s.query, s.score, f.*, CASE WHEN f.record_type IN ('observed', 'inferred') THEN 'memory' ELSE 'archive' END AS lane FROM s JOIN findings f USING (id) WHERE score > 0),
+    t AS (SELECT *, recall_count / 4 AS stored, CASE WHEN seq % 3 = 0 THEN created_at_ts + 86400 END AS since FROM c QUALIFY row_number() OVER (PARTITION BY query, lane ORDER BY score DESC, id) <= 10),
+    e AS (SELECT *, CASE WHEN stored <= 0 THEN 0 WHEN since IS NULL THEN stored ELSE stored * exp(-ln(2::DOUBLE) / 24 * (greatest({NOW} - since, 0)::DOUBLE / 3600)) END AS phero FROM t WHERE importance >= 0.2),
+    h AS (SELECT query, lane, id, seq, phero, list_filter(list_distinct(string_split_regex(lower(text), '[ \t\n]+')), lambda x: x <> '') AS w, round({_MS.format(now=NOW)}, 9) AS ms FROM e JOIN k USING (query)), {_pick(1)}, {_pick(2)}, {_pick(3)}
+    SELECT query, place, lane, id, round(ms, 6) AS score, CASE WHEN lane = 'memory' THEN round(phero + 1, 6) END AS pheromone FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)""",
+)
+def turn_grounding(spark, sf):
+    """Two lanes, ten hits of each, boosted by keywords, without unimportant ones, decayed and reinforced, and three chosen for a turn."""
+    f = T.findings(spark, sf)
+    tokens = f.select("id", X.tokens(F.col("text")).alias("tokens"))
+    lane = F.when(F.col("record_type").isin("observed", "inferred"), "memory").otherwise("archive")
+    scores = R.lexical_scores(_queries(spark, sf), tokens).join(f.select("id", lane.alias("lane")), "id")
+    best = W.top_per_key(scores, ["query", "lane"], [F.desc("score"), F.asc("id")], 10)
+    hits = best.join(f.select("id", F.col("seq").alias("item"), "importance", "text", "confidence", "record_type", "created_at_ts", (F.col("recall_count") / 4).alias("pheromone"), F.when(F.col("seq") % 3 == 0, F.col("created_at_ts") + 86400).alias("reinforced_ts")), "id")
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), lambda x: x != "")
+    keyed = T.claims(spark, sf).where("item_id % 50 = 0").select(F.col("item_id").alias("query"), words.alias("kt"))
+    return G.turn_grounding(hits, keyed, NOW).select("query", "place", "lane", "id", F.round("score", 6).alias("score"), F.round("pheromone", 6).alias("pheromone"))
+
+
 @query("mmr_selection", None)
 def mmr_selection(spark, sf):
     f = T.findings(spark, sf)

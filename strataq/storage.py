@@ -102,8 +102,3 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

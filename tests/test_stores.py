@@ -60,6 +60,8 @@ def test_conflicts_are_resolved_once(spark):
     out, gone = stores.resolved_conflict(rows, "a", "b", "a_wins", "now")
     assert {(r["finding_id_a"], r["status"], r["resolved_at"]) for r in out.collect()} == {("a", "a_wins", "now"), ("c", "open", None)} and [r["id"] for r in gone.collect()] == ["b"]
     assert stores.resolved_conflict(rows, "a", "b", "both_valid", "now")[1].count() == 0
+    out, gone = stores.resolved_conflict(rows, "a", "b", "false_positive", "now")
+    assert gone.count() == 0 and {r["status"] for r in out.collect()} == {"false_positive", "open"}
     with pytest.raises(ValueError):
         stores.resolved_conflict(rows, "a", "b", "neither", "now")
 
