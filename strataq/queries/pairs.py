@@ -40,13 +40,29 @@ def similar_vectors(spark, sf):
     return P.similar_vectors(T.vectors(spark, sf), 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("greedy_dedup")
+def greedy_sql(pairs: str) -> str:
+    """CTEs that end in ``greedy`` (vec_id, label, rep) of pairs (a, b), a < b: one vector after another, by a list of the representatives so far."""
+    return f"""WITH RECURSIVE {VECTORS_SQL}, pairs AS ({pairs}), v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n, coalesce(near, []) AS near FROM vectors LEFT JOIN (SELECT b AS vec_id, list(a) AS near FROM pairs GROUP BY 1) USING (vec_id)),
+    walk(i, reps) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN list_has_any(reps, near) THEN reps ELSE list_append(reps, vec_id) END FROM walk JOIN v ON n = i + 1),
+    greedy AS (SELECT vec_id, label, CASE WHEN list_contains(reps, vec_id) THEN vec_id ELSE list_min(list_intersect(reps, near)) END AS rep FROM v, (SELECT arg_max(reps, i) AS reps FROM walk))"""
+
+
+_NEAR_SQL = "SELECT a.vec_id AS a, b.vec_id AS b{more} FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {t}"
+
+
+@query("greedy_dedup", greedy_sql(_NEAR_SQL.format(more="", t=0.3)) + " SELECT vec_id, rep FROM greedy")
 def greedy_dedup(spark, sf):
     v = T.vectors(spark, sf)
     return P.greedy_representatives(v, P.similar_vectors(v, 0.3))
 
 
-@query("winner_takes_all")
+@query(
+    "winner_takes_all",
+    f"""WITH RECURSIVE {VECTORS_SQL}, pairs AS ({_NEAR_SQL.format(more=", a.vec_id % 20 >= b.vec_id % 20 AS first", t=0.3)}), v AS (SELECT a, row_number() OVER (ORDER BY a) AS n, list(b) FILTER (first) AS weaker, list(b) FILTER (NOT first) AS stronger FROM pairs GROUP BY 1),
+    walk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+      SELECT i + 1, CASE WHEN list_contains(gone, a) THEN gone ELSE list_distinct(gone || coalesce(weaker, []) || CASE WHEN len(list_filter(coalesce(stronger, []), lambda b: NOT list_contains(gone, b))) > 0 THEN [a] ELSE [] END) END FROM walk JOIN v ON n = i + 1)
+    SELECT unnest(arg_max(gone, i)) AS vec_id FROM walk""",
+)
 def winner_takes_all(spark, sf):
     v = T.vectors(spark, sf)
     return P.winner_takes_all(P.similar_vectors(v, 0.3), v.select("vec_id", (F.col("vec_id") % 20).cast("double").alias("importance")))

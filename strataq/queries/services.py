@@ -13,7 +13,7 @@ from strataq.plans.tables import FINDINGS_SQL, RESOLUTIONS_SQL, RETRACTIONS_SQL,
 from strataq.queries.base import query
 from strataq.queries.folds import _GONE, _OVERRIDES
 from strataq.queries.metrics import _SCORED_SQL
-from strataq.queries.pairs import _sets
+from strataq.queries.pairs import _NEAR_SQL, _sets, greedy_sql
 from strataq.queries.retrieval import _KNN_SQL, _LEXICAL_SQL, _base, _queries, _rounded, _vector_queries
 from strataq.storage import read_table
 
@@ -77,7 +77,7 @@ def judged_contradictions(spark, sf):
     return V.judged_contradictions(near, read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), 0.35)
 
 
-@query("coalesced_verdicts", None)
+@query("coalesced_verdicts", greedy_sql(_NEAR_SQL.format(more="", t=0.4) + " AND a.label = b.label") + " SELECT label AS kind, rep, count(*) AS occurrences FROM greedy GROUP BY 1, 2")
 def coalesced_verdicts(spark, sf):
     return V.coalesced_verdicts(T.vectors(spark, sf).withColumnRenamed("label", "kind"), 0.4)
 
