@@ -178,6 +178,16 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, floor: float = 0.4
     return active.join(seed.select("node"), "node", "left_anti").where(F.col("activation") >= threshold)
 
 
+def activated(active: DataFrame, scores: DataFrame, k: int = 5, vector: float = 0.7, activation: float = 0.3) -> DataFrame:
+    """(node, activation, hybrid, place): the ``k`` most active nodes (node, activation), ties by node, in the order of a weighted sum of
+    their vector score (node, score), 0 without one, and their activation."""
+    best = active.orderBy(F.desc("activation"), "node").limit(k)
+    hybrid = F.round(vector * F.coalesce("score", F.lit(0.0)) + activation * F.col("activation"), 6)
+    # At most k rows are ranked.
+    place = F.row_number().over(Window.orderBy(F.desc("hybrid"), "node"))
+    return best.join(scores, "node", "left").select("node", "activation", hybrid.alias("hybrid")).withColumn("place", place)
+
+
 def innermost(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """(point, span): for (file, line, point) the span (file, start, end, span) with the largest start that
     holds the line, the shorter on a tie. Spans are exploded into buckets of ``width`` lines."""

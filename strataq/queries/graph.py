@@ -74,12 +74,12 @@ def bfs_subgraph(spark, sf):
     return G.neighbourhood(spark.range(1).select(F.col("id").alias("node")), edges, 2)[0]
 
 
-@query(
-    "spread_activation",
-    """WITH e AS (SELECT l_orderkey AS src, -l_partkey - 1 AS dst, 0.4::DOUBLE + (l_linenumber % 7)::DOUBLE / 10 AS weight, CASE l_linenumber % 4 WHEN 0 THEN 'caused_by' WHEN 1 THEN 'updated_by' WHEN 2 THEN 'contradicts' ELSE 'semantic_link' END AS kind FROM lineitem),
+_ACTIVE_SQL = """WITH e AS (SELECT l_orderkey AS src, -l_partkey - 1 AS dst, 0.4::DOUBLE + (l_linenumber % 7)::DOUBLE / 10 AS weight, CASE l_linenumber % 4 WHEN 0 THEN 'caused_by' WHEN 1 THEN 'updated_by' WHEN 2 THEN 'contradicts' ELSE 'semantic_link' END AS kind FROM lineitem),
     u AS (SELECT src, dst, least(1, (weight - 0.4::DOUBLE) / (1 - 0.4::DOUBLE) * CASE kind WHEN 'caused_by' THEN 1.3::DOUBLE WHEN 'updated_by' THEN 1.2::DOUBLE ELSE 1 END) AS w FROM e WHERE weight >= 0.4::DOUBLE AND kind <> 'contradicts'),
-    d AS (SELECT src, count(*) AS degree FROM u GROUP BY 1) SELECT dst AS node, round(least(1, sum(w / degree)), 6) AS activation FROM u JOIN d USING (src) GROUP BY 1 HAVING round(least(1, sum(w / degree)), 6) >= 0.5""",
-)
+    d AS (SELECT src, count(*) AS degree FROM u GROUP BY 1) SELECT dst AS node, round(least(1, sum(w / degree)), 6) AS activation FROM u JOIN d USING (src) GROUP BY 1HAVING round(least(1, sum(w / degree)), 6) >= 0.5"""
+
+
+@query("spread_activation", _ACTIVE_SQL)
 def spread_activation(spark, sf):
     kind = F.when(F.col("l_linenumber") % 4 == 0, "caused_by").when(F.col("l_linenumber") % 4 == 1, "updated_by").when(F.col("l_linenumber") % 4 == 2, "contradicts").otherwise("semantic_link")
     edges = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"), (F.lit(0.4) + (F.col("l_linenumber") % 7).cast("double") / 10).alias("weight"), kind.alias("kind"))
@@ -87,6 +87,13 @@ def spread_activation(spark, sf):
     return G.spread(seeds, edges, threshold=0.4999995).select("node", F.round("activation", 6).alias("activation"))
 
 
+@query("hybrid_activation", f"WITH a AS ({_ACTIVE_SQL}), b AS (SELECT * FROM a ORDER BY activation DESC, node LIMIT 50), h AS (SELECT node, activation, round(0.7::DOUBLE * coalesce((p_size % 10)::DOUBLE / 10, 0) + 0.3::DOUBLE * activation, 6) AS hybrid FROM b LEFT JOIN part ON node = -p_partkey - 1 AND p_size % 3 > 0) SELECT *, row_number() OVER (ORDER BY hybrid DESC, node) AS place FROM h")
+def hybrid_activation(spark, sf):
+    """The most active symbols in the order of their own score and their activation; some symbols have no score."""
+    scores = read_table(spark, sf, "part").where("p_size % 3 > 0").select((-F.col("p_partkey") - 1).alias("node"), ((F.col("p_size") % 10).cast("double") / 10).alias("score"))
+    return G.activated(spread_activation(spark, sf), scores, 50)
+
+
 @query("innermost_span", "WITH s AS (SELECT conv_id AS file, min(turn) AS start, max(turn) AS \"end\", 'c' || conv_id AS span FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, turn, turn + 1, 'u' || conv_id || '_' || turn FROM conversations WHERE role = 'user') SELECT c.conv_id || ':' || c.turn AS point, arg_max(s.span, (s.start, -s.\"end\", s.span)) AS span FROM conversations c JOIN s ON s.file = c.conv_id AND c.turn BETWEEN s.start AND s.\"end\" GROUP BY 1")
 def innermost_span(spark, sf):
     c = read_table(spark, sf, "conversations")
