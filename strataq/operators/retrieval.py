@@ -76,6 +76,21 @@ def knn(queries: DataFrame, base: DataFrame, k: int, least: float | None = None,
     return top_k(vector_scores(queries, base, least, same), k)
 
 
+def fan_out(queries: DataFrame, stores: dict[str, DataFrame], k: int, least: float = 0.59, same: Column | None = None, places: int = 6) -> DataFrame:
+    """(query, store, id, score, place): the best ``k`` over all stores of (id, vec, ...) for (query, vec, ...).
+
+    Every store gives up to 2 * k hits from ``least`` on, by cosines rounded to ``places``; an id in several stores counts where it scores
+    best, ties to the store's name. ``same`` restricts pairs, as a filter on an agent does.
+    """
+    lanes = None
+    for name, base in sorted(stores.items()):
+        scored = vector_scores(queries, base, least - 0.5 * 10.0**-places, same).withColumn("score", F.round("score", places)).where(F.col("score") >= least)
+        lane = top_k(scored.select("query", "id", "score"), 2 * k).select("query", F.lit(name).alias("store"), "id", "score")
+        lanes = lane if lanes is None else lanes.unionByName(lane)
+    place = F.row_number().over(Window.partitionBy("query", "id").orderBy(F.desc("score"), "store"))
+    return top_k(lanes.withColumn("_n", place).where("_n = 1").drop("_n"), k).select("query", "store", "id", "score", "place")
+
+
 def vector_cells(base: DataFrame, cells: int = 64) -> tuple[DataFrame, list[list[float]]]:
     """An index for approximate search: (id, u, cell) of every vector of (id, vec) at length 1, and the points that cells lie around.
 

@@ -105,6 +105,19 @@ def knn_filtered(spark, sf):
     return R.top_k(_rounded(pairs).drop("place"), 10).select("query", "id", "score", "place")
 
 
+@query(
+    "session_fan_out",
+    f"""WITH {_KNN_SQL}, t AS (SELECT query, CASE id % 3 WHEN 0 THEN 'memory' WHEN 1 THEN 'sessions' ELSE 'archive' END AS store, id, score FROM s WHERE score >= 0.15 AND q_label % 2 = label % 2),
+    u AS (SELECT query, store, id, score FROM t UNION ALL SELECT query, 'pinned', id, score FROM t WHERE id % 10 = 0), l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, store ORDER BY score DESC, id) <= 12),
+    one AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY score DESC, store) = 1) SELECT * FROM (SELECT query, store, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM one) WHERE place <= 6""",
+)
+def session_fan_out(spark, sf):
+    """Four stores, of which one holds rows of the others, for rows of the asking agent's kind."""
+    base = _base(spark, sf)
+    stores = {name: base.where(F.col("id") % 3 == k) for k, name in enumerate(("memory", "sessions", "archive"))} | {"pinned": base.where(F.col("id") % 10 == 0)}
+    return R.fan_out(_vector_queries(spark, sf), stores, 6, 0.15, F.col("label") % 2 == F.col("q_label") % 2)
+
+
 @query("relevance_gate", f"WITH {_KNN_SQL} SELECT query, count(*) AS n, sum((score >= 0.59 AND place <= 12)::INT)::BIGINT AS kept FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) GROUP BY 1")
 def relevance_gate(spark, sf):
     return R.gate(_rounded(R.vector_scores(_vector_queries(spark, sf), _base(spark, sf))).select("query", "id", "score"))
