@@ -5,9 +5,9 @@ SHARD words with a dictionary, the Burrows-Wheeler transform of the word ids and
 ids, sorted by the first DEPTH words, which is as deep as phrases are asked for. The texts are not
 read again. A phrase is an interval in both transforms; all intervals of a level are extended by a word to the left or
 to the right at once, which keeps both intervals in step, and an interval's size is the phrase's count in the
-shard. Counts are summed up across shards level by level: words, pairs and triples as 64-bit hashes, of which those that reach the
-least count set bits in a bitmap; a phrase is extended only if both phrases that it is made of have their bit.
-Equal hashes can only let more phrases through. The last pass writes the phrases that are left with their words,
+shard. Counts are summed up across shards level by level: words, pairs and triples by cells of their hash, of which those that
+reach the least count set bits in a bitmap; a phrase is extended only if both phrases that it is made of have their bit.
+Phrases that share a cell can only let more through. The last pass writes the phrases that are left with their words,
 whose exact sums give counts, extensions and scores.
 
 A document is in one shard, a shard is bounded, and a shard is a row of a table: a lost executor costs the
@@ -17,6 +17,7 @@ shards of its tasks. Frequent words and hot languages are summed up in their sha
 from __future__ import annotations
 
 import contextlib
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -32,14 +33,17 @@ from strataq.llm.shingles import mix, ragged
 from strataq.storage import kept, materialize, read_table, scratch
 
 DEPTH = 4
-#: Words a shard holds before it is indexed: a row of about 3 MB; rows of a transform that are extended at a time.
-SHARD, BLOCK = 1 << 18, 1 << 17
+#: Words a shard holds before it is indexed: a row of about 1 MB; rows of a transform that are extended at a time.
+SHARD, BLOCK = 1 << 17, 1 << 16
 #: Bytes of texts or shards that a task gets at a time.
 BATCH_BYTES = "8m"
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 #: Each level's bitmap of hashes has 2**FILTER_BITS bits: 8 MB when sent to the tasks, whatever the input. When it is full, more phrases are counted, and the result is the same.
-FILTER_BITS = 26
+#: Counts of its cells move in blocks of 2**16, and those of some tasks are summed up together first.
+FILTER_BITS, PARTS = 26, 16
+#: Cells a task holds before it sums them up.
+HELD = 1 << 21
 #: The language of documents without one.
 UNKNOWN = "und"
 # What ends a piece, and what else parts words.
@@ -182,6 +186,15 @@ class FMIndex:
             yield p
 
 
+def _stored(ids: np.ndarray) -> bytes:
+    """Ids byte by byte of their places, compressed: the upper bytes are mostly equal."""
+    return zlib.compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _loaded(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
     return np.array([0] + [xxhash.xxh64_intdigest(w, seed) for w in words[1:]], np.uint64)
@@ -203,7 +216,7 @@ def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         def done(lang: str) -> pa.RecordBatch:
             w = open_.pop(lang)
             names, ids = list(w.number), np.frombuffer(w.ids, np.int32)
-            data = [[lang], [int((ids > 0).sum())], [b"\n".join(names[1:])], [transform(ids).tobytes()], [transform(ids[::-1]).tobytes()]]
+            data = [[lang], [int((ids > 0).sum())], [b"\n".join(names[1:])], [_stored(transform(ids))], [_stored(transform(ids[::-1]))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, [pa.string(), pa.int64()] + [pa.binary()] * 3)], names=["lang", "n_words", "words", "forward", "backward"])
 
         held = 0
@@ -231,7 +244,7 @@ def _each_index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
     for batch in batches:
         for k in range(batch.num_rows):
             lang, words = batch.column("lang")[k].as_py(), [b"", *batch.column("words")[k].as_py().split(b"\n")]
-            yield lang, words, FMIndex(_hashes(lang, words), *(np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("forward", "backward")))
+            yield lang, words, FMIndex(_hashes(lang, words), *(_loaded(batch.column(c)[k].as_buffer()) for c in ("forward", "backward")))
 
 
 @contextlib.contextmanager
@@ -247,7 +260,7 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def _cells(hashes: np.ndarray, level: int) -> np.ndarray:
-    return mix(hashes + np.uint64(level))
+    return (mix(hashes + np.uint64(level)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def _filter_of(bitmaps):
@@ -257,17 +270,72 @@ def _filter_of(bitmaps):
         bits = bitmaps.value.get(level)
         if bits is None:
             return np.ones(len(hashes), bool)
-        cell = (_cells(hashes, level) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        cell = _cells(hashes, level)
         return bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1) == 1
 
     return passes
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """The hashes ``h`` of a table as 2**FILTER_BITS bits in words of 64; at most 2**(FILTER_BITS - 6) rows reach the driver."""
-    cell = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))
-    rows = frequent.groupBy(F.call_function("shiftright", cell, F.lit(6)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+class _Counts:
+    """Counts by cell, none above ``most``, which is as far as they matter; as sorted cells with their counts."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.held = most, [], 0
+
+    def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((cells.astype(np.uint32), np.minimum(counts, self.most).astype(np.uint32)))
+        self.held += len(cells)
+        if self.held > HELD:
+            self.parts = [self.summed()]
+            self.held = len(self.parts[0][0]) // 2
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        cells, counts = map(np.concatenate, zip(*self.parts))
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        return cells[first], np.minimum(np.add.reduceat(counts, first), self.most).astype(np.uint32) if len(first) else counts
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        cells, counts = self.summed()
+        block = cells >> np.uint32(16)
+        for k in np.unique(block).tolist():
+            own = slice(*np.searchsorted(block, [k, k + 1]).tolist())
+            low = (cells[own] & np.uint32(0xFFFF)).astype("<u2")
+            low[1:] = np.diff(low)
+            data = zlib.compress(low.tobytes() + counts[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([data])], names=["block", "cells"])
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> _Counts:
+        for batch in batches:
+            for k, data in zip(batch.column("block").to_pylist(), batch.column("cells")):
+                raw = zlib.decompress(data.as_buffer())
+                n = len(raw) // 6
+                low = np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64))
+                counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 2 * n).reshape(4, -1).T).view("<u4").ravel()
+                self.add(low + (k << 16), counts)
+        return self
+
+
+def _bitmap(counted: DataFrame, least: int) -> np.ndarray:
+    """The cells of counts (block, cells) that reach ``least``, as 2**FILTER_BITS bits in words of 64; at most 2**(FILTER_BITS - 6) rows reach the driver."""
+
+    def add(batches):
+        yield from _Counts(least).read(batches).blocks()
+
+    def mark(batches):
+        cells, counts = _Counts(least).read(batches).summed()
+        cells = cells[counts >= least].astype(np.int64)
+        word, first = np.unique(cells >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+        for at in range(0, len(word), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(word[at : at + _ROWS]), pa.array(bits[at : at + _ROWS].view(np.int64))], names=["word", "bits"])
+
+    shape = "block bigint, cells binary"
+    some = counted.withColumn("part", F.spark_partition_id() % PARTS).repartition("block", "part").select("block", "cells").mapInArrow(add, shape)
+    rows = some.repartition("block").mapInArrow(mark, "word bigint, bits bigint").toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
@@ -297,16 +365,19 @@ def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words:
         sent = spark.sparkContext.broadcast(dict(bitmaps))
 
         def count(batches):
+            counts = _Counts(min_count)
             for _, _, index in _each_index(batches):
                 for m, p in enumerate(index.levels(level, _filter_of(sent)), 1):
-                    for at in range(0, len(p) if m == level else 0, _ROWS):
-                        own = slice(at, at + _ROWS)
-                        yield pa.RecordBatch.from_arrays([pa.array(_cells(p.whole[own], level).view(np.int64)), pa.array(p.count[own])], names=["h", "n"])
+                    if m == level:
+                        counts.add(_cells(p.whole, level), p.count)
+            yield from counts.blocks()
 
-        return shards.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        return shards.mapInArrow(count, "block bigint, cells binary")
 
     for level in range(1, max_words):
-        bitmaps[level] = _bitmap(hashed(level))
+        bitmaps[level] = _bitmap(hashed(level), min_count)
+        # Shuffle files of a level go when the JVM collects its plan.
+        spark._jvm.System.gc()
     sent = spark.sparkContext.broadcast(dict(bitmaps))
 
     def spell(batches):

@@ -95,3 +95,19 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     whole = [w for part in C.words_of(text) for w in part]
     monkeypatch.setattr(C, "SLICE", 7)
     assert [w for part in C.words_of(text) for w in part] == whole == [b"ab", b"c", b"\n", b"d", b"e", b"\n", b"f"] * 50
+
+
+def test_counts_of_cells_survive_their_coding(monkeypatch):
+    monkeypatch.setattr(C, "HELD", 100)
+    rng = np.random.default_rng(4)
+    want, parts = Counter(), []
+    for _ in range(5):
+        counts = C._Counts(300)
+        for _ in range(6):
+            cells = np.unique(rng.integers(0, 1 << 18, 60) * rng.integers(0, 200, 60) % (1 << C.FILTER_BITS))
+            n = rng.integers(1, 200, len(cells))
+            counts.add(cells, n)
+            want.update(dict(zip(cells.tolist(), n.tolist())))
+        parts += list(counts.blocks())
+    cells, n = C._Counts(300).read(iter(parts)).summed()
+    assert dict(zip(cells.tolist(), n.tolist())) == {k: min(v, 300) for k, v in want.items()}
