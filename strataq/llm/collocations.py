@@ -5,7 +5,7 @@ SHARD words with a dictionary, the Burrows-Wheeler transform of the word ids and
 ids, sorted by the first DEPTH words, which is as deep as phrases are asked for. The texts are not
 read again. A phrase is an interval in both transforms; all intervals of a level are extended by a word to the left or
 to the right at once, which keeps both intervals in step, and an interval's size is the phrase's count in the
-shard. Counts are summed up across shards level by level: words, pairs and triples by cells of their hash, of which those that
+shard. Counts are summed up across shards level by level, by cells of a hash, of which those that
 reach the least count set bits in a bitmap; a phrase is extended only if both phrases that it is made of have their bit.
 Phrases that share a cell can only let more through. The last pass writes the phrases that are left with their words,
 whose exact sums give counts, extensions and scores.
@@ -374,7 +374,7 @@ def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words:
 
         return shards.mapInArrow(count, "block bigint, cells binary")
 
-    for level in range(1, max_words):
+    for level in range(1, max_words + 1):
         bitmaps[level] = _bitmap(hashed(level), min_count)
         # Shuffle files of a level go when the JVM collects its plan.
         spark._jvm.System.gc()
@@ -387,9 +387,14 @@ def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words:
                 for at in range(0, len(p), _ROWS):
                     ids, k = p.words[at : at + _ROWS], len(p.lo[at : at + _ROWS])
                     phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[:, i])) for i in range(m)), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), phrase, pa.array([m] * k, pa.int32()), pa.array(p.count[at : at + _ROWS])], names=["lang", "phrase", "size", "f"])
-
-    counted = shards.mapInArrow(spell, "lang string, phrase string, size int, f bigint").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+                    # One short string moves per phrase: its language, a line end, which no word holds, and its words.
+                    key = pc.binary_join_element_wise(pa.array([lang] * k, pa.string()), phrase, "\n")
+                    yield pa.RecordBatch.from_arrays([key, pa.array(p.count[at : at + _ROWS])], names=["key", "f"])
+
+    counted = shards.mapInArrow(spell, "key string, f bigint").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    counted = counted.select("f", F.substring_index("key", "\n", -1).alias("phrase"), "key").select(
+        F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), "phrase", F.size(F.split("phrase", " ", -1)).alias("size"), "f"
+    )
     counted = materialize(counted, "phrase-counts")
     words = F.split("phrase", " ", -1)
     without = lambda first: F.array_join(F.slice(words, F.lit(first), F.col("size") - 1), " ")
