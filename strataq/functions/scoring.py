@@ -34,9 +34,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; a zero vector as it is."""
-    n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))
+    """The vector at length 1; a zero vector as it is. Its length is taken once: within the inner function it would be for every element."""
+    return F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x)))[0]
 
 
 def _common(a: Column, b: Column) -> Column:

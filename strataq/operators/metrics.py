@@ -40,9 +40,21 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
     Queries without relevant items have none to find and are left out; without a hit all three are 0.
     """
-    size = relevant.groupBy("query").agg(F.count("*").alias("n"))
-    hit = ranked.where(F.col("place") <= k).join(relevant, ["query", "id"]).groupBy("query").agg(F.count("*").alias("hits"), F.sum(1 / LOG2(F.col("place"))).alias("dcg"))
-    first = ranked.join(relevant, ["query", "id"]).groupBy("query").agg(F.min("place").alias("first"))
+    return _rank_metrics(relevant.groupBy("query").agg(F.count("*").alias("n")), ranked.join(relevant, ["query", "id"]), k)
+
+
+def rank_metrics_by_label(ranked: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """As ``rank_metrics``, where all of ``base`` (id, label) of a query's label are relevant to (query, label), itself left out."""
+    held = base.groupBy("label").agg(F.count("*").alias("held"))
+    own = base.withColumnRenamed("id", "query").groupBy("query", "label").agg(F.count("*").alias("own"))
+    size = queries.join(held, "label").join(own, ["query", "label"], "left").select("query", (F.col("held") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    return _rank_metrics(size, ranked.where("query <> id").join(base, "id").join(queries, ["query", "label"]), k)
+
+
+def _rank_metrics(size: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Of (query, n), the number of relevant items, and the ranked ones that are relevant (query, place)."""
+    hit = found.where(F.col("place") <= k).groupBy("query").agg(F.count("*").alias("hits"), F.sum(1 / LOG2(F.col("place"))).alias("dcg"))
+    first = found.groupBy("query").agg(F.min("place").alias("first"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / LOG2(i))
     all_ = size.join(hit, "query", "left").join(first, "query", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -35,9 +35,9 @@ def recorded(store: DataFrame, new: DataFrame) -> DataFrame:
     return out.select("signature", "s.kind", "b.verdict_type", "b.decision", "b.confidence", "b.rationale", "occurrences", "first_seen", "last_seen", "s.excerpt")
 
 
-def recalled(queries: DataFrame, store: DataFrame, kind: str, k: int) -> DataFrame:
+def recalled(queries: DataFrame, store: DataFrame, kind: str, k: int, places: int | None = None) -> DataFrame:
     """(query, id, score, place): the nearest verdicts (id, kind, vec) of a kind to a query set (query, vec)."""
-    return retrieval.knn(queries, store.where(F.col("kind") == kind).select("id", "vec"), k)
+    return retrieval.knn(queries, store.where(F.col("kind") == kind).select("id", "vec"), k, places=places)
 
 
 def verdict_counts(store: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _dense(spark, sf, least=None, claims=True):
     q = v.where("vec_id % 50 = 0")
     if claims:
         q = q.join(T.claims(spark, sf).select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return _rounded(R.vector_scores(q.select(F.col("vec_id").alias("query"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), least))
+    return R.vector_scores(q.select(F.col("vec_id").alias("query"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), least, places=6)
 
 
 def _bm25(spark, sf):

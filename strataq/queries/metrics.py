@@ -11,17 +11,14 @@ from strataq.operators import retrieval as R
 from strataq.plans import tables as T
 from strataq.plans.tables import VECTORS_SQL
 from strataq.queries.base import query
-from strataq.queries.retrieval import _KNN_SQL, _base, _rounded, _vector_queries
+from strataq.queries.retrieval import _KNN_SQL, _base, _vector_queries
 from strataq.storage import read_table
 
 
-def _ranked(spark, sf, k=20):
-    return R.top_k(_rounded(R.knn(_vector_queries(spark, sf), _base(spark, sf), k + 20)).drop("place"), k).select("query", "id", "place")
-
-
-def _relevant(spark, sf):
-    q = _vector_queries(spark, sf).select("query", "q_label")
-    return T.vectors(spark, sf).join(q, F.col("label") == F.col("q_label")).where("vec_id <> query").select("query", F.col("vec_id").alias("id"))
+def _rank_metrics(spark, sf):
+    """Relevant to a query are all other vectors of its label: they are counted by label, and never listed."""
+    ranked = R.knn(_vector_queries(spark, sf), _base(spark, sf), 20, places=6).select("query", "id", "place")
+    return M.rank_metrics_by_label(ranked, _vector_queries(spark, sf).select("query", F.col("q_label").alias("label")), _base(spark, sf).select("id", "label"), 10)
 
 
 _METRICS_SQL = f"""{_KNN_SQL}, ranked AS (SELECT query, id, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) WHERE place <= 20), rel AS (SELECT query, id FROM s WHERE label = q_label),
@@ -32,12 +29,12 @@ _METRICS_SQL = f"""{_KNN_SQL}, ranked AS (SELECT query, id, place FROM (SELECT *
 @query("rank_metrics", f"WITH {_METRICS_SQL} SELECT query, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM m")
 def rank_metrics(spark, sf):
     r = lambda c: F.round(c, 6).alias(c)
-    return M.rank_metrics(_ranked(spark, sf), _relevant(spark, sf), 10).select("query", r("recall"), r("mrr"), r("ndcg"))
+    return _rank_metrics(spark, sf).select("query", r("recall"), r("mrr"), r("ndcg"))
 
 
 @query("flip_gate", f"WITH {_METRICS_SQL}, a AS (SELECT round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM m), b AS (SELECT recall * 1.05::DOUBLE AS recall, mrr AS mrr, ndcg * 1.05::DOUBLE AS ndcg FROM a), x AS (SELECT (b.ndcg - a.ndcg) / a.ndcg AS rel, b.recall - a.recall < -0.01 OR b.mrr - a.mrr < -0.01 AS worse FROM a, b) SELECT round(rel, 4) AS relative_gain, worse AS regressed, rel >= 0.02 AND NOT worse AS flip FROM x")
 def flip_gate(spark, sf):
-    base = M.mean_metrics(M.rank_metrics(_ranked(spark, sf), _relevant(spark, sf), 10))
+    base = M.mean_metrics(_rank_metrics(spark, sf))
     better = base.select((F.col("recall") * 1.05).alias("recall"), "mrr", (F.col("ndcg") * 1.05).alias("ndcg"))
     return M.flip_gate(base, better)
 
@@ -103,7 +100,7 @@ def sft_pairs(spark, sf):
 
 @query("critic_decisions", f"WITH {_KNN_SQL}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) WHERE place <= 5) SELECT query, round(max(score), 6) AS top, round(avg(score), 6) AS mean, max(score) >= 0.5 AND avg(score) >= 0.45 AS accept FROM h GROUP BY 1")
 def critic_decisions(spark, sf):
-    hits = R.top_k(_rounded(R.knn(_vector_queries(spark, sf), _base(spark, sf), 25)).drop("place"), 5)
+    hits = R.knn(_vector_queries(spark, sf), _base(spark, sf), 5, places=6)
     lists = hits.groupBy("query").agg(S.critic_features(F.array_sort(F.collect_list("score")), F.lit("")).alias("f"))
     return lists.select("query", F.round(F.col("f")[0], 6).alias("top"), F.round(F.col("f")[1], 6).alias("mean"), S.critic_accepts(F.col("f")).alias("accept"))
 
