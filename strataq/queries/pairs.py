@@ -70,9 +70,7 @@ def winner_takes_all(spark, sf):
 
 @query("skill_shadow_pairs", f"WITH {VECTORS_SQL} SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.3 AND a.label = b.label")
 def skill_shadow_pairs(spark, sf):
-    v = T.vectors(spark, sf)
-    label = lambda k: v.select(F.col("vec_id").alias(k), F.col("label").alias(f"{k}_label"))
-    return P.similar_vectors(v, 0.3).join(label("a"), "a").join(label("b"), "b").where("a_label = b_label").select("a", "b")
+    return P.similar_vectors(T.vectors(spark, sf), 0.3, same="label").select("a", "b")
 
 
 @query(
