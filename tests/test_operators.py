@@ -216,3 +216,31 @@ def test_reflection_stream_suppresses_what_it_knows(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("".join(f'{{"line": "job {i} failed", "seq": {i}}}\n' for i in range(2)))
     state.reflect(spark, str(tmp_path / "in"), "line string, seq long", str(tmp_path / "out"), str(tmp_path / "cp"), files=1).awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 2]
+
+
+def test_what_is_referred_to_together_is_dealt_out_by_its_number(spark, monkeypatch):
+    from strataq.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRED", 20)
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.randrange(12), rng.randrange(3)) for _ in range(500)]
+    refs = spark.createDataFrame(rows, "finding long, symbol long, investigation long")
+    symbols = spark.createDataFrame([(i,) for i in (*range(9), 3)], "symbol long")
+    held = {}
+    for f, s, _ in rows:
+        held.setdefault(f, set()).add(s)
+    shared = {}
+    for s in held.values():
+        for a in s:
+            for b in s - {a}:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    want = []
+    for a in range(9):
+        best = sorted((-n, b) for (x, b), n in shared.items() if x == a)[:4]
+        want += [(a, b, -n, k + 1) for k, (n, b) in enumerate(best)]
+    found = graph.co_referenced(refs, symbols, 4)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    n = -(-sum(map(len, held.values())) // 20)
+    assert n > 10 and f", {2 * n})" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["symbol"]: r["co_referenced"] for r in graph.impact(refs, symbols).collect()}
+    assert got == {a: len({b for x, b in shared if x == a}) for a in range(9)}
