@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import scoring as S
 from strataq.operators.folds import is_garbage_fact, latest_rows
-from strataq.operators.pairs import overlap_pairs
+from strataq.operators.pairs import sharing
 
 
 def decayed(found: DataFrame, now: int, floor: float = 0.05) -> DataFrame:
@@ -51,7 +51,7 @@ def penalised(memories: DataFrame, fails: DataFrame, factor: float = 0.85, floor
     same = memories.join(sessions, "session_id", "left_semi").select("id")
     rest = memories.join(same, "id", "left_anti")
     sets = lambda df, key: df.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.lower("content"), "[ \\t\\n]+"), lambda w: w != "")).alias("tokens"))
-    shared = overlap_pairs(sets(rest, "id"), sets(fails, "fail_id"), words).select(F.col("l").alias("id")).distinct()
+    shared = sharing(sets(rest, "id"), sets(fails, "fail_id"), words)
     hit = same.union(shared).select("id", F.lit(True).alias("_hit"))
     out = memories.join(hit, "id", "left")
     return out.withColumn("importance", F.when(F.col("_hit"), F.greatest(F.lit(floor), F.col("importance") * factor)).otherwise(F.col("importance"))).drop("_hit")
