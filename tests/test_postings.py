@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataq.operators import postings
@@ -59,3 +60,27 @@ def test_an_empty_index(spark, tmp_path):
     assert index.search(queries(spark), 3).collect() == []
     index.append(texts(spark, 3, range(2)).limit(0))
     assert index.search(queries(spark), 3).collect() == []
+
+
+def test_words_are_counted_where_they_lie(spark, tmp_path):
+    """No words are shuffled to be counted, one token is in a range once, and ranges go on from batch to batch."""
+    docs = texts(spark, 5, range(0, 700)).unionByName(spark.createDataFrame([(2000, ["w1", None, "w1"])], "id long, words array<string>"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    made, append = [], postings.VersionedTable.append
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(postings, "AT_ONCE", 500)
+            m.setattr(postings.VersionedTable, "append", lambda self, rows: (made.append(rows), append(self, rows))[1])
+            index = postings.InvertedIndex(spark, f"file://{tmp_path}/index")
+            index.append(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate(keys=[token" not in plan
+    rows = index.table.read().where("token <> ''").collect()
+    assert len(rows) == len({(r["token"], r["range"]) for r in rows})
+    assert max(r["n"] for r in rows) <= postings.RANGE and all(r["n"] == len(r["texts"]) and [x["id"] for x in r["texts"]] == sorted(x["id"] for x in r["texts"]) for r in rows)
+    want = docs.select("id", F.size("words").alias("length"), F.explode("words").alias("token")).where("token IS NOT NULL").groupBy("token", "id", "length").count().collect()
+    assert sorted((r["token"], x["id"], x["length"], x["tf"]) for r in rows for x in r["texts"]) == sorted((r["token"], r["id"], r["length"], r["count"]) for r in want)
+    assert held(index.search(queries(spark), 6)) == exact(spark, docs, 6)
