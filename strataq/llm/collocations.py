@@ -7,8 +7,8 @@ read again. A phrase is an interval in both transforms; all intervals of a level
 to the right at once, which keeps both intervals in step, and an interval's size is the phrase's count in the
 shard. Counts are summed up across shards level by level, by cells of a hash, of which those that
 reach the least count set bits in a bitmap; a phrase is extended only if both phrases that it is made of have their bit.
-Phrases that share a cell can only let more through. The last pass writes the phrases that are left with their words,
-whose exact sums give counts, extensions and scores.
+Phrases that share a cell can only let more through. The last pass spells the phrases that are left; they are summed up
+in their task, and move in sorted and compressed blocks by their first two words. Their exact sums give counts, extensions and scores.
 
 A document is in one shard, a shard is bounded, and a shard is a row of a table: a lost executor costs the
 shards of its tasks. Frequent words and hot languages are summed up in their shards first.
@@ -17,7 +17,6 @@ shards of its tasks. Frequent words and hot languages are summed up in their sha
 from __future__ import annotations
 
 import contextlib
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -42,8 +41,10 @@ SLICE = 1 << 20
 #: Each level's bitmap of hashes has 2**FILTER_BITS bits: 8 MB when sent to the tasks, whatever the input. When it is full, more phrases are counted, and the result is the same.
 #: Counts of its cells move in blocks of 2**16, and those of some tasks are summed up together first.
 FILTER_BITS, PARTS = 26, 16
-#: Cells a task holds before it sums them up.
-HELD = 1 << 21
+#: Cells, or phrases with their words, a task holds before it sums them up; if half as many cells or as many phrases are left, they move.
+HELD, SPELLED = 1 << 21, 1 << 20
+#: Spelled phrases move by a hash in this many buckets at least and at most; between them one per so many shards.
+BUCKETS, MOST_BUCKETS, BUCKET_SHARDS = 64, 1 << 12, 32
 #: The language of documents without one.
 UNKNOWN = "und"
 # What ends a piece, and what else parts words.
@@ -96,7 +97,7 @@ def transform(ids: np.ndarray) -> np.ndarray:
 
 def last_to_first(bwt: np.ndarray) -> np.ndarray:
     """For each row the row that begins with its last id."""
-    order = np.argsort(bwt, kind="stable")
+    order = np.sort(bwt.astype(np.int64) << 32 | np.arange(len(bwt))) & 0xFFFFFFFF
     out = np.empty(len(bwt), np.int32)
     out[order] = np.arange(len(bwt), dtype=np.int32)
     return out
@@ -154,9 +155,10 @@ class FMIndex:
         lo, other = (p.lo, p.back) if left else (p.back, p.lo)
         rows = ragged(lo, p.count)
         parent = np.repeat(np.arange(len(p)), p.count)
-        key = parent * len(self.counts) + bwt[rows]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        # The place is the low end of what is sorted: that is stable, and faster than argsort. Below BLOCK rows, or with one parent, it fits.
+        low = len(rows).bit_length()
+        key = np.sort((parent * len(self.counts) + bwt[rows]) << low | np.arange(len(rows)))
+        order, key = key & ((1 << low) - 1), key >> low
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
         parent, word = key[first] // len(self.counts), key[first] % len(self.counts)
@@ -186,18 +188,45 @@ class FMIndex:
             yield p
 
 
-def _stored(ids: np.ndarray) -> bytes:
-    """Ids byte by byte of their places, compressed: the upper bytes are mostly equal."""
-    return zlib.compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _packed(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays and bytes one after another, compressed behind their length; arrays byte by byte of their places, as the upper bytes are mostly equal."""
+    data = b"".join(p if isinstance(p, bytes) else p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() for p in parts)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
-def _loaded(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _unpacked(data: pa.Buffer) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little"), asbytes=True)
 
 
-def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.array([0] + [xxhash.xxh64_intdigest(w, seed) for w in words[1:]], np.uint64)
+def _array(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    """The n numbers of a kind whose bytes ``_packed`` put at a place."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, -1).T).view(kind).ravel()
+
+
+def _loaded(data: pa.Buffer) -> np.ndarray:
+    raw = _unpacked(data)
+    return _array(raw, "<i4", len(raw) // 4)
+
+
+def _dictionary(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, and where each begins and the last ends; the first is the empty one of id 0."""
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    starts = ends - np.arange(len(ends)) if len(data) else np.zeros(0, np.int64)
+    return data[data != 10], np.concatenate([[0, 0], starts])
+
+
+def _hashes(lang: str, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the language and each word's bytes, 0 for the empty word."""
+    size = np.diff(starts)
+    place = np.arange(len(data)) - np.repeat(starts[:-1], size)
+    out = np.zeros(len(size), np.uint64)
+    if len(data):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(size.max(), _BASE))
+            out[1:] = mix(np.add.reduceat((data + np.uint64(1)) * power[place], starts[1:-1]) + np.uint64(xxhash.xxh64_intdigest(lang.encode())))
+    return out
 
 
 _SHARDS = "lang string, n_words bigint, words binary, forward binary, backward binary"
@@ -216,7 +245,7 @@ def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         def done(lang: str) -> pa.RecordBatch:
             w = open_.pop(lang)
             names, ids = list(w.number), np.frombuffer(w.ids, np.int32)
-            data = [[lang], [int((ids > 0).sum())], [b"\n".join(names[1:])], [_stored(transform(ids))], [_stored(transform(ids[::-1]))]]
+            data = [[lang], [int((ids > 0).sum())], [_packed(b"\n".join(names[1:]))], [_packed(transform(ids))], [_packed(transform(ids[::-1]))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, [pa.string(), pa.int64()] + [pa.binary()] * 3)], names=["lang", "n_words", "words", "forward", "backward"])
 
         held = 0
@@ -240,11 +269,13 @@ def index_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return materialize(read.mapInArrow(build, _SHARDS), "phrase-shards")
 
 
-def _each_index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], FMIndex]]:
+def _each_index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.StringArray, FMIndex]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            lang, words = batch.column("lang")[k].as_py(), [b"", *batch.column("words")[k].as_py().split(b"\n")]
-            yield lang, words, FMIndex(_hashes(lang, words), *(_loaded(batch.column(c)[k].as_buffer()) for c in ("forward", "backward")))
+            lang = batch.column("lang")[k].as_py()
+            data, starts = _dictionary(_unpacked(batch.column("words")[k].as_buffer()))
+            words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data))
+            yield lang, words, FMIndex(_hashes(lang, data, starts), *(_loaded(batch.column(c)[k].as_buffer()) for c in ("forward", "backward")))
 
 
 @contextlib.contextmanager
@@ -276,49 +307,95 @@ def _filter_of(bitmaps):
     return passes
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The values of a sorted array, each with where it begins and ends."""
+    values, first = np.unique(x, return_index=True)
+    return zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(x)])
+
+
 class _Counts:
     """Counts by cell, none above ``most``, which is as far as they matter; as sorted cells with their counts."""
 
     def __init__(self, most: int):
-        self.most, self.parts, self.held = most, [], 0
+        # A cell and its count are one number, which sorts fast.
+        self.most, self.parts, self.held, self.distinct = most, [], 0, 0
 
     def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((cells.astype(np.uint32), np.minimum(counts, self.most).astype(np.uint32)))
+        self.parts.append(cells.astype(np.uint64) << np.uint64(32) | np.minimum(counts, self.most).astype(np.uint64))
         self.held += len(cells)
-        if self.held > HELD:
-            self.parts = [self.summed()]
-            self.held = len(self.parts[0][0]) // 2
+        # At least as many are new as were left the last time, so that each is sorted a few times at most.
+        if self.held > max(HELD, 2 * self.distinct):
+            cells, counts = self.summed()
+            self.parts = [cells.astype(np.uint64) << np.uint64(32) | counts]
+            self.held = self.distinct = len(cells)
+
+    def full(self) -> bool:
+        return self.distinct > HELD // 2
 
     def summed(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        cells, counts = map(np.concatenate, zip(*self.parts))
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order]
+        both = np.sort(np.concatenate([np.zeros(0, np.uint64), *self.parts]))
+        cells, counts = (both >> np.uint64(32)).astype(np.uint32), both & np.uint64(0xFFFFFFFF)
         first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
-        return cells[first], np.minimum(np.add.reduceat(counts, first), self.most).astype(np.uint32) if len(first) else counts
+        return cells[first], np.minimum(np.add.reduceat(counts, first), self.most).astype(np.uint32) if len(first) else counts.astype(np.uint32)
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
         cells, counts = self.summed()
-        block = cells >> np.uint32(16)
-        for k in np.unique(block).tolist():
-            own = slice(*np.searchsorted(block, [k, k + 1]).tolist())
+        for k, at, to in _runs(cells >> np.uint32(16)):
+            own = slice(at, to)
             low = (cells[own] & np.uint32(0xFFFF)).astype("<u2")
             low[1:] = np.diff(low)
-            data = zlib.compress(low.tobytes() + counts[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([data])], names=["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_packed(low.tobytes(), counts[own].astype("<u4"))])], names=["block", "cells"])
 
     def read(self, batches: Iterator[pa.RecordBatch]) -> _Counts:
         for batch in batches:
             for k, data in zip(batch.column("block").to_pylist(), batch.column("cells")):
-                raw = zlib.decompress(data.as_buffer())
+                raw = _unpacked(data.as_buffer())
                 n = len(raw) // 6
                 low = np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64))
-                counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 2 * n).reshape(4, -1).T).view("<u4").ravel()
-                self.add(low + (k << 16), counts)
+                self.add(low + (k << 16), _array(raw, "<u4", n, 2 * n))
         return self
 
 
+class _Spelled:
+    """Exact counts of phrases with their words, in buckets; as blocks of sorted keys with their counts."""
+
+    shape = pa.schema([("bucket", pa.int64()), ("key", pa.large_string()), ("f", pa.int64())])
+
+    def __init__(self):
+        self.parts, self.held, self.distinct = [], 0, 0
+
+    def add(self, bucket: pa.Array, key: pa.Array, f: pa.Array) -> None:
+        self.parts.append(pa.table([bucket, key, f], schema=self.shape))
+        self.held += len(f)
+        if self.held > max(SPELLED, 2 * self.distinct):
+            self.parts = [self.summed()]
+            self.held = self.distinct = len(self.parts[0])
+
+    def full(self) -> bool:
+        return self.distinct > SPELLED
+
+    def summed(self) -> pa.Table:
+        rows = pa.concat_tables([self.shape.empty_table(), *self.parts]).group_by(["bucket", "key"], use_threads=False).aggregate([("f", "sum")])
+        return rows.rename_columns({"f_sum": "f"}).select(self.shape.names)
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        rows = self.summed()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("bucket", "ascending"), ("key", "ascending")])).combine_chunks()
+        bucket, f = rows["bucket"].to_numpy(), rows["f"].to_numpy().astype("<i8")
+        text = b"".join(x.buffers()[2].to_pybytes() for x in rows["key"].chunks if len(x))
+        size = pc.binary_length(rows["key"]).to_numpy().astype("<i8")
+        ends = np.concatenate([[0], np.cumsum(size)]).tolist()
+        for k, at, to in _runs(bucket):
+            data = _packed(f[at:to], size[at:to], text[ends[at] : ends[to]])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([data]), pa.array([to - at])], names=["bucket", "phrases", "n"])
+
+    def read(self, k: int, n: int, data: pa.Buffer) -> None:
+        raw = _unpacked(data)
+        ends = np.concatenate([[0], np.cumsum(_array(raw, "<i8", n, 8 * n))]).astype(np.int64)
+        key = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(raw[16 * n :]))
+        self.add(pa.array(np.full(n, k)), key, pa.array(_array(raw, "<i8", n)))
+
+
 def _bitmap(counted: DataFrame, least: int) -> np.ndarray:
     """The cells of counts (block, cells) that reach ``least``, as 2**FILTER_BITS bits in words of 64; at most 2**(FILTER_BITS - 6) rows reach the driver."""
 
@@ -370,6 +447,9 @@ def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words:
                 for m, p in enumerate(index.levels(level, _filter_of(sent)), 1):
                     if m == level:
                         counts.add(_cells(p.whole, level), p.count)
+                if counts.full():
+                    yield from counts.blocks()
+                    counts = _Counts(min_count)
             yield from counts.blocks()
 
         return shards.mapInArrow(count, "block bigint, cells binary")
@@ -380,18 +460,46 @@ def _phrase_counts(docs: DataFrame, max_words: int, min_count: int, shard_words:
         spark._jvm.System.gc()
     sent = spark.sparkContext.broadcast(dict(bitmaps))
 
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << (shards.count() // BUCKET_SHARDS).bit_length()))
+
     def spell(batches):
-        for lang, words, index in _each_index(batches):
-            names = pa.array([w.decode() for w in words])
+        spelled = _Spelled()
+        for lang, names, index in _each_index(batches):
             for m, p in enumerate(index.levels(max_words, _filter_of(sent)), 1):
+                with np.errstate(over="ignore"):
+                    # Phrases that begin alike lie together, which compresses well.
+                    start = index.hashes[p.words[:, 0]] * _BASE + (index.hashes[p.words[:, 1]] if m > 1 else np.uint64(0))
+                bucket = (mix(start) & np.uint64(buckets - 1)).astype(np.int64)
                 for at in range(0, len(p), _ROWS):
-                    ids, k = p.words[at : at + _ROWS], len(p.lo[at : at + _ROWS])
+                    ids = p.words[at : at + _ROWS]
                     phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[:, i])) for i in range(m)), " ")
-                    # One short string moves per phrase: its language, a line end, which no word holds, and its words.
-                    key = pc.binary_join_element_wise(pa.array([lang] * k, pa.string()), phrase, "\n")
-                    yield pa.RecordBatch.from_arrays([key, pa.array(p.count[at : at + _ROWS])], names=["key", "f"])
+                    # One string stands for a phrase: its language, a line end, which no word holds, and its words.
+                    key = pc.binary_join_element_wise(pa.scalar(lang), phrase, "\n")
+                    spelled.add(pa.array(bucket[at : at + _ROWS]), key.cast(pa.large_string()), pa.array(p.count[at : at + _ROWS]))
+            if spelled.full():
+                yield from spelled.blocks()
+                spelled = _Spelled()
+        yield from spelled.blocks()
+
+    def total(batches):
+        # Buckets come one after another: one is held at a time.
+        spelled, now = _Spelled(), None
+
+        def done():
+            rows = spelled.summed()
+            rows = rows.filter(pc.field("f") >= min_count).select(["key", "f"])
+            return rows.cast(pa.schema([("key", pa.string()), ("f", pa.int64())])).to_batches(_ROWS)
 
-    counted = shards.mapInArrow(spell, "key string, f bigint").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+        for batch in batches:
+            for k, data, n in zip(batch.column("bucket").to_pylist(), batch.column("phrases"), batch.column("n").to_pylist()):
+                if k != now:
+                    yield from done()
+                    spelled, now = _Spelled(), k
+                spelled.read(k, n, data.as_buffer())
+        yield from done()
+
+    moved = shards.mapInArrow(spell, "bucket bigint, phrases binary, n bigint").repartition("bucket").sortWithinPartitions("bucket")
+    counted = moved.mapInArrow(total, "key string, f bigint")
     counted = counted.select("f", F.substring_index("key", "\n", -1).alias("phrase"), "key").select(
         F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), "phrase", F.size(F.split("phrase", " ", -1)).alias("size"), "f"
     )

@@ -1,5 +1,6 @@
 """Phrases counted in FM-indexes of shards, against counting them one by one."""
 
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -111,3 +112,42 @@ def test_counts_of_cells_survive_their_coding(monkeypatch):
         parts += list(counts.blocks())
     cells, n = C._Counts(300).read(iter(parts)).summed()
     assert dict(zip(cells.tolist(), n.tolist())) == {k: min(v, 300) for k, v in want.items()}
+
+
+def test_spelled_phrases_move_in_small_blocks_and_keep_their_counts(monkeypatch):
+    monkeypatch.setattr(C, "SPELLED", 1000)
+    rng = np.random.default_rng(6)
+    want, blocks = Counter(), []
+    for _ in range(3):
+        spelled = C._Spelled()
+        for _ in range(4):
+            keys = sorted({"en\r\n" + " ".join(f"wörd{k}" for k in rng.integers(0, 12, rng.integers(1, 5))) for _ in range(900)})
+            f = rng.integers(1, 1 << 40, len(keys))
+            spelled.add(C.pa.array([zlib.crc32(k.split(" ")[0].encode()) % 4 for k in keys]), C.pa.array(keys, C.pa.large_string()), C.pa.array(f))
+            want.update(dict(zip(keys, f.tolist())))
+        blocks += list(spelled.blocks())
+    read = C._Spelled()
+    for b in blocks:
+        read.read(b["bucket"][0].as_py(), b["n"][0].as_py(), b["phrases"][0].as_buffer())
+    rows = read.summed()
+    assert dict(zip(rows["key"].to_pylist(), rows["f"].to_pylist())) == want
+    # A row with its words took 19 bytes and more in the shuffle.
+    assert sum(len(b["phrases"][0].as_py()) for b in blocks) < 16 * sum(b["n"][0].as_py() for b in blocks)
+    assert list(C._Spelled().blocks()) == []
+
+
+def test_many_cells_are_not_sorted_again_at_every_turn(monkeypatch):
+    monkeypatch.setattr(C, "HELD", 100)
+    sums, summed = [], C._Counts.summed
+    monkeypatch.setattr(C._Counts, "summed", lambda self: sums.append(1) or summed(self))
+    counts = C._Counts(30)
+    for k in range(200):
+        counts.add(np.arange(k * 50, k * 50 + 50), np.ones(50, np.int64))
+    assert len(counts.summed()[0]) == 10000 and len(sums) < 15 and counts.full()
+
+
+def test_hashes_of_words_are_those_of_their_bytes_and_language():
+    data, ends = C._dictionary("a\nbé\nab\n\x00".encode())
+    got = C._hashes("en", data, ends)
+    assert got[0] == 0 and len(set(got.tolist())) == 5 and got[3] == C._hashes("en", *C._dictionary(b"ab"))[1] != C._hashes("de", *C._dictionary(b"ab"))[1]
+    assert C._hashes("en", *C._dictionary(b"")).tolist() == [0]
